@@ -28,6 +28,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from docketlake.llm.lookalikes import TO_LATIN
 from docketlake.llm.vocabulary import MOST_HELD
 from docketlake.session import checkpointed
 
@@ -179,7 +180,10 @@ def forms(words: DataFrame) -> DataFrame:
                 for number, chain in enumerate(all_chains):
                     form = garbled(word, chain)
                     # one character for one is too little evidence: an ellipsis is also a garbled letter
-                    if form and form != word and len(form) > 1 and not form.isascii() and not PLAIN.fullmatch(form):
+                    if not form or form == word or len(form) < 2 or form.isascii() or PLAIN.fullmatch(form):
+                        continue
+                    # nor are letters that look alike: they need another repair
+                    if not all(c.isascii() or c in TO_LATIN for c in form):
                         made.setdefault(form.strip(EDGES) if len(form.strip(EDGES)) > 1 else form, number)
                 rows += [(form, word, n, number, len(all_chains[number]) // 2) for form, number in made.items()]
                 rows += [(window, word, n, -1, 1) for window in wide_windows(word)]

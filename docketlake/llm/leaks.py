@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-WORD = re.compile(r"[^\W_](?:[^\W_]|[̀-ͯ])*")
+WORD = re.compile(r"[^\W_](?:[^\W_]|[\u0300-\u036f])*")
 
 
 def folded(word: str) -> str:

@@ -27,8 +27,6 @@ batch counts once.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,18 +35,10 @@ from pyspark.sql import DataFrame, functions as F
 from docketlake.operators.components import connected_components
 from docketlake.session import checkpointed
 
-WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _WordHashes(dict):
-    """Word to a 64-bit hash; forgets when it has grown large."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+_ALNUM: list[np.ndarray] = []
+#: Texts whose characters are held as numbers at a time.
+CHUNK = 500
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -58,16 +48,54 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str, width: int, hashes: dict[str, int], min_words: int) -> np.ndarray | None:
-    """Sorted distinct hashes of the ``width``-word sequences; none for a text that is too short."""
-    words = WORD.findall(text.lower())
-    if len(words) < max(min_words, width):
-        return None
-    numbers = np.array([hashes[w] for w in words], np.uint64)
-    total = numbers[: len(numbers) - width + 1].copy()
-    for k in range(1, width):
-        total = _mixed(total * _ODD + numbers[k : len(numbers) - width + 1 + k])
-    return np.unique(total)
+def _powers(count: int) -> np.ndarray:
+    """1, p, p^2, ... of an odd p."""
+    powers = np.full(count, np.uint64(0xD1342543DE82EF95))
+    powers[:1] = 1
+    return np.multiply.accumulate(powers)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the lower-cased texts, and where each text's words begin, with the end.
+
+    Words are maximal runs of letters and digits. All texts are hashed at
+    once, as arrays of code points.
+    """
+    if not _ALNUM:
+        _ALNUM.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000))
+    lowered = [t.lower() for t in texts]
+    codes = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(codes) + 2, bool)
+    inside[1:-1] = _ALNUM[0][codes]
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, lengths = turns[::2], turns[1::2] - turns[::2]
+    offsets = np.cumsum([0, *(len(t) + 1 for t in lowered)])
+    bounds = np.searchsorted(starts, offsets)
+    if not len(starts):
+        return np.zeros(0, np.uint64), bounds
+    letters = codes[inside[1:-1]].astype(np.uint64) * _ODD
+    letters ^= letters >> np.uint64(29)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(len(letters)) - np.repeat(first, lengths)
+    letters *= _powers(int(lengths.max()))[place]
+    return _mixed(np.add.reduceat(letters, first)), bounds
+
+
+def shingle_sets(texts: list[str], width: int, min_words: int) -> list[np.ndarray | None]:
+    """For each text, the sorted distinct hashes of its ``width``-word sequences; none where it is too short."""
+    sets: list[np.ndarray | None] = []
+    for start in range(0, len(texts), CHUNK):
+        words, bounds = word_hashes(texts[start : start + CHUNK])
+        total = words[: max(0, len(words) - width + 1)].copy()
+        for k in range(1, width):
+            total = _mixed(total * _ODD + words[k : len(total) + k])
+        for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+            if b - a < max(min_words, width):
+                sets.append(None)
+                continue
+            mine = np.sort(total[a : b - width + 1])
+            sets.append(mine[np.r_[True, mine[1:] != mine[:-1]]])
+    return sets
 
 
 def signature(sets: np.ndarray, permutations: np.ndarray) -> np.ndarray:
@@ -75,9 +103,9 @@ def signature(sets: np.ndarray, permutations: np.ndarray) -> np.ndarray:
 
     A permutation multiplies by an odd number and adds another; the shingles enter it with their high halves.
     """
-    values = (sets >> np.uint64(32)).astype(np.uint32)[None, :] * permutations[0][:, None]
-    values += permutations[1][:, None]
-    return np.concatenate([values.min(1), values.max(1)])
+    values = (sets >> np.uint64(32)).astype(np.uint32)[:, None] * permutations[0]
+    values += permutations[1]
+    return np.concatenate([values.min(0), values.max(0)])
 
 
 def _permutations(count: int, seed: int) -> np.ndarray:
@@ -121,14 +149,14 @@ def _band_blobs(texts: DataFrame, width: int, min_words: int, bands: int, rows:
         raise ValueError("bands * rows must be even")
 
     def scan(batches):
-        hashes, permutations = _WordHashes(), _permutations(bands * rows // 2, seed)
+        permutations = _permutations(bands * rows // 2, seed)
         salts = _mixed(np.arange(1, bands + 1, dtype=np.uint64) * _ODD)
         # a band mixes smallest and largest values of different permutations
         order = np.random.default_rng(seed + 1).permutation(bands * rows)
         for batch in batches:
             ids, names, signatures, heads = [], [], [], {}
-            for row_id, content in sorted(set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))):
-                found = shingles(content, width, hashes, min_words)
+            entries = sorted(set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+            for (row_id, _), found in zip(entries, shingle_sets([text for _, text in entries], width, min_words)):
                 if found is None:
                     continue
                 name = xxhash.xxh3_64_intdigest(found.tobytes())
@@ -246,13 +274,12 @@ def similar_classes(items: DataFrame, key: str, text: str, threshold: float = 0.
     )
 
     def verify(batches):
-        hashes = _WordHashes()
         for batch in batches:
-            values, last, left = [], None, None
+            texts = list(dict.fromkeys([*batch.column(2).to_pylist(), *batch.column(3).to_pylist()]))
+            sets = dict(zip(texts, shingle_sets(texts, width, min_words)))
+            values = []
             for text_a, text_b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if text_a != last:
-                    last, left = text_a, shingles(text_a, width, hashes, min_words)
-                right = shingles(text_b, width, hashes, min_words)
+                left, right = sets[text_a], sets[text_b]
                 both = 0 if left is None or right is None else len(np.intersect1d(left, right, assume_unique=True))
                 values.append(both and both / (len(left) + len(right) - both))
             similarity = np.array(values, np.float64)
