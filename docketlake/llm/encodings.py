@@ -32,7 +32,7 @@ from docketlake.llm.lookalikes import TO_LATIN
 from docketlake.llm.vocabulary import MOST_HELD
 from docketlake.session import checkpointed
 
-TOKEN = re.compile(r"[A-Za-z]*[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*")
+TOKEN = re.compile(r"[A-Za-z\x80-\U0010ffff]+")
 _LOWER = "a-záàâãäéèêëíìîïóòôõöúùûüçñ"
 _UPPER = "A-ZÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ"
 PLAIN = re.compile(f"[{_UPPER}]?[{_LOWER}]+[ºª]?|[{_UPPER}]{{2,}}|[{_UPPER}]|[ºª§]")
@@ -123,7 +123,8 @@ def wide_windows(word: str) -> set[str]:
 
 
 def tokens_of(text: str) -> list[str]:
-    return [stripped for token in TOKEN.findall(text) if (stripped := token.strip(EDGES))]
+    """The runs of letters and non-ASCII characters with one of the latter, without outer punctuation."""
+    return [stripped for token in TOKEN.findall(text) if not token.isascii() and (stripped := token.strip(EDGES))]
 
 
 def _is_wide(token: str) -> bool:
@@ -140,14 +141,20 @@ def sightings(texts: DataFrame) -> DataFrame:
 
     def scan(batches):
         plain: Counter[str] = Counter()
+        ordinary: dict[str, bool] = {}
         for batch in batches:
+            if len(ordinary) > MOST_HELD:
+                ordinary.clear()
             seen, ids = [], []
             for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text.isascii():
                     continue
                 odd = set()
                 for token in tokens_of(text):
-                    if PLAIN.fullmatch(token):
+                    usual = ordinary.get(token)
+                    if usual is None:
+                        usual = ordinary[token] = bool(PLAIN.fullmatch(token))
+                    if usual:
                         plain[token] += 1
                     elif _is_wide(token):
                         odd.update(token[k : k + WINDOW] for k in range(len(token) - WINDOW + 1))
@@ -258,7 +265,7 @@ def _restored_text(content: str, originals: dict, all_chains: list, usual: int,
     def replace(match: re.Match) -> str:
         whole = match.group()
         token = whole.strip(EDGES)
-        if not token or PLAIN.fullmatch(token):
+        if token.isascii() or PLAIN.fullmatch(token):
             return whole
         counts[0] += 1
         if _is_wide(token) and any(token[k : k + WINDOW] in originals for k in range(len(token) - WINDOW + 1)):

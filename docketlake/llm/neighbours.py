@@ -10,11 +10,11 @@ Vectors with the same keys form a group, in which each looks for its
 neighbours. A group is cut into query strips and base blocks of at most
 ``block`` vectors, and each strip meets all blocks of its group, one after the
 other. Against a block, a strip first scores codes: a table of the queries'
-products with the codebooks is looked up by the codes. A base vector whose
-score comes within ``margin`` standard errors of a query's k-th best
-similarity so far is reranked by the exact product. The error of a score is
-that of a random direction of the stored residual norm, so ``margin`` sets the
-loss: at 3.5 about one neighbour in 4000 is missed.
+products with the codebooks is looked up by the codes, and divided by the
+codes' norms. A base vector whose score comes within ``margin`` standard errors
+of a query's k-th best similarity so far is reranked by the exact product. The
+standard error is that of a random direction of the stored residual norm, so
+``margin`` sets the loss: at 2 about one neighbour in 150 is missed.
 
 No strip holds more than its own vectors and one block; a hot group only has
 more strips. Work in a group is quadratic in codes (a few bytes read for each
@@ -56,46 +56,48 @@ def train(sample: np.ndarray, stages: int, rounds: int = 6, seed: int = 5) -> np
     return books
 
 
-def encode(vectors: np.ndarray, books: np.ndarray, beam: int = 4, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def encode(vectors: np.ndarray, books: np.ndarray, beam: int = 2, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Codes (n, stages) and residual norms (n): of each stage's extensions, the ``beam`` nearest sums survive."""
     stages, _, dim = books.shape
-    flat = books.reshape(-1, dim)
-    gram = (flat @ flat.T).reshape(stages, ENTRIES, stages * ENTRIES)
-    half = 0.5 * (flat**2).sum(1)
     codes = np.zeros((len(vectors), stages), np.uint8)
     left = np.zeros(len(vectors), np.float32)
     for start in range(0, len(vectors), chunk):
-        x = vectors[start : start + chunk]
-        n = len(x)
-        # the gain of an entry: twice its product with the residual, less its own square
-        products = (x @ flat.T - half).reshape(n, stages, ENTRIES)
-        paths, gains = np.zeros((n, 1, 0), np.uint8), np.zeros((n, 1), np.float32)
-        for stage in range(stages):
-            width = paths.shape[1]
-            total = np.broadcast_to(products[:, stage][:, None, :], (n, width, ENTRIES)) + gains[:, :, None]
-            for before in range(stage):
-                total -= gram[before][:, stage * ENTRIES : (stage + 1) * ENTRIES][paths[:, :, before]]
-            total = total.reshape(n, -1)
-            keep = min(beam, total.shape[1]) if stage < stages - 1 else 1
-            best = np.argpartition(-total, keep - 1, axis=1)[:, :keep] if keep > 1 else total.argmax(1)[:, None]
-            gains = np.take_along_axis(total, best, 1)
-            parents = np.take_along_axis(paths, (best // ENTRIES)[:, :, None], 1)
-            paths = np.concatenate([parents, (best % ENTRIES).astype(np.uint8)[:, :, None]], 2)
+        rest = vectors[start : start + chunk][:, None, :]
+        n = len(rest)
+        lines = np.arange(n)
+        paths = np.zeros((n, 1, stages), np.uint8)
+        squares = np.einsum("nwd,nwd->nw", rest, rest)
+        for stage, book in enumerate(books):
+            # how near each path comes with each entry: the negative square of what would be left
+            near = (rest.reshape(-1, dim) @ (2 * book.T) - (book**2).sum(1)).reshape(n, -1, ENTRIES) - squares[:, :, None]
+            near = near.reshape(n, -1)
+            keep = beam if stage < stages - 1 else 1
+            best = np.empty((n, keep), np.int64)
+            squares = np.empty((n, keep), np.float32)
+            for k in range(keep):
+                best[:, k] = near.argmax(1)
+                squares[:, k] = -near[lines, best[:, k]]
+                near[lines, best[:, k]] = -np.inf
+            parents, entries = np.divmod(best, ENTRIES)
+            paths = paths[lines[:, None], parents]
+            paths[:, :, stage] = entries
+            rest = rest[lines[:, None], parents] - book[entries]
         codes[start : start + n] = paths[:, 0]
-        left[start : start + n] = np.sqrt(np.maximum((x * x).sum(1) - 2 * gains[:, 0], 0))
+        left[start : start + n] = np.sqrt(np.maximum(squares[:, 0], 0))
     return codes, left
 
 
 class _Strip:
     """A block of queries and their k best neighbours so far."""
 
+    SCALE = 8192  # of the 16-bit tables; sums of them stay below 2^15
+
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, books: np.ndarray, k: int, margin: float):
         self.ids, self.vectors, self.k = ids, vectors, k
+        self.books = books.reshape(-1, books.shape[2])
         self.best = np.full((len(ids), k), -np.inf, np.float32)
         self.who = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.scale = margin / np.sqrt(vectors.shape[1] - 1)
-        # 16-bit tables: 1/8192 of resolution, sums stay below 2^15
-        self.tables = [np.ascontiguousarray(np.rint(book @ vectors.T * 8192).clip(-8191, 8191).astype(np.int16)) for book in books]
+        self.margin = margin / np.sqrt(vectors.shape[1] - 1)
 
     def _keep(self, rows: np.ndarray, similarities: np.ndarray, ids: np.ndarray) -> None:
         """Merges found neighbours, sorted by query, into the k best."""
@@ -112,56 +114,69 @@ class _Strip:
         self.best[mine], self.who[mine] = np.take_along_axis(wide, order, 1), np.take_along_axis(names, order, 1)
 
     def _exact(self, rows: np.ndarray, columns: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
-        other = self.ids[rows] != ids[columns]
-        rows, columns = rows[other], columns[other]
-        for start in range(0, len(rows), 1 << 16):
-            # a query's finds stay together
-            r, c = rows[start : start + (1 << 16)], columns[start : start + (1 << 16)]
-            similarities = np.einsum("ij,ij->i", self.vectors[r], vectors[c])
-            better = similarities >= self.best[r, -1]
-            if better.any():
-                self._keep(r[better], similarities[better], ids[c[better]])
+        """Reranks the found pairs, sorted by query, by their exact similarity."""
+        similarities = np.einsum("ij,ij->i", self.vectors[rows], vectors[columns])
+        better = similarities >= self.best[rows, -1]
+        better &= self.ids[rows] != ids[columns]
+        if better.any():
+            self._keep(rows[better], similarities[better], ids[columns[better]])
 
     def meet(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, left: np.ndarray, lines: int = 256, wide: int = 1024) -> None:
-        """Looks for neighbours among the base vectors."""
-        start = 0
-        if np.isinf(self.best[:, -1]).any():
-            # the first vectors are compared exactly, to have thresholds
-            start = min(len(ids), wide)
-            near = self.vectors @ vectors[:start].T
-            some = min(self.k + 1, start)
-            columns = np.argpartition(-near, some - 1, axis=1)[:, :some]
-            self._exact(np.repeat(np.arange(len(self.ids)), some), columns.ravel(), ids, vectors)
-        slack = left * self.scale
-        for low in range(start, len(ids), wide):
-            part = codes[low : low + wide]
-            room = np.rint(slack[low : low + wide] * 8192).astype(np.int16)
-            for top in range(0, len(self.ids), lines):
-                score = self.tables[0][:, top : top + lines][part[:, 0]]
-                for stage in range(1, part.shape[1]):
-                    score += self.tables[stage][:, top : top + lines][part[:, stage]]
-                score += room[:, None]
-                least = self.best[top : top + lines, -1]
-                least = np.where(np.isinf(least), -32000, np.floor(least * 8192)).astype(np.int16)
-                hits = np.flatnonzero(score >= least[None, :])
+        """Looks for neighbours among base vectors, which come in the order of their codes' norms.
+
+        A similarity is estimated by the looked-up product over the code's
+        norm, as for unit vectors what a code leaves over is nearly at right
+        angles to it. A tile's vectors have nearly the same norm.
+        """
+        picks = np.ascontiguousarray(codes.T.astype(np.intp))
+        norms = np.sqrt(np.maximum(1 - left.astype(np.float64) ** 2, 1e-6))
+        stages = len(picks)
+        for top in range(0, len(self.ids), lines):
+            asked = self.vectors[top : top + lines]
+            start = 0
+            if np.isinf(self.best[top : top + lines, -1]).any():
+                # the first vectors are compared exactly, to have thresholds
+                start = min(len(ids), wide)
+                near = asked @ vectors[:start].T
+                some = min(self.k + 1, start)
+                columns = np.argpartition(-near, some - 1, axis=1)[:, :some]
+                self._exact(np.repeat(np.arange(top, top + len(asked)), some), columns.ravel(), ids, vectors)
+            if start >= len(ids):
+                continue
+            tables = np.rint(self.books @ asked.T * self.SCALE).clip(-self.SCALE, self.SCALE).astype(np.int16).reshape(stages, ENTRIES, -1)
+            score, added = np.empty((2, wide, len(asked)), np.int16)
+            for low in range(start, len(ids), wide):
+                part = slice(low, low + wide)
+                n = len(ids[part])
+                np.take(tables[0], picks[0, part], 0, out=score[:n], mode="clip")
+                for stage in range(1, stages):
+                    np.take(tables[stage], picks[stage, part], 0, out=added[:n], mode="clip")
+                    np.add(score[:n], added[:n], out=score[:n])
+                norm, slack = norms[part].mean(), self.margin * left[part].mean()
+                least = (self.best[top : top + lines, -1] - slack) * norm * self.SCALE
+                least = np.floor(np.maximum(least, -32000)).astype(np.int16)
+                hits = np.flatnonzero(score[:n] >= least[None, :])
                 if len(hits):
-                    columns, rows = np.divmod(hits, score.shape[1])
-                    order = np.argsort(rows, kind="stable")
+                    columns, rows = np.divmod(hits, len(asked))
+                    order = np.argsort(rows.astype(np.uint16), kind="stable")
                     self._exact(rows[order] + top, columns[order] + low, ids, vectors)
 
 
-def _normalised(vectors: DataFrame, key: str, vector: str, groups: tuple[str, ...], dim: int) -> DataFrame:
-    """(group, id, unit): unit vectors as float32 blobs, of the usable rows."""
+def _usable(vectors: DataFrame, key: str, vector: str, groups: tuple[str, ...], dim: int) -> DataFrame:
+    """(group, id, v) of the rows without nulls; vectors of zero length still among them."""
     usable = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) == dim))
     for name in groups:
         usable = usable.where(F.col(name).isNotNull())
     group = F.xxhash64(*groups) if groups else F.lit(0).cast("long")
-    usable = usable.select(group.alias("group"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    return usable.select(group.alias("group"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+
+
+def _units(usable: DataFrame, dim: int) -> DataFrame:
+    """(group, id, unit): unit vectors as float32 blobs."""
 
     def scan(batches):
         for batch in batches:
-            lists = batch.column(2)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             with np.errstate(all="ignore"):
                 norms = np.sqrt((flat * flat).sum(1))
                 good = np.isfinite(norms) & (norms > 0)
@@ -180,32 +195,34 @@ def nearest(
     groups: tuple[str, ...] = (),
     k: int = 10,
     dim: int = 64,
-    stages: int = 8,
-    beam: int = 4,
-    margin: float = 3.5,
-    block: int = 8192,
+    stages: int = 12,
+    beam: int = 2,
+    margin: float = 2.0,
+    block: int = 16384,
+    strip: int = 2,
     sample: int = 16384,
 ) -> DataFrame:
     """(id, rank, neighbour, similarity): the ``k`` most similar vectors of every vector within its group.
 
-    ``sample`` bounds the vectors that train the codebooks; all vectors are encoded and searched.
+    A strip asks with ``strip`` blocks of at most about ``block`` vectors. ``sample`` bounds the
+    vectors that train the codebooks; all vectors are encoded and searched.
     """
     spark = vectors.sparkSession
-    units = checkpointed(_normalised(vectors, key, vector, groups, dim))
-    sizes = units.groupBy("group").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    total = units.count()
-    drawn = units.select("id", "unit")
-    if total > sample:
-        drawn = drawn.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * sample / total))
-    drawn = [bytes(r.unit) for r in drawn.orderBy("id").limit(sample).collect()]
+    usable = _usable(vectors, key, vector, groups, dim)
+    sizes = usable.groupBy("group").agg(F.count("*").alias("n"))
+    total = usable.count()
+    share = int(min(1.0, sample / max(1, total)) * (1 << 30))
+    drawn = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).orderBy("id").limit(sample)
+    drawn = [bytes(r.unit) for r in _units(drawn, dim).select("unit").collect()]
     books = spark.sparkContext.broadcast(train(np.frombuffer(b"".join(drawn), np.float32).reshape(-1, dim), stages))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // block)
 
     # a group's number of blocks follows from its size; ids are spread over the blocks by hash
-    blocked = units.join(sizes.select("group", "blocks"), "group").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    sizes = sizes.select("group", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    blocked = _units(usable, dim).join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
 
     def gather(batches):
-        """Blobs of a partition's vectors by group and block, encoded."""
+        """Blobs of a partition's vectors by group and block, encoded and in the order of their codes' norms."""
         held: dict[tuple[int, int, int], list[tuple[int, bytes]]] = {}
         for batch in batches:
             for group, id_, unit, blocks, own in zip(*(c.to_pylist() for c in batch.columns)):
@@ -213,38 +230,40 @@ def nearest(
         while held:
             (group, blocks, own), rows = held.popitem()
             rows.sort()
+            ids = np.array([i for i, _ in rows], np.int64)
             units = np.frombuffer(b"".join(u for _, u in rows), np.float32).reshape(-1, dim)
             codes, left = encode(units, books.value, beam)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([group]), pa.array([blocks], pa.int32()), pa.array([own], pa.int32()),
-                    pa.array([np.array([i for i, _ in rows], np.int64).tobytes()], pa.binary()),
-                    pa.array([units.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()), pa.array([left.tobytes()], pa.binary()),
-                ],
-                ["group", "blocks", "own", "ids", "units", "codes", "lefts"],
-            )
+            order = np.argsort(left, kind="stable")
+            blob = [pa.array([x[order].tobytes()], pa.binary()) for x in (ids, units, codes, left)]
+            place = [pa.array([group]), pa.array([blocks], pa.int32()), pa.array([own], pa.int32())]
+            yield pa.RecordBatch.from_arrays(place + blob, ["group", "blocks", "own", "ids", "units", "codes", "lefts"])
 
     blobs = blocked.repartition(parts, "group", "own").mapInArrow(gather, "group long, blocks int, own int, ids binary, units binary, codes binary, lefts binary")
     blobs = checkpointed(blobs)
-    asks = blobs.select("group", F.col("own").alias("strip"), F.lit(-1).alias("own"), "ids", "units", "codes", "lefts")
-    bases = blobs.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("strip"), "own", "ids", "units", "codes", "lefts").where("own <> strip")
+    none = F.lit(None).cast("binary")
+    asks = blobs.select("group", F.floor(F.col("own") / strip).cast("int").alias("strip"), (-1 - F.col("own")).alias("own"), "ids", "units", none.alias("codes"), none.alias("lefts"))
+    strips = F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / strip).cast("int"))
+    bases = blobs.select("group", F.explode(strips).alias("strip"), "own", "ids", "units", "codes", "lefts")
+    # the asking blocks, which have negative numbers, come first
     met = asks.unionAll(bases).repartition(parts, "group", "strip").sortWithinPartitions("group", "strip", "own")
 
     def search(batches):
-        strip, now = None, None
+        asking, now, built = [], None, None
         for batch in batches:
             for group, at, own, *blob in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, units = np.frombuffer(blob[0], np.int64), np.frombuffer(blob[1], np.float32).reshape(-1, dim)
-                codes, left = np.frombuffer(blob[2], np.uint8).reshape(-1, stages), np.frombuffer(blob[3], np.float32)
+                if (group, at) != now:
+                    if built is not None:
+                        yield _found(built)
+                    asking, now, built = [], (group, at), None
                 if own < 0:
-                    if strip is not None:
-                        yield _found(strip)
-                    strip, now = _Strip(ids, units, books.value, k, margin), (group, at)
-                # a block without queries of its own asks for nothing
-                if (group, at) == now:
-                    strip.meet(ids, units, codes, left)
-        if strip is not None:
-            yield _found(strip)
+                    asking.append((ids, units))
+                elif asking:
+                    if built is None:
+                        built = _Strip(*(np.concatenate(x) for x in zip(*asking)), books.value, k, margin)
+                    built.meet(ids, units, np.frombuffer(blob[2], np.uint8).reshape(-1, stages), np.frombuffer(blob[3], np.float32))
+        if built is not None:
+            yield _found(built)
 
     return met.mapInArrow(search, "id long, rank int, neighbour long, similarity float")
 
