@@ -16,8 +16,9 @@ that it knows better with the hyphen breaks at its own.
 *Headers and page numbers* are edge lines. A line is foreign where the text
 before it does not end a sentence and the line itself, unlike wrapped text,
 was left with room for the next word. What is foreign there for certain, as a
-line with its digits levelled, is foreign elsewhere in the same file. Numbers
-beside such lines or in the usual forms are page numbers, unless they stand in
+line with its digits levelled, is foreign elsewhere in the same file; a form of
+line, its names masked, that is certain in several files is foreign elsewhere
+in all. Numbers beside such lines or in the usual forms are page numbers, unless they stand in
 a list of figures.
 
 A word is rare in a window, the texts of one batch, if it occurs at most
@@ -52,6 +53,7 @@ _PAGE = re.compile(
     re.IGNORECASE,
 )
 _ENDED = re.compile(r"[.!?:…][\"”»')\]]*$")
+_SENTENCE = re.compile(r"[;:!?]\s|(?:\d|[^\W\d_]{3})[.]\s")
 _APART = re.compile(r"(?: {3,}|\t+) *")
 _LEVEL = str.maketrans({"0": "o", "@": "a", "1": "l", "5": "s", "9": "g", "6": "b", "ä": "ã"})
 
@@ -77,12 +79,24 @@ def levelled(line: str) -> str:
     return text.replace("i", "l").replace("e", "c").replace("t", "f").replace("q", "g").replace("u", "n").replace("b", "h")
 
 
+def shape(line: str) -> str:
+    """A line with its names and numbers masked; headers of one form differ in little else."""
+    words = []
+    for word in line.split():
+        core = word.translate(_LEVEL) if sum(c.isalpha() for c in word) > 1 else word
+        if core[0].isupper() and not core.isupper():
+            words.append("N" + ("," if word.endswith(",") else ""))
+        else:
+            words.append(re.sub(r"\d+", "9", word if core is word else core.lower()))
+    return re.sub(r"N(?: (?:d[aeo]s? )?N)+", "N", " ".join(words))
+
+
 class Layout:
     """The lines of a text, told apart.
 
     ``heads`` and ``pages`` are the numbers of foreign lines that are certain,
     ``doubtful`` those of lines that other places may show to be headers, and
-    ``cuts`` (left, gap, mark, right, line) the words cut at line ends.
+    ``cuts`` (left, gap, mark, right, line, next line) the words cut at line ends.
     """
 
     def __init__(self, text: str):
@@ -107,6 +121,11 @@ class Layout:
                 end += 1
             self._block(start, end, kinds)
             start = end
+        body = [at for at, kind in enumerate(kinds) if kind == "text"]
+        for before, at, after in zip(body, body[1:], body[2:]):
+            # a header as long as the text's lines
+            if self._stands_alone(stripped[at]) and not _ENDED.search(stripped[before]) and stripped[after][:1].islower():
+                self.doubtful[at] = levelled(stripped[at])
         self._find_cuts(kinds)
 
     @staticmethod
@@ -126,6 +145,12 @@ class Layout:
                 return head
         return None
 
+    @staticmethod
+    def _stands_alone(line: str) -> bool:
+        """Whether a line could be a header by itself: it begins like one and ends no sentence, nor holds an end."""
+        begins = line[0].isupper() or line[0].isdigit()
+        return len(line) <= 80 and begins and line[-1] not in ",;-¬" and not _ENDED.search(line) and not _SENTENCE.search(line)
+
     def _kinds(self, stripped: list[str], width: int) -> list[str]:
         kinds = []
         for at, line in enumerate(stripped):
@@ -141,9 +166,7 @@ class Layout:
             else:
                 following = next((x for x in stripped[at + 1 :] if x), "")
                 room = width - len(line) - 1 - len(following.split(" ")[0])
-                short = len(line) <= 80 and (not following or room >= 4) and not _ENDED.search(line) and line[-1] not in ",;-¬"
-                named = line[0].isupper() or line[0].isdigit()
-                kinds.append("short" if short and named else "text")
+                kinds.append("short" if self._stands_alone(line) and (not following or room >= 4) else "text")
         return kinds
 
     def _block(self, start: int, end: int, kinds: list[str]) -> None:
@@ -216,7 +239,7 @@ def observed(texts: DataFrame) -> DataFrame:
     'word': the word ``key`` occurs ``n`` times in a window, in the texts
     ``ids`` where it is rare there. 'cut': ``left``, ``mark`` and ``right`` at
     a line end of ``id``. 'page', 'header' and 'doubtful': such a line, levelled
-    as ``key``, in ``id`` of ``file``.
+    as ``key`` and masked as ``left``, in ``id`` of ``file``.
     """
 
     def scan(batches):
@@ -229,8 +252,8 @@ def observed(texts: DataFrame) -> DataFrame:
                     layout = Layout(content)
                     words = layout.words()
                     rows += [("cut", None, 1, None, row_id, file, left, right, gap + mark) for left, gap, mark, right, _, _ in layout.cuts]
-                    rows += [("header", line, 1, None, row_id, file, None, None, None) for line in set(layout.heads.values())]
-                    rows += [("doubtful", line, 1, None, row_id, file, None, None, None) for line in set(layout.doubtful.values())]
+                    for kind, found in (("header", layout.heads), ("doubtful", layout.doubtful)):
+                        rows += [(kind, line, 1, None, row_id, file, shape(layout.stripped[at]), None, None) for at, line in found.items()]
                     if layout.pages:
                         rows.append(("page", None, 1, None, row_id, file, None, None, None))
                 else:
@@ -310,10 +333,13 @@ class Evidence:
         self.misread = rare.select("word", "meant", F.explode("ids").alias("id")).distinct()
         self.cuts = self._cuts(seen.where("kind = 'cut'"))
         self.pages = seen.where("kind = 'page'").select("id").distinct()
-        certain = seen.where("kind = 'header'").select("id", "file", F.col("key").alias("line"))
+        lines = seen.select("kind", "id", "file", F.col("key").alias("line"), F.col("left").alias("shape"))
+        certain, doubtful = (lines.where(F.col("kind") == kind).distinct() for kind in ("header", "doubtful"))
         known = certain.select("file", "line").distinct()
-        doubtful = seen.where("kind = 'doubtful'").select("id", "file", F.col("key").alias("line"))
-        self.headers = certain.select("id", "line").unionAll(doubtful.join(known, ["file", "line"], "left_semi").select("id", "line")).distinct()
+        # a form that certain headers of several files have, unless it is only names
+        forms = certain.where(r"shape rlike '[^N ]'").groupBy("shape").agg(F.countDistinct("file").alias("files")).where("files >= 3")
+        again = doubtful.join(known, ["file", "line"], "left_semi").unionByName(doubtful.join(forms, "shape", "left_semi"))
+        self.headers = certain.unionByName(again).select("id", "line").distinct()
 
     def _cuts(self, cuts: DataFrame) -> DataFrame:
         """(id, left, right, mark) of the words that have no hyphen of their own."""
