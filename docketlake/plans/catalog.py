@@ -1,10 +1,597 @@
-"""The core queries by name, and their equivalents in DuckDB SQL."""
+"""The core queries by name, and their equivalents in DuckDB SQL.
+
+Chunks stand for the pages, units and entries of an index, labelled queries
+for its searches; vectors come from the tables, or from the arithmetic test
+embedding, which both engines compute.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from docketlake.functions import text as T, vectors as V
+from docketlake.operators import dense, evaluate, fusion, lexical, rerank, sections, units
+from docketlake.session import checkpointed, table
+from docketlake.sources import documents as D, pages as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+DIM = 8
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query, with its SQL where there is any."""
+
+    def add(function):
+        QUERIES[name] = function
+        if sql:
+            ORACLES[name] = sql
+        return function
+
+    return add
+
+
+# --- SQL fragments -----------------------------------------------------------------------------------------------
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g')"
+
+
+def _squeeze(x: str) -> str:
+    return f"trim(regexp_replace({x}, '[{T.SPACE}]+', ' ', 'g'))"
+
+
+def _words(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '[{T.SPACE}]+'), lambda t: t <> '')"
+
+
+def _fold(x: str) -> str:
+    letters, bases = T._latin_table()
+    return f"regexp_replace(translate({x}, {_quoted(letters)}, {_quoted(bases)}), '\\p{{Mn}}', '', 'g')"
+
+
+def _tokens(x: str, stop: tuple[str, ...] | None = None, fold: bool = True) -> str:
+    stop = T.stop_words() if stop is None else stop
+    if fold:
+        stop = tuple(sorted({T.fold_word(w) for w in stop} | set(stop)))
+        x = _fold(x)
+    words = _words(f"lower(regexp_replace({x}, '{T.NOT_WORD_OR_SPACE}', '', 'g'))")
+    return f"list_filter({words}, lambda t: t NOT IN ({', '.join(map(_quoted, stop))}))" if stop else words
+
+
+def _windows(x: str, n: int) -> str:
+    w, step = _words(x), n // 2
+    return (
+        f"CASE WHEN len({w}) = 0 THEN [] ELSE list_transform(range(0, 1 + CAST(greatest(0, ceil((len({w}) - {n}) / {step}.0)) AS BIGINT)), "
+        f"lambda i: array_to_string(list_slice({w}, i * {step} + 1, i * {step} + {n}), ' ')) END"
+    )
+
+
+def _seed(x: str) -> str:
+    return f"greatest(1, coalesce(list_sum(list_transform(string_split({x}, ''), lambda c: unicode(c))), 0))::BIGINT"
+
+
+def _vector(x: str) -> str:
+    return f"list_transform(range(1, {DIM + 1}), lambda i: (({_seed(x)}) * i % 97)::DOUBLE)"
+
+
+def _bm25(texts: str, queries: str, pool: str) -> str:
+    """CTEs ``bm`` (query_id, doc, score, rank) of texts (doc, text) and queries (query_id, query)."""
+    return f"""
+    toks AS (SELECT doc, coalesce({_tokens("text")}, []) AS t FROM ({texts})),
+    corp AS (SELECT count(*) AS n, avg(len(t)) AS al FROM toks),
+    post AS (SELECT doc, term, len, count(*) AS tf FROM (SELECT doc, len(t) AS len, unnest(t) AS term FROM toks) GROUP BY ALL),
+    dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+    raws AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, corp),
+    idfs AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws),
+    asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_tokens("query")}) AS term FROM ({queries})) GROUP BY ALL),
+    scored AS (SELECT query_id, doc, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al))), 6) AS score
+               FROM asked JOIN idfs USING (term) JOIN post USING (term), corp GROUP BY query_id, doc),
+    bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM scored WHERE score > 0) WHERE rank <= {pool})"""
+
+
+CHUNKS_SQL = "SELECT doc_index AS doc, chunk_text AS text, file FROM chunks_metadata WHERE chunk_text IS NOT NULL"
+ASKED_SQL = "SELECT query_id, query FROM labeled_queries WHERE query IS NOT NULL"
+DENSE_SQL = f"""
+    ev AS (SELECT doc, {_vector("substr(x, 1, 8000)")} AS v FROM (SELECT doc, {_strip("replace(text, chr(0), '')")} AS x FROM ({CHUNKS_SQL})) WHERE x <> ''),
+    qv AS (SELECT query_id, {_vector("substr(x, 1, 8000)")} AS v FROM (SELECT query_id, {_strip("query")} AS x FROM ({ASKED_SQL})) WHERE x <> ''),
+    dn AS (SELECT * FROM (SELECT query_id, doc, d, row_number() OVER (PARTITION BY query_id ORDER BY d, doc) AS rank
+           FROM (SELECT query_id, doc, round(list_sum(list_transform(list_zip(qv.v, ev.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS d FROM qv, ev)) WHERE rank <= 50)"""
+BM25_SQL = _bm25(CHUNKS_SQL, ASKED_SQL, "50")
+RRF_SQL = """
+    rrf AS (SELECT query_id, doc, round(coalesce(1.0 / (61 + dense_rank), 0) + coalesce(1.0 / (61 + bm25_rank), 0), 9) AS rrf_score, dense_rank, bm25_rank
+            FROM (SELECT query_id, doc, rank - 1 AS dense_rank FROM dn) FULL JOIN (SELECT query_id, doc, rank - 1 AS bm25_rank FROM bm) USING (query_id, doc)),
+    hyb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST) AS rank FROM rrf) WHERE rank <= {k})"""
+HYBRID_SQL = f"WITH {BM25_SQL}, {DENSE_SQL}, {RRF_SQL.format(k=5)}"
+KNN_SQL = """
+    WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
+    p AS (SELECT q.vec_id AS query_id, q.label AS query_label, e.vec_id AS doc, e.label,
+                 round(list_distance(q.v, e.v) ^ 2, 6) AS distance, round(list_cosine_similarity(q.v, e.v), 6) AS similarity
+          FROM e q, e WHERE q.vec_id % 100 = 0),
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc) AS rank FROM p) WHERE rank <= 10)"""
+
+
+# --- shared plans ------------------------------------------------------------------------------------------------
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chunks_metadata").where("chunk_text is not null").select(F.col("doc_index").alias("doc"), F.col("chunk_text").alias("text"), "file")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labeled_queries").where("query is not null").select("query_id", "query")
+
+
+def _with_vector(rows: DataFrame, text: str, as_: str) -> DataFrame:
+    asked = T.embedding_input(text)
+    return rows.withColumn("_x", asked).where("_x <> ''").withColumn(as_, T.arithmetic_embedding("_x", DIM)).drop("_x")
+
+
+def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return dense.exact(_with_vector(_chunks(spark, sf_dir), "text", "embedding"), _with_vector(_asked(spark, sf_dir), "query", "query_vector"), k)
+
+
+def _bm25_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return lexical.top(lexical.build(_chunks(spark, sf_dir), "doc", "text"), _asked(spark, sf_dir), k)
+
+
+def _hybrid(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    return fusion.fuse(_dense(spark, sf_dir, 50), _bm25_top(spark, sf_dir, 50), k)
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hybrid results with file and text."""
+    return _hybrid(spark, sf_dir).join(_chunks(spark, sf_dir), "doc").select("query_id", "doc", "rank", "rrf_score", "file", "text")
+
+
+def _knn(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return dense.exact(vectors.withColumnRenamed("vec_id", "doc"), asked, k)
+
+
+# --- dense -------------------------------------------------------------------------------------------------------
+
+
+@query("knn_exact", f"{KNN_SQL} SELECT query_id, doc, distance, rank FROM k")
+def knn_exact(spark, sf_dir):
+    """The 10 nearest vectors of every hundredth one, all vectors searched."""
+    return _knn(spark, sf_dir).select("query_id", "doc", "distance", "rank")
+
+
+@query("knn_similarity", f"{KNN_SQL} SELECT query_id, doc, similarity, rank FROM k")
+def knn_similarity(spark, sf_dir):
+    return _knn(spark, sf_dir).select("query_id", "doc", "similarity", "rank")
+
+
+@query("knn_distance_stats", f"{KNN_SQL} SELECT query_id, round(avg(distance), 6) AS avg_distance, round(stddev_pop(distance), 6) AS std_distance, count(*) AS n FROM k GROUP BY query_id")
+def knn_distance_stats(spark, sf_dir):
+    return dense.distance_stats(_knn(spark, sf_dir))
+
+
+@query("knn_per_label_recall", f"{KNN_SQL} SELECT query_label, round(avg((label = query_label)::INT), 6) AS share FROM k WHERE rank > 1 GROUP BY query_label")
+def knn_per_label_recall(spark, sf_dir):
+    """How many of a label's neighbours, itself aside, have the label."""
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    hits = _knn(spark, sf_dir).where("rank > 1")
+    both = hits.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id").join(labels.withColumnRenamed("vec_id", "doc"), "doc")
+    return both.groupBy("query_label").agg(F.round(F.avg((F.col("label") == F.col("query_label")).cast("int")), 6).alias("share"))
+
+
+@query(
+    "vector_normalize",
+    "SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12), 6)) AS unit FROM embeddings",
+)
+def vector_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(V.unit("embedding"), lambda x: F.round(x, 6)).alias("unit"))
+
+
+POOL_SQL = """
+    each AS (SELECT {key}, i, avg(u[i]) AS m FROM (SELECT {key}, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS u FROM {rows}), range(1, {n}) r(i) GROUP BY {key}, i),
+    means AS (SELECT {key}, list(m ORDER BY i) AS m FROM each GROUP BY {key}),
+    pooled AS (SELECT {key}, list_transform(m, lambda x: round(x / greatest(sqrt(list_dot_product(m, m)), 1e-12), 5)) AS pooled FROM means)"""
+
+
+@query("mean_pool_by_label", "WITH e AS (SELECT label, embedding::DOUBLE[] AS v FROM embeddings), " + POOL_SQL.format(key="label", rows="e", n=65) + " SELECT label, pooled FROM pooled")
+def mean_pool_by_label(spark, sf_dir):
+    pooled = V.mean_pool(table(spark, sf_dir, "embeddings"), ["label"], "embedding", "pooled")
+    return pooled.select("label", F.transform("pooled", lambda x: F.round(x, 5)).alias("pooled"))
+
+
+@query(
+    "sq8_encode_decode",
+    """WITH r AS (SELECT i, min(v[i]) AS lo, max(v[i]) AS hi FROM (SELECT embedding::DOUBLE[] AS v FROM embeddings), range(1, 65) t(i) GROUP BY i),
+    l AS (SELECT list(lo ORDER BY i) AS lo, list(hi ORDER BY i) AS hi FROM r)
+    SELECT vec_id, list_transform(range(1, 65), lambda i: floor(255 * (embedding[i]::DOUBLE - lo[i]) / (hi[i] - lo[i]) + 0.5)::SMALLINT) AS codes FROM embeddings, l""",
+)
+def sq8_encode_decode(spark, sf_dir):
+    return dense.sq8(table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"]).select("vec_id", "codes")
+
+
+@query("ivf_recall")
+def ivf_recall(spark, sf_dir):
+    """Share of the exact neighbours that a search of some clusters finds, for all numbers of clusters probed."""
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc")
+    asked = vectors.where("doc % 100 = 0").select(F.col("doc").alias("query_id"), F.col("embedding").alias("query_vector"))
+    lists = dense.list_count(vectors.count())
+    centres = dense.train_clusters(vectors, "embedding", lists)
+    assigned = checkpointed(dense.assign_clusters(vectors, "embedding", centres))
+    truth = checkpointed(dense.exact(vectors, asked, 10))
+    found = None
+    for probes in sorted({1, max(1, lists // 4), max(1, lists // 2), lists}):
+        one = evaluate.recall_against(dense.clustered(assigned, asked, centres, 10, probes), truth).select(F.lit(probes).alias("probes"), "recall", "top_1")
+        found = one if found is None else found.unionAll(one)
+    return found
+
+
+@query("pq_search")
+def pq_search(spark, sf_dir):
+    """Neighbours by product quantisation: exact distances to decoded vectors."""
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc")
+    books = dense.train_pq(vectors, "embedding", 64, 8, 6)
+    coded = dense.pq_encode(vectors, "embedding", books, ["doc"])
+    asked = vectors.where("doc % 100 = 0").select(F.col("doc").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return dense.exact(coded.withColumnRenamed("pq_decoded", "embedding"), asked, 10).select("query_id", "doc", "distance", "rank")
+
+
+# --- text --------------------------------------------------------------------------------------------------------
+
+
+def _window_query(name: str, size: int) -> None:
+    sql = f"SELECT doc, i - 1 AS window_no, w[i] AS passage FROM (SELECT doc, {_windows('text', size)} AS w FROM ({CHUNKS_SQL})), range(1, 5000) r(i) WHERE i <= len(w)"
+
+    @query(name, sql)
+    def windows(spark, sf_dir):
+        return _chunks(spark, sf_dir).select("doc", F.posexplode(T.word_windows("text", size)).alias("window_no", "passage"))
+
+
+_window_query("word_windows_500", 500)
+_window_query("word_windows_150", 150)
+_window_query("word_windows_odd", 5 * 7)
+
+
+@query("clean_text", f"SELECT doc, array_to_string({_tokens('text', fold=False)}, ' ') AS cleaned FROM ({CHUNKS_SQL})")
+def clean_text(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc", T.clean_text("text").alias("cleaned"))
+
+
+@query("tokenize_terms", f"SELECT query_id, {_tokens('query')} AS terms FROM ({ASKED_SQL})")
+def tokenize_terms(spark, sf_dir):
+    return _asked(spark, sf_dir).select("query_id", T.search_tokens("query").alias("terms"))
+
+
+@query("token_counts", f"SELECT doc, len({_tokens('text')}) AS n_tokens, len(list_distinct({_tokens('text')})) AS n_distinct FROM ({CHUNKS_SQL})")
+def token_counts(spark, sf_dir):
+    tokens = T.search_tokens("text")
+    return _chunks(spark, sf_dir).select("doc", F.size(tokens).alias("n_tokens"), F.size(F.array_distinct(tokens)).alias("n_distinct"))
+
+
+@query("accent_fold", f"SELECT doc, {_fold('text')} AS folded FROM ({CHUNKS_SQL})")
+def accent_fold(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc", T.fold_latin("text").alias("folded"))
+
+
+@query("embed_truncate_prefix", f"SELECT doc, CASE WHEN x = '' THEN '' ELSE substr('passage: ' || x, 1, 8000) END AS input FROM (SELECT doc, {_strip('text')} AS x FROM ({CHUNKS_SQL}))")
+def embed_truncate_prefix(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc", T.embedding_input("text", "passage: ").alias("input"))
+
+
+@query("middle_passage", f"SELECT doc, array_to_string(list_slice(w, s + 1, s + 30), ' ') AS passage FROM (SELECT doc, w, greatest(0, len(w) // 2 - 15) AS s FROM (SELECT doc, {_words('text')} AS w FROM ({CHUNKS_SQL})))")
+def middle_passage(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc", T.middle_passage("text").alias("passage"))
+
+
+@query(
+    "looks_copied",
+    f"""SELECT query_id, coalesce(list_bool_or(list_transform(range(1, len(w) - 10), lambda i: contains(b, array_to_string(list_slice(w, i, i + 11), ' ')))), false) AS copied
+    FROM (SELECT query_id, {_words('lower(relevant_text)')} AS w, {_squeeze('lower(chunk_text)')} AS b FROM labeled_queries JOIN chunks_metadata ON file = relevant_files[1] AND chunk_index = 0 WHERE relevant_text IS NOT NULL AND chunk_text IS NOT NULL)""",
+)
+def looks_copied(spark, sf_dir):
+    """Whether a labelled passage was copied from the first chunk of its file."""
+    asked = table(spark, sf_dir, "labeled_queries").where("relevant_text is not null").select("query_id", "relevant_text", F.element_at("relevant_files", 1).alias("file"))
+    firsts = table(spark, sf_dir, "chunks_metadata").where("chunk_index = 0 and chunk_text is not null").select("file", "chunk_text")
+    return asked.join(firsts, "file").select("query_id", T.looks_copied("relevant_text", "chunk_text").alias("copied"))
+
+
+@query(
+    "stratified_sample",
+    "SELECT file, doc_index FROM (SELECT file, doc_index, row_number() OVER (PARTITION BY file ORDER BY doc_index * 7919 % 104729, doc_index) AS r FROM chunks_metadata WHERE length(chunk_text) >= 600) WHERE r <= 2",
+)
+def stratified_sample(spark, sf_dir):
+    """Two long chunks of every file, in a fixed random order."""
+    order = Window.partitionBy("file").orderBy(F.col("doc_index") * 7919 % 104729, "doc_index")
+    long_enough = table(spark, sf_dir, "chunks_metadata").where(F.length("chunk_text") >= 600)
+    return long_enough.select("file", "doc_index", F.row_number().over(order).alias("r")).where("r <= 2").select("file", "doc_index")
+
+
+@query(
+    "vlm_tag_extract",
+    f"SELECT query_id, {_strip('''query''')} || chr(10) || 'fim' AS read FROM ({ASKED_SQL}) WHERE NOT contains(query, '<') AND {_strip('query')} <> ''",
+)
+def vlm_tag_extract(spark, sf_dir):
+    """The regions' texts of answers in the form of a vision model's."""
+    answer = F.concat(F.lit("ok <|det|>text 1<|/det|> "), "query", F.lit("\n<|det|>text 2<|/det|>   <|det|>text 3<|/det|>fim"))
+    asked = _asked(spark, sf_dir).where(~F.contains("query", F.lit("<")) & (T.strip("query") != ""))
+    return asked.select("query_id", T.vision_text(answer).alias("read"))
+
+
+@query("file_extensions", "SELECT lower(regexp_extract(file, '\\.([^./]+)$', 1)) AS extension, count(*) AS n, count(DISTINCT file) AS n_files FROM source_files GROUP BY ALL")
+def file_extensions(spark, sf_dir):
+    """The files received, by extension in one case."""
+    return table(spark, sf_dir, "source_files").groupBy(D.extension("file").alias("extension")).agg(F.count("*").alias("n"), F.count_distinct("file").alias("n_files"))
+
+
+# --- lexical and fused -------------------------------------------------------------------------------------------
+
+
+@query("bm25_term_stats", f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM idfs")
+def bm25_term_stats(spark, sf_dir):
+    return lexical.build(_chunks(spark, sf_dir), "doc", "text").terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("bm25_doc_lengths", f"WITH {BM25_SQL} SELECT doc, len(t) AS n_tokens FROM toks")
+def bm25_doc_lengths(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc", F.size(T.search_tokens("text")).alias("n_tokens"))
+
+
+@query("bm25_topk", f"WITH {_bm25(CHUNKS_SQL, ASKED_SQL, '10')} SELECT query_id, doc, score, rank FROM bm")
+def bm25_topk(spark, sf_dir):
+    return _bm25_top(spark, sf_dir, 10)
+
+
+@query("rrf_hybrid", f"{HYBRID_SQL} SELECT query_id, doc, rrf_score, dense_rank, bm25_rank, rank FROM hyb")
+def rrf_hybrid(spark, sf_dir):
+    """The five best chunks of each query, dense and lexical ranks fused."""
+    return _hybrid(spark, sf_dir)
+
+
+@query("rrf_candidates_outer", f"{HYBRID_SQL} SELECT query_id, count(*) AS candidates, count(dense_rank) AS in_dense, count(bm25_rank) AS in_bm25 FROM rrf GROUP BY query_id")
+def rrf_candidates_outer(spark, sf_dir):
+    both = fusion.fuse(_dense(spark, sf_dir, 50), _bm25_top(spark, sf_dir, 50), 100)
+    return both.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count("dense_rank").alias("in_dense"), F.count("bm25_rank").alias("in_bm25"))
+
+
+@query("hybrid_pool_cut", "SELECT k, least(CASE WHEN asked > 0 THEN asked ELSE greatest(4 * k, 50) END, (SELECT count(*) FROM chunks_metadata)) AS pool FROM (VALUES (5, 0), (20, 0), (5, 7), (1000, 0)) t(k, asked)")
+def hybrid_pool_cut(spark, sf_dir):
+    n = table(spark, sf_dir, "chunks_metadata").count()
+    return spark.createDataFrame([(k, fusion.pool_size(k, n, asked)) for k, asked in ((5, 0), (20, 0), (5, 7), (1000, 0))], "k int, pool long")
+
+
+@query(
+    "append_documents",
+    f"WITH {BM25_SQL} SELECT term, df FROM dfs",
+)
+def append_documents(spark, sf_dir):
+    """Document frequencies after an append equal those of one build."""
+    rows = _chunks(spark, sf_dir)
+    first, later = (lexical.build(rows.where(f"doc % 2 = {part}"), "doc", "text").postings for part in (0, 1))
+    return first.unionByName(later).groupBy("term").agg(F.count("*").alias("df"))
+
+
+# --- units and sections ------------------------------------------------------------------------------------------
+
+
+SECTIONS_SQL = f"""
+    WITH lines AS (SELECT doc_id, document_type, i, l[i] AS line FROM (SELECT doc_id, document_type, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), range(1, 20000) r(i) WHERE i <= len(l)),
+    pats AS (SELECT document_type, position, section_name, unnest(patterns) AS p FROM section_schema),
+    m AS (SELECT doc_id, i, arg_min(section_name, position) AS opens FROM lines JOIN pats USING (document_type)
+          WHERE regexp_matches({_strip("lower(line)")}, CASE WHEN regexp_matches(p, '^[\\p{{L}}\\p{{N}}_]') THEN '(^|[^\\p{{L}}\\p{{N}}_])' ELSE '' END || regexp_escape(p) || CASE WHEN regexp_matches(p, '[\\p{{L}}\\p{{N}}_]$') THEN '([^\\p{{L}}\\p{{N}}_]|$)' ELSE '' END)
+          GROUP BY doc_id, i),
+    named AS (SELECT doc_id, i, line, coalesce(last_value(opens IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), 'cabecalho') AS section_name FROM lines LEFT JOIN m USING (doc_id, i)),
+    sect AS (SELECT doc_id, section_name, {_strip("string_agg(line, chr(10) ORDER BY i)")} AS section_text FROM named GROUP BY doc_id, section_name)"""
+
+
+def _sections(spark, sf_dir) -> DataFrame:
+    # the schema is a fixed, small table
+    rows = table(spark, sf_dir, "section_schema").orderBy("document_type", "position").limit(10_000).collect()
+    schemas: dict[str, list] = {}
+    for r in rows:
+        schemas.setdefault(r.document_type, []).append((r.section_name, r.patterns))
+    parsed = {kind: sections.parse_schema(raw) for kind, raw in schemas.items()}
+    return sections.split_by_type(table(spark, sf_dir, "documents"), ["doc_id"], "text", "document_type", parsed)
+
+
+@query("section_split", f"{SECTIONS_SQL} SELECT doc_id, section_name, section_text FROM sect WHERE section_text <> ''")
+def section_split(spark, sf_dir):
+    """The sections of every document by its type's schema."""
+    return _sections(spark, sf_dir)
+
+
+@query("section_lengths", f"{SECTIONS_SQL} SELECT section_name, count(*) AS n, sum(length(section_text))::BIGINT AS chars FROM sect WHERE section_text <> '' GROUP BY section_name")
+def section_lengths(spark, sf_dir):
+    return _sections(spark, sf_dir).groupBy("section_name").agg(F.count("*").alias("n"), F.sum(F.length("section_text")).alias("chars"))
+
+
+@query(
+    "section_schema_parse",
+    "SELECT document_type, position, lower(trim(replace(section_name, ' ', '_'))) AS section_name, len(patterns) AS n_patterns FROM section_schema",
+)
+def section_schema_parse(spark, sf_dir):
+    tidy = F.replace(F.lower(F.trim("section_name")), F.lit(" "), F.lit("_"))
+    patterns = F.filter(F.transform("patterns", lambda p: F.lower(T.strip(p))), lambda p: p != "")
+    parsed = table(spark, sf_dir, "section_schema").select("document_type", "position", tidy.alias("section_name"), F.size(patterns).alias("n_patterns"))
+    return parsed.where("section_name <> '' and n_patterns > 0")
+
+
+@query("fake_embed_chunks", f"WITH {DENSE_SQL} SELECT doc, v AS embedding FROM ev")
+def fake_embed_chunks(spark, sf_dir):
+    return _with_vector(_chunks(spark, sf_dir), "text", "embedding").select("doc", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+@query("zero_vector_rows", f"SELECT doc FROM ({CHUNKS_SQL}) WHERE {_strip('text')} = ''")
+def zero_vector_rows(spark, sf_dir):
+    """Chunks that get a zero vector because nothing is left of them."""
+    embedded = units.embedded(_chunks(spark, sf_dir), "text", lambda x: F.array_repeat(F.lit(1.0).cast("float"), DIM), DIM)
+    return embedded.where(F.forall("embedding", lambda x: x == 0)).select("doc")
+
+
+@query("full_pooled_vectors", f"WITH {DENSE_SQL}, fv AS (SELECT file, v FROM ev JOIN ({CHUNKS_SQL}) USING (doc)), {POOL_SQL.format(key='file', rows='fv', n=DIM + 1)} SELECT file, pooled FROM pooled")
+def full_pooled_vectors(spark, sf_dir):
+    """The vector of each file, pooled over its chunks."""
+    chunks = _with_vector(_chunks(spark, sf_dir), "text", "embedding")
+    return V.mean_pool(chunks, ["file"], "embedding", "pooled").select("file", F.transform("pooled", lambda x: F.round(x, 5)).alias("pooled"))
+
+
+@query(
+    "sections_pooled_vectors",
+    f"""{SECTIONS_SQL}, wins AS (SELECT doc_id, section_name, unnest({_windows('section_text', 500)}) AS w FROM sect WHERE section_text <> ''),
+    wv AS (SELECT doc_id, section_name, {_vector('substr(w, 1, 8000)')} AS v FROM wins), {POOL_SQL.format(key='doc_id, section_name', rows='wv', n=DIM + 1)}
+    SELECT doc_id, section_name, pooled FROM pooled""",
+)
+def sections_pooled_vectors(spark, sf_dir):
+    """The vector of each section, pooled over its windows."""
+    windows = _with_vector(units.chunks(_sections(spark, sf_dir), ["doc_id", "section_name"], "section_text"), "chunk_text", "embedding")
+    pooled = V.mean_pool(windows, ["doc_id", "section_name"], "embedding", "pooled")
+    return pooled.select("doc_id", "section_name", F.transform("pooled", lambda x: F.round(x, 5)).alias("pooled"))
+
+
+# --- pages -------------------------------------------------------------------------------------------------------
+
+
+def _pages(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "chunks_metadata").select("file", F.col("doc_index").alias("page_no"), F.col("chunk_text").alias("text"), F.lit(False).alias("error"))
+    return P.triage(rows)
+
+
+PAGES_SQL = f"WITH pg AS (SELECT file, doc_index AS page_no, chunk_text AS text, coalesce(chunk_text IS NULL OR length({_strip('chunk_text')}) < 50 OR contains(chunk_text, '(cid:'), true) AS is_problematic FROM chunks_metadata)"
+
+
+@query("page_triage", f"{PAGES_SQL} SELECT file, page_no, is_problematic FROM pg")
+def page_triage(spark, sf_dir):
+    return _pages(spark, sf_dir).select("file", "page_no", "is_problematic")
+
+
+@query("page_runs", "SELECT file, min(p) AS first_page, max(p) AS last_page FROM (SELECT file, p, p - row_number() OVER (PARTITION BY file ORDER BY p) AS g FROM (SELECT DISTINCT file, doc_index AS p FROM chunks_metadata)) GROUP BY file, g")
+def page_runs(spark, sf_dir):
+    """Runs of consecutive chunks of a file, as of pages."""
+    return P.runs(table(spark, sf_dir, "chunks_metadata").select("file", F.col("doc_index").alias("page_no")))
+
+
+@query(
+    "page_merge",
+    f"""{PAGES_SQL}, x AS (SELECT file, page_no, CASE WHEN is_problematic THEN CASE WHEN page_no % 2 = 0 THEN 'lido ' || page_no ELSE '' END ELSE text END AS t, is_problematic FROM pg)
+    SELECT file, string_agg(t, chr(10) ORDER BY page_no) AS text FROM x WHERE NOT is_problematic OR t <> '' GROUP BY file""",
+)
+def page_merge(spark, sf_dir):
+    """Files put together from good pages and, for every second bad one, a recognised text."""
+    pages = _pages(spark, sf_dir)
+    read = pages.where("is_problematic").select("file", "page_no", F.when(F.col("page_no") % 2 == 0, F.concat(F.lit("lido "), F.col("page_no").cast("string"))).otherwise(F.lit("")).alias("recognised"))
+    return P.merge(pages, read)
+
+
+# --- reranking and evaluation ------------------------------------------------------------------------------------
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    return _results(spark, sf_dir).join(_asked(spark, sf_dir), "query_id").select("query_id", "query", "doc", "text", "rank")
+
+
+PASSAGES_SQL = f"""{HYBRID_SQL},
+    cand AS (SELECT query_id, query, doc, text, rank FROM hyb JOIN ({CHUNKS_SQL}) USING (doc) JOIN ({ASKED_SQL}) USING (query_id)),
+    ps AS (SELECT query_id, query, doc, rank, i - 1 AS passage_no, w[i] AS passage, len(w) AS n FROM (SELECT *, CASE WHEN len({_words('text')}) = 0 THEN [text] ELSE {_windows('text', 150)} END AS w FROM cand), range(1, 2000) r(i) WHERE i <= len(w))"""
+
+
+@query("passage_counts", f"{PASSAGES_SQL} SELECT query_id, doc, least(max(n), 4) AS n_passages FROM ps GROUP BY query_id, doc")
+def passage_counts(spark, sf_dir):
+    """How many passages of each candidate a reranker reads."""
+    return rerank.passages(_candidates(spark, sf_dir)).groupBy("query_id", "doc").agg(F.count("*").alias("n_passages"))
+
+
+@query("rerank_maxp")
+def rerank_maxp(spark, sf_dir):
+    """The candidates by their best passage, scored by word overlap."""
+    return rerank.rerank(_candidates(spark, sf_dir), rerank.OverlapReranker(), 5).withColumn("rerank_score", F.round("rerank_score", 6))
+
+
+EVAL_SQL = f"""{HYBRID_SQL},
+    res AS (SELECT query_id, rank, file, text FROM hyb JOIN ({CHUNKS_SQL}) USING (doc)),
+    lab AS (SELECT query_id, relevant_files, {_squeeze('relevant_text')} AS passage FROM labeled_queries),
+    pq AS (SELECT query_id, min(CASE WHEN list_contains(relevant_files, file) THEN rank END) AS first_rank,
+                  max(CASE WHEN passage <> '' THEN coalesce(contains({_squeeze('text')}, passage), false)::INT END) AS passage_hit FROM lab LEFT JOIN res USING (query_id) GROUP BY query_id)"""
+
+
+@query("mrr", f"{EVAL_SQL} SELECT query_id, first_rank FROM pq")
+def mrr(spark, sf_dir):
+    """The rank of the first result of a relevant file."""
+    return evaluate.per_query(_results(spark, sf_dir), table(spark, sf_dir, "labeled_queries")).select("query_id", "first_rank")
+
+
+@query("passage_recall", f"{EVAL_SQL} SELECT query_id, passage_hit FROM pq")
+def passage_recall(spark, sf_dir):
+    return evaluate.per_query(_results(spark, sf_dir), table(spark, sf_dir, "labeled_queries")).select("query_id", "passage_hit")
+
+
+@query(
+    "retrieval_metrics",
+    f"""{EVAL_SQL} SELECT round(avg((first_rank IS NOT NULL)::INT), 6) AS recall_at_k, round(avg(coalesce(1.0 / first_rank, 0)), 6) AS mrr, round(avg(passage_hit), 6) AS passage_recall_at_k,
+    (SELECT round(avg(length(text)), 6) FROM res) AS avg_result_chars, count(*) AS n_queries FROM pq""",
+)
+def retrieval_metrics(spark, sf_dir):
+    """Quality of the hybrid search over all labelled queries."""
+    return evaluate.metrics(_results(spark, sf_dir), table(spark, sf_dir, "labeled_queries"))
+
+
+KEYWORDS = ["prazo", "laudo", "valor"]
+SHARE_SQL = "(" + " + ".join(f"contains(lower(text), '{k}')::INT" for k in KEYWORDS) + f") / {len(KEYWORDS)}.0"
+
+
+@query("keyword_fraction", f"{EVAL_SQL} SELECT query_id, round(avg({SHARE_SQL}), 6) AS keyword_share FROM res GROUP BY query_id")
+def keyword_fraction(spark, sf_dir):
+    return evaluate.keyword_share(_results(spark, sf_dir), KEYWORDS)
+
+
+@query("file_diversity", f"{EVAL_SQL} SELECT query_id, round(count(DISTINCT file) / count(*), 6) AS diversity FROM res GROUP BY query_id")
+def file_diversity(spark, sf_dir):
+    return evaluate.file_diversity(_results(spark, sf_dir))
+
+
+@query(
+    "heuristic_no_time",
+    f"""{EVAL_SQL}, hs AS (SELECT query_id, avg(rrf_score) AS m, stddev_pop(rrf_score) AS s FROM hyb GROUP BY query_id),
+    rs AS (SELECT query_id, count(DISTINCT file) / count(*) AS d, avg({SHARE_SQL}) AS k FROM res GROUP BY query_id)
+    SELECT query_id, round(0.1 / 1.5 + 0.3 * m + 0.1 / (1 + s) + 0.3 * d + 0.2 * round(k, 6), 6) AS heuristic_score FROM hs JOIN rs USING (query_id)""",
+)
+def heuristic_no_time(spark, sf_dir):
+    """The deprecated mixed score, at a fixed time of 0.05 seconds."""
+    return evaluate.heuristic(_results(spark, sf_dir), "rrf_score", KEYWORDS, 0.05, hybrid=True)
+
+
+@query(
+    "compare_strategies",
+    """WITH v AS (SELECT vec_id, strategy, file, embeddings::DOUBLE[] AS e FROM indices WHERE embeddings IS NOT NULL AND len(embeddings) = 64),
+    p AS (SELECT q.vec_id AS query_id, b.strategy, b.vec_id AS doc, b.file, round(list_distance(q.e, b.e) ^ 2, 6) AS d FROM v q, v b WHERE q.vec_id % 100 = 0),
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, strategy ORDER BY d, doc) AS r FROM p) WHERE r <= 3)
+    SELECT query_id, strategy, round(avg(d), 6) AS avg_distance, count(DISTINCT file) AS n_files FROM k GROUP BY ALL""",
+)
+def compare_strategies(spark, sf_dir):
+    """Every hundredth vector asks each strategy's index."""
+    vectors = table(spark, sf_dir, "indices").where("embeddings is not null and size(embeddings) = 64").select(F.col("vec_id").alias("doc"), "strategy", "file", F.col("embeddings").alias("embedding"))
+    asked = vectors.where("doc % 100 = 0").select(F.col("doc").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = None
+    for strategy in ("chunks", "full"):
+        part = vectors.where(F.col("strategy") == strategy)
+        hits = dense.exact(part, asked, 3).join(part.select("doc", "file"), "doc").groupBy("query_id").agg(F.round(F.avg("distance"), 6).alias("avg_distance"), F.count_distinct("file").alias("n_files"))
+        hits = hits.select("query_id", F.lit(strategy).alias("strategy"), "avg_distance", "n_files")
+        found = hits if found is None else found.unionAll(hits)
+    return found
+
+
+SIZES = (1, 29, 100, 900, 999, 1000, 100_000, 100_001, 250_000, 250_001)
+SIZES_SQL = f"(VALUES {', '.join(f'({n})' for n in SIZES)}) t(n)"
+
+
+@query("index_kind_by_size", f"SELECT n, CASE WHEN n <= 100000 THEN 'flat' WHEN n <= 250000 THEN 'ivf_flat' ELSE 'ivf_sq8' END AS kind FROM {SIZES_SQL}")
+def index_kind_by_size(spark, sf_dir):
+    return spark.createDataFrame([(n, dense.choose_kind(n)) for n in SIZES], "n int, kind string")
+
+
+@query("nlist_by_size", f"SELECT n, greatest(1, least(greatest(1, floor(sqrt(n))::INT), greatest(1, n // 30))) AS lists FROM {SIZES_SQL}")
+def nlist_by_size(spark, sf_dir):
+    return spark.createDataFrame([(n, dense.list_count(n)) for n in SIZES], "n int, lists int")
