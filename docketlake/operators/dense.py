@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docketlake.functions import vectors as V
 
@@ -48,6 +49,7 @@ def exact(entries: DataFrame, queries: DataFrame, k: int, doc: str = "doc", vect
     count = asked.count()
     blocks = max(1, -(-count * dim // QUERY_BLOCK))
     kind, found = asked.schema["query_id"].dataType.simpleString(), []
+    id_kind = to_arrow_type(asked.schema["query_id"].dataType)
     usable = entries.where(F.col(vector).isNotNull() & (F.size(vector) == dim)).select(F.col(doc).alias("doc"), F.col(vector).cast("array<float>").alias("v"))
     doc_kind = usable.schema["doc"].dataType.simpleString()
     for block in range(blocks):
@@ -79,7 +81,7 @@ def exact(entries: DataFrame, queries: DataFrame, k: int, doc: str = "doc", vect
                     d = ((q[at] - wide[near]) ** 2).sum(1)
                     lengths = np.sqrt((q[at] ** 2).sum() * (wide[near] ** 2).sum(1))
                     s = np.divide(wide[near] @ q[at], lengths, out=np.zeros_like(d), where=lengths > 0)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[at]] * len(near)), batch.column(0).take(pa.array(near)), pa.array(d), pa.array(s)], ["query_id", "doc", "distance", "similarity"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[at]] * len(near), id_kind), batch.column(0).take(pa.array(near)), pa.array(d), pa.array(s)], ["query_id", "doc", "distance", "similarity"])
 
         found.append(usable.mapInArrow(near, f"query_id {kind}, doc {doc_kind}, distance double, similarity double"))
     if not found:
