@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from docketlake.functions import text as T
+from docketlake.session import checkpointed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -25,10 +26,12 @@ class Bm25Index:
 
 def build(entries: DataFrame, doc: str, text: str, tokens=T.search_tokens) -> Bm25Index:
     """The index of the texts (doc, text). A null or empty text is a document without terms."""
-    tokenised = entries.select(F.col(doc).alias("doc"), F.coalesce(tokens(text), F.array().cast("array<string>")).alias("tokens"))
-    corpus = tokenised.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
-    # counted within a task first: a document is never in two
+    tokenised = entries.select(F.col(doc).alias("doc"), tokens(text).alias("tokens"))
+    # counted within a task first, as a document is never in two; kept, as all that follows reads it
     counted = tokenised.select("doc", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
+    counted = checkpointed(counted)
+    corpus = entries.agg(F.count("*").alias("n_docs")).join(F.broadcast(counted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))))
+    corpus = corpus.select("n_docs", (F.col("n_tokens") / F.greatest("n_docs", F.lit(1))).alias("avg_len"))
     frequencies = counted.groupBy("term").agg(F.count("*").alias("df"))
     raw = frequencies.join(F.broadcast(corpus)).select("term", "df", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     # a negative weight becomes a share of the mean over the vocabulary
