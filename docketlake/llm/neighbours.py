@@ -87,6 +87,16 @@ def encode(vectors: np.ndarray, books: np.ndarray, beam: int = 2, chunk: int = 1
     return codes, left
 
 
+def _true_places(mask: np.ndarray) -> np.ndarray:
+    """Where a mask with few true places is true, in the flat array; eight places are looked at as one byte."""
+    packed = np.packbits(mask)
+    some = np.flatnonzero(packed)
+    return ((some << 3)[:, None] + _BITS)[np.unpackbits(packed[some]).reshape(-1, 8).view(bool)]
+
+
+_BITS = np.arange(8)
+
+
 class _Strip:
     """A block of queries and their k best neighbours so far."""
 
@@ -155,9 +165,13 @@ class _Strip:
                 norm, slack = norms[part].mean(), self.margin * left[part].mean()
                 least = (self.best[top : top + lines, -1] - slack) * norm * self.SCALE
                 least = np.floor(np.maximum(least, -32000)).astype(np.int16)
-                hits = np.flatnonzero(score[:n] >= least[None, :])
+                hits = _true_places(score[:n] >= least[None, :])
                 if len(hits):
                     columns, rows = np.divmod(hits, len(asked))
+                    if 100 * len(hits) > score[:n].size:
+                        # so many that one product of the tile costs less than gathering each pair
+                        near = (vectors[part] @ asked.T).ravel()[hits] >= self.best[top + rows, -1] - 1e-5
+                        columns, rows = columns[near], rows[near]
                     order = np.argsort(rows.astype(np.uint16), kind="stable")
                     self._exact(rows[order] + top, columns[order] + low, ids, vectors)
 
@@ -240,30 +254,40 @@ def nearest(
 
     blobs = blocked.repartition(parts, "group", "own").mapInArrow(gather, "group long, blocks int, own int, ids binary, units binary, codes binary, lefts binary")
     blobs = checkpointed(blobs)
-    none = F.lit(None).cast("binary")
-    asks = blobs.select("group", F.floor(F.col("own") / strip).cast("int").alias("strip"), (-1 - F.col("own")).alias("own"), "ids", "units", none.alias("codes"), none.alias("lefts"))
     strips = F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / strip).cast("int"))
-    bases = blobs.select("group", F.explode(strips).alias("strip"), "own", "ids", "units", "codes", "lefts")
-    # the asking blocks, which have negative numbers, come first
-    met = asks.unionAll(bases).repartition(parts, "group", "strip").sortWithinPartitions("group", "strip", "own")
+    met = blobs.select("group", F.explode(strips).alias("strip"), "own", "ids", "units", "codes", "lefts")
+    # a strip's own blocks, which ask, come first
+    met = met.select("group", "strip", (F.floor(F.col("own") / strip) != F.col("strip")).alias("other"), "own", "ids", "units", "codes", "lefts")
+    met = met.repartition(parts, "group", "strip").sortWithinPartitions("group", "strip", "other", "own")
 
     def search(batches):
         asking, now, built = [], None, None
+
+        def begin():
+            made = _Strip(np.concatenate([x[0] for x in asking]), np.concatenate([x[1] for x in asking]), books.value, k, margin)
+            for block in asking:
+                made.meet(*block)
+            return made
+
         for batch in batches:
-            for group, at, own, *blob in zip(*(c.to_pylist() for c in batch.columns)):
-                ids, units = np.frombuffer(blob[0], np.int64), np.frombuffer(blob[1], np.float32).reshape(-1, dim)
+            for group, at, other, _, *blob in zip(*(c.to_pylist() for c in batch.columns)):
+                block = (
+                    np.frombuffer(blob[0], np.int64),
+                    np.frombuffer(blob[1], np.float32).reshape(-1, dim),
+                    np.frombuffer(blob[2], np.uint8).reshape(-1, stages),
+                    np.frombuffer(blob[3], np.float32),
+                )
                 if (group, at) != now:
-                    if built is not None:
-                        yield _found(built)
+                    if asking:
+                        yield _found(built or begin())
                     asking, now, built = [], (group, at), None
-                if own < 0:
-                    asking.append((ids, units))
+                if not other:
+                    asking.append(block)
                 elif asking:
-                    if built is None:
-                        built = _Strip(*(np.concatenate(x) for x in zip(*asking)), books.value, k, margin)
-                    built.meet(ids, units, np.frombuffer(blob[2], np.uint8).reshape(-1, stages), np.frombuffer(blob[3], np.float32))
-        if built is not None:
-            yield _found(built)
+                    built = built or begin()
+                    built.meet(*block)
+        if asking:
+            yield _found(built or begin())
 
     return met.mapInArrow(search, "id long, rank int, neighbour long, similarity float")
 
