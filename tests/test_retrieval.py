@@ -87,7 +87,7 @@ def test_metrics(spark):
     labelled = spark.createDataFrame([(1, ["a"], "passagem longa"), (2, ["b"], None), (3, ["q"], "nada")], "query_id int, relevant_files array<string>, relevant_text string")
     row = evaluate.metrics(results, labelled).first()
     assert (row.recall_at_k, row.mrr, row.n_queries) == (round(2 / 3, 6), 0.5, 3)
-    assert row.passage_recall_at_k == 0.5 and row.avg_result_chars == (20 + 1 + 1 + 2) / 4
+    assert row.passage_recall_at_k == 0.5 and row.avg_result_chars == (19 + 1 + 1 + 2) / 4
     empty = evaluate.metrics(results.limit(0), labelled.limit(0)).first()
     assert (empty.recall_at_k, empty.mrr, empty.passage_recall_at_k, empty.avg_result_chars) == (0.0, 0.0, None, 0.0)
 
