@@ -10,6 +10,8 @@ from docketlake.functions import text as T, vectors as V
 from docketlake.operators import sections as S
 
 Embed = Callable[[Column], Column]
+#: The size of the largest broadcast filter, in bits (16 MB).
+MOST_BITS = 1 << 27
 
 
 def chunks(documents: DataFrame, keys: list[str], text: str, size: int = T.CHUNK_WORDS) -> DataFrame:
@@ -57,3 +59,41 @@ def entry_text(entries: DataFrame) -> Column:
     if "content" in entries.columns:
         have.append(F.array_join("content", " "))
     return F.coalesce(*have, F.lit(""))
+
+
+def copied_from(asked: DataFrame, texts: DataFrame, run: int = 12) -> DataFrame:
+    """The query_id of each passage, in ``asked`` (query_id, relevant_text, file), of which ``run`` consecutive words stand in a text of its file (file, chunk_text), white space and case aside.
+
+    As in ``looks_copied``, the run's first word may end a longer one and its
+    last word begin one. What stands between them is joined on its hash with
+    the file, so a file with many passages and texts is spread like any other.
+    """
+
+    def runs(text: str):
+        def at(words: Column) -> Column:
+            starts = F.when(F.size(words) >= run, F.sequence(F.lit(0), F.size(words) - run)).otherwise(F.array().cast("array<int>"))
+
+            def one(i: Column) -> Column:
+                inner = F.array_join(F.slice(words, i + 2, run - 2), " ")
+                return F.struct(F.xxhash64("file", inner).alias("inner"), F.get(words, i).alias("first"), F.get(words, i + run - 1).alias("last"))
+
+            return F.transform(starts, one)
+
+        return F.inline(T.let(T.words(F.lower(F.col(text))), at))
+
+    wanted = asked.where("file is not null and relevant_text is not null")
+    passages = wanted.select("query_id", runs("relevant_text")).select("query_id", "inner", F.col("first").alias("begins"), F.col("last").alias("ends"))
+    bits, kept = _filter_of(passages, "inner")
+    met = texts.where("chunk_text is not null").select(runs("chunk_text")).join(F.broadcast(bits), kept).select("inner", "first", "last").distinct().join(passages, "inner")
+    return met.where(F.endswith("first", "begins") & F.startswith("last", "ends")).select("query_id").distinct()
+
+
+def _filter_of(rows: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """One row with ``bits``, a bit filter of the longs ``key``, of at most MOST_BITS; and the condition, which holds for all of them and few others."""
+    size = min(MOST_BITS, 1 << (8 * rows.count() + 64).bit_length())
+    place = F.pmod(F.col(key), F.lit(size))
+    at, bit = F.shiftright(place, 6).cast("int"), place.bitwiseAND(F.lit(63)).cast("int")
+    some = rows.select(at.alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("one")).groupBy("at").agg(F.bit_or("one").alias("word"))
+    dense = rows.sparkSession.range(size >> 6).select(F.col("id").cast("int").alias("at")).join(some, "at", "left").fillna(0, ["word"])
+    bits = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("bits"))
+    return bits, F.getbit(F.get("bits", at), bit) == 1

@@ -300,6 +300,23 @@ def looks_copied(spark, sf_dir):
     return asked.join(firsts, "file").select("query_id", T.looks_copied("relevant_text", "chunk_text").alias("copied"))
 
 
+@query(
+    "looks_copied_anywhere",
+    f"""WITH a AS (SELECT query_id, relevant_files, {_words('lower(relevant_text)')} AS w FROM labeled_queries WHERE relevant_text IS NOT NULL),
+    f AS (SELECT DISTINCT query_id, unnest(relevant_files) AS file FROM a),
+    b AS (SELECT file, {_squeeze('lower(chunk_text)')} AS b FROM chunks_metadata WHERE chunk_text IS NOT NULL),
+    hit AS (SELECT DISTINCT query_id FROM f JOIN a USING (query_id) JOIN b USING (file)
+            WHERE list_bool_or(list_transform(range(1, len(w) - 10), lambda i: contains(b, array_to_string(list_slice(w, i, i + 11), ' ')))))
+    SELECT query_id, hit.query_id IS NOT NULL AS copied FROM a LEFT JOIN hit USING (query_id)""",
+)
+def looks_copied_anywhere(spark, sf_dir):
+    """Whether a labelled passage was copied from any chunk of any of its files; false also without a file."""
+    asked = table(spark, sf_dir, "labeled_queries").where("relevant_text is not null").select("query_id", "relevant_text", "relevant_files")
+    chunks = table(spark, sf_dir, "chunks_metadata").where("chunk_text is not null").select("file", "chunk_text")
+    of_file = asked.select("query_id", "relevant_text", F.explode("relevant_files").alias("file"))
+    return asked.select("query_id").join(units.copied_from(of_file, chunks).withColumn("copied", F.lit(True)), "query_id", "left").fillna(False)
+
+
 @query(
     "stratified_sample",
     "SELECT file, doc_index FROM (SELECT file, doc_index, row_number() OVER (PARTITION BY file ORDER BY doc_index * 7919 % 104729, doc_index) AS r FROM chunks_metadata WHERE length(chunk_text) >= 600) WHERE r <= 2",

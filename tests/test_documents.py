@@ -133,3 +133,16 @@ def test_arriving_files_are_appended_once(spark, tmp_path):
         (tmp_path / "in" / f"{round_}.txt").write_text(f"documento {round_}", "utf-8")
         arrivals.append_chunks(arrivals.arriving(spark, base), target, checkpoint).awaitTermination()
     assert sorted(r.chunk_text for r in spark.read.parquet(target).collect()) == ["documento 0", "documento 1"]
+
+
+def test_copies_are_found_in_every_chunk_of_every_file(spark, tmp_path):
+    from docketlake.plans import catalog
+
+    said = [f"palavra{i}" for i in range(12)]
+    passage = " ".join(said)
+    chunks = [("a", 0, "nada"), ("a", 1, f"Antes, a{passage.upper()}s\n depois"), ("b", 0, "nada"), ("c", 0, passage.replace(" ", " \n")), ("d", 0, " ".join(said[:11])), ("d", 1, None)]
+    asked = [(1, ["a"], passage), (2, ["b", "c"], passage), (3, ["d"], passage), (4, ["c"], " ".join(said[:11])), (5, None, passage), (6, ["a", "a"], "x " + passage), (7, ["a"], None), (8, [None], passage)]
+    spark.createDataFrame(chunks, "file string, chunk_index int, chunk_text string").write.parquet(f"{tmp_path}/chunks_metadata.parquet")
+    spark.createDataFrame(asked, "query_id long, relevant_files array<string>, relevant_text string").write.parquet(f"{tmp_path}/labeled_queries.parquet")
+    found = sorted(map(tuple, catalog.QUERIES["looks_copied_anywhere"](spark, str(tmp_path)).collect()))
+    assert found == [(1, True), (2, True), (3, False), (4, False), (5, False), (6, True), (8, False)]
