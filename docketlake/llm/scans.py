@@ -22,15 +22,17 @@ in all. Numbers beside such lines or in the usual forms are page numbers, unless
 a list of figures.
 
 A word is rare in a window, the texts of one batch, if it occurs at most
-``RARE`` times in it; words that are rarer than a frequent confusable word by
-``ratio`` are rare in each window of any corpus. Nulls and empty texts give no
-rows; texts of one line have no line ends. Rows repeated with their id count
-as often as they occur in counts and once in results.
+``RARE`` times in it; the scan keeps the ids of its texts. A misread word may
+be more frequent in a window, such as one of a header on every page: once the
+misread words are known, the texts of those windows are read again for it.
+Nulls and empty texts give no rows; texts of one line have no line ends. Rows
+repeated with their id count as often as they occur in counts and once in results.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -42,6 +44,8 @@ from docketlake.session import checkpointed
 CONFUSIONS = "0 o|0 O|1 l|1 i|1 I|5 s|5 S|6 b|6 G|8 B|9 g|2 z|@ a|( c|c e|f t|ii u|u n|rn m|cl d|d cl|b h|h li|n ri|g q|ä ã|ö õ|vv w|iii m"
 PAIRS = [tuple(pair.split()) for pair in CONFUSIONS.split("|")]
 RARE = 50
+#: Places of the filter by which the second reading leaves words out.
+PLACES = 1 << 20
 
 _WORD = re.compile(r"[\w@](?:[\w@(-]*[\w@])?")
 _TAIL = re.compile(r"[\w@(]+$")
@@ -233,11 +237,16 @@ def _usable(items: DataFrame, key: str, text: str, file: str) -> DataFrame:
     return items.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("long").alias("id"), F.col(text).alias("content"), F.col(file).alias("file"))
 
 
+def _words_of(content: str) -> list[str]:
+    return Layout(content).words() if "\n" in content else _WORD.findall(content)
+
+
 def observed(texts: DataFrame) -> DataFrame:
     """What one scan of the texts (id, content, file) sees, as rows of ``kind``.
 
     'word': the word ``key`` occurs ``n`` times in a window, in the texts
-    ``ids`` where it is rare there. 'cut': ``left``, ``mark`` and ``right`` at
+    ``ids`` where it is rare there; else ``id`` names the window, of which
+    'window' gives the ``ids`` of all texts. 'cut': ``left``, ``mark`` and ``right`` at
     a line end of ``id``. 'page', 'header' and 'doubtful': such a line, levelled
     as ``key`` and masked as ``left``, in ``id`` of ``file``.
     """
@@ -260,11 +269,15 @@ def observed(texts: DataFrame) -> DataFrame:
                     words = _WORD.findall(content)
                 counts.update(words)
                 said.append((row_id, words))
+            if not said:
+                continue
+            window = said[0][0]
             rare = {word for word, n in counts.items() if n <= RARE}
             for row_id, words in said:
                 for word in rare.intersection(words):
                     where[word].add(row_id)
-            rows += [("word", word, n, sorted(where[word]) if word in rare else None, None, None, None, None, None) for word, n in counts.items()]
+            rows += [("word", word, n, *((sorted(where[word]), None) if word in rare else (None, window)), None, None, None, None) for word, n in counts.items()]
+            rows.append(("window", None, 1, sorted({row_id for row_id, _ in said}), window, None, None, None, None))
             columns = list(zip(*rows)) or [()] * len(_KINDS)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], _NAMES)
 
@@ -329,8 +342,10 @@ class Evidence:
         words = seen.where("kind = 'word'")
         self.counts = checkpointed(words.groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("n")))
         self.corrections = checkpointed(corrections(self.counts, ratio))
-        rare = words.where("ids is not null").select(F.col("key").alias("word"), "ids").join(self.corrections, "word")
-        self.misread = rare.select("word", "meant", F.explode("ids").alias("id")).distinct()
+        known = words.select(F.col("key").alias("word"), "ids", "id").join(self.corrections, "word")
+        rare = known.where("ids is not null").select("word", "meant", F.explode("ids").alias("id"))
+        crowded = checkpointed(known.where("ids is null").select("word", "meant", F.col("id").alias("window")).distinct())
+        self.misread = rare.unionAll(self._reread(crowded, seen.where("kind = 'window'"))).distinct()
         self.cuts = self._cuts(seen.where("kind = 'cut'"))
         self.pages = seen.where("kind = 'page'").select("id").distinct()
         lines = seen.select("kind", "id", "file", F.col("key").alias("line"), F.col("left").alias("shape"))
@@ -341,6 +356,27 @@ class Evidence:
         again = doubtful.join(known, ["file", "line"], "left_semi").unionByName(doubtful.join(forms, "shape", "left_semi"))
         self.headers = certain.unionByName(again).select("id", "line").distinct()
 
+    def _reread(self, crowded: DataFrame, windows: DataFrame) -> DataFrame:
+        """(word, meant, id) of all texts, in the windows of the misread words ``crowded`` (word, meant, window), that have such a word."""
+        meant = crowded.select("word", "meant").distinct()
+        # at most PLACES numbers come to the driver; the filter loses no word, and the join drops what it lets through
+        places = {r[0] for r in meant.select(F.crc32(F.col("word").cast("binary")) % PLACES).distinct().collect()}
+        if not places:
+            return meant.withColumn("id", F.lit(None).cast("long")).limit(0)
+        ids = windows.join(crowded.select(F.col("window").alias("id")).distinct(), "id", "left_semi").select(F.explode("ids").alias("id")).distinct()
+
+        def scan(batches):
+            for batch in batches:
+                found, where = [], []
+                for row_id, content in zip(*(c.to_pylist() for c in batch.columns)):
+                    held = [word for word in set(_words_of(content)) if zlib.crc32(word.encode()) % PLACES in places]
+                    found += held
+                    where += [row_id] * len(held)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(where, pa.int64())], ["word", "id"])
+
+        again = self.texts.join(ids, "id", "left_semi").select("id", "content").mapInArrow(scan, "word string, id long")
+        return again.join(meant, "word").select("word", "meant", "id")
+
     def _cuts(self, cuts: DataFrame) -> DataFrame:
         """(id, left, right, mark) of the words that have no hyphen of their own."""
         cuts = cuts.select("id", "left", "right", "mark").withColumn("joined", F.concat("left", "right")).withColumn("hyphened", F.concat_ws("-", "left", "right"))

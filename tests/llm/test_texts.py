@@ -85,6 +85,15 @@ def test_scan_noise(spark):
     assert scans.Evidence(table.limit(0), "id", "t", "file").cases().count() == 0
 
 
+def test_a_misread_word_in_many_texts_of_a_batch(spark):
+    rows = [(i, "embargo da obra " * 100, "g") for i in range(60)] + [(1000 + i, "emb@rgo\nda obra" if i % 2 else "o emb@rgo", "f") for i in range(200)]
+    table = spark.createDataFrame(rows, "id long, t string, file string").coalesce(1)
+    found = {r.id for r in scans.Evidence(table, "id", "t", "file").cases().where("kind = 'misread'").collect()}
+    assert found == set(range(1000, 1200))
+    made = {r.id: r.clean_text for r in scans.repaired(table, "id", "t", "file").collect()}
+    assert set(made) == found and all("embargo" in text for text in made.values())
+
+
 def test_anagram_hash_moves_by_a_constant(spark):
     rows = spark.createDataFrame([("embargo",), ("emb@rgo",)], "w string").select(scans.anagram_hash("w").alias("h")).collect()
     assert rows[0].h - rows[1].h == scans._difference("@", "a")
