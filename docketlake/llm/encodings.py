@@ -2,9 +2,10 @@
 
 Every distinct clean word of the corpus is garbled under all chains of
 encodings: written in one encoding and read in another, once or twice. The
-garbled forms are hash-joined with the tokens of the texts; a token that is a
-garbled form of a word that the corpus knows far better is a case, and its
-original is that word. Chains that lose characters are covered like the
+garbled forms are hash-joined with the tokens of the texts. A form that no
+clean text has, such as UTF-8 read as single bytes, is a case however many
+texts have it. Other forms are cases if the corpus knows the word far better, or
+if another token of the text comes from the same chain. Chains that lose characters are covered like the
 others, because the table is built forwards.
 
 Text read two bytes at a time (UTF-16) has no words; there, every window of
@@ -175,15 +176,27 @@ def _plain_batch(plain: Counter[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(plain.keys(), pa.string()), pa.nulls(len(plain), pa.int64()), pa.array(plain.values(), pa.int64())], ["token", "id", "n"])
 
 
+def distinctive(form: str, chain: tuple[str, ...]) -> bool:
+    """Whether clean text cannot hold the form: it has a lost or control character, or letters of UTF-8 as several ones."""
+    if any(c == "�" or "\x80" <= c < "\xa0" for c in form):
+        return True
+    odd = [c for c in form if not c.isascii()]
+    # a word wholly in another alphabet may be one
+    return chain[0] == "utf-8" and len(odd) > 1 and not (form.isalpha() and len(odd) == len(form) and any(c > "\u036f" for c in form))
+
+
 def forms(words: DataFrame) -> DataFrame:
-    """(token, word, n, chain, steps): the garbled forms of the clean words (word, n)."""
+    """(token, word, n, chain, steps, sure, chains): the garbled forms of the clean words (word, n).
+
+    ``chain`` is the first of the ``chains`` that give the form; ``sure`` says that the form is distinctive.
+    """
     all_chains = chains()
 
     def garble(batches):
         for batch in batches:
             rows = []
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                made: dict[str, int] = {}
+                made: dict[str, list[int]] = {}
                 for number, chain in enumerate(all_chains):
                     form = garbled(word, chain)
                     # one character for one is too little evidence: an ellipsis is also a garbled letter
@@ -191,14 +204,16 @@ def forms(words: DataFrame) -> DataFrame:
                         continue
                     # nor are letters that look alike: they need another repair
                     if not all(c.isascii() or c in TO_LATIN for c in form):
-                        made.setdefault(form.strip(EDGES) if len(form.strip(EDGES)) > 1 else form, number)
-                rows += [(form, word, n, number, len(all_chains[number]) // 2) for form, number in made.items()]
-                rows += [(window, word, n, -1, 1) for window in wide_windows(word)]
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["token", "word", "n", "chain", "steps"])
+                        made.setdefault(form.strip(EDGES) if len(form.strip(EDGES)) > 1 else form, []).append(number)
+                for form, numbers in made.items():
+                    first = all_chains[numbers[0]]
+                    rows.append((form, word, n, numbers[0], len(first) // 2, distinctive(form, first), numbers))
+                rows += [(window, word, n, -1, 1, True, [-1]) for window in wide_windows(word)]
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["token", "word", "n", "chain", "steps", "sure", "chains"])
 
-    return words.mapInArrow(garble, "token string, word string, n long, chain int, steps int")
+    return words.mapInArrow(garble, "token string, word string, n long, chain int, steps int, sure boolean, chains array<int>")
 
 
 def _usable(items: DataFrame, key: str, text: str) -> DataFrame:
@@ -208,24 +223,37 @@ def _usable(items: DataFrame, key: str, text: str) -> DataFrame:
 def matches(items: DataFrame, key: str, text: str, least: int = 2, ratio: int = 3) -> DataFrame:
     """(id, token, word, chain): the garbled tokens of each text and their originals.
 
-    A clean word must occur at least ``least`` times, and ``ratio`` times as
-    often as texts have the garbled token. Of several originals the one with
-    the fewest steps, then the most frequent, then the first by its letters counts.
+    A clean word must occur at least ``least`` times. Unless the form is
+    distinctive, it must also occur ``ratio`` times as often as texts have the
+    garbled token, or another token of the text must come from the same chain.
+    Of several originals the one with the fewest steps, then the most frequent,
+    then the first by its letters counts.
     """
     seen = checkpointed(sightings(_usable(items, key, text)))
     words = seen.where("id is null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     odd = seen.where("id is not null").select("token", "id").distinct()
     known = odd.groupBy("token").agg(F.count("*").alias("texts"))
-    best = Window.partitionBy("token").orderBy("steps", F.desc("n"), "word")
-    originals = (
+    possible = checkpointed(
         forms(words.select(F.col("token").alias("word"), "n"))
         .join(known, "token")
-        .where(F.col("n") >= F.lit(ratio) * F.col("texts"))
-        .withColumn("place", F.row_number().over(best))
-        .where("place = 1")
-        .select("token", "word", "chain")
+        .withColumn("sure", F.col("sure") | (F.col("n") >= F.lit(ratio) * F.col("texts")))
     )
-    return odd.join(originals, "token").select("id", "token", "word", "chain")
+    best = Window.partitionBy("token").orderBy("steps", F.desc("n"), "word")
+    originals = possible.where("sure").withColumn("place", F.row_number().over(best)).where("place = 1").select("token", "word", "chain")
+    found = odd.join(originals, "token").select("id", "token", "word", "chain")
+    # the other forms' tokens: each chain's best original, in the texts where the chain has made two tokens at least
+    doubtful = possible.where("not sure").join(originals, "token", "left_anti").select("token").distinct()
+    if doubtful.isEmpty():
+        return found
+    of_chain = possible.select("token", "word", "n", "steps", F.explode("chains").alias("chain"))
+    best_of_chain = Window.partitionBy("token", "chain").orderBy(F.desc("n"), "word")
+    of_chain = of_chain.withColumn("place", F.row_number().over(best_of_chain)).where("place = 1").drop("place")
+    near = odd.join(odd.join(doubtful, "token", "left_semi").select("id").distinct(), "id", "left_semi")
+    met = near.join(of_chain, "token")
+    confirmed = met.groupBy("id", "chain").agg(F.count("*").alias("tokens")).where("tokens > 1")
+    best_here = Window.partitionBy("id", "token").orderBy(F.desc("tokens"), "steps", F.desc("n"), "chain")
+    also = met.join(doubtful, "token", "left_semi").join(confirmed, ["id", "chain"]).withColumn("place", F.row_number().over(best_here)).where("place = 1")
+    return found.unionByName(also.select("id", "token", "word", "chain"))
 
 
 def affected(items: DataFrame, key: str, text: str, **options) -> DataFrame:

@@ -48,6 +48,20 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert encodings.affected(table.limit(0), "id", "t").count() == 0
 
 
+def test_garbled_texts_are_found_whatever_their_share(spark):
+    original = "execução da sentença não concluída"
+    rows = [(i, "A execução da sentença não foi concluída") for i in range(4)]
+    chains = [("utf-8", "cp1252"), ("utf-8", "cp1251"), ("latin-1", "cp850"), ("latin-1", "utf-8"), ("utf-8", "cp1252", "utf-8", "cp1252")]
+    wrong = {100 * (at + 1) + i: encodings.garbled(original, c) for at, c in enumerate(chains) for i in range(20)}
+    # one token of a form that clean text may have says too little
+    alone = [(2000 + i, encodings.garbled("não", ("latin-1", "cp850"))) for i in range(9)]
+    wide = {3000 + i: original.encode("cp1252").decode("utf-16-le", "ignore") for i in range(20)}
+    table = spark.createDataFrame([*rows, *wrong.items(), *alone, *wide.items(), (4000, "½ µm Вторник")], "id long, t string")
+    assert {r.id for r in encodings.affected(table, "id", "t").collect()} == set(wrong) | set(wide)
+    made = {r.id: r.restored_text for r in encodings.repaired(table, "id", "t").collect()}
+    assert all(made[i] == original for i in wrong)
+
+
 def test_chains_are_undone():
     for chain in encodings.chains():
         form = encodings.garbled("ação", chain)
