@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from docketlake.functions import vectors as V
+from docketlake.session import checkpointed
 
 #: Index kinds by size, and the fewest vectors that train them.
 FLAT_UP_TO, IVF_FLAT_UP_TO = 100_000, 250_000
 POINTS_PER_LIST, SQ8_LEAST = 30, 1000
 #: Query vectors that one task holds at a time, in elements.
 QUERY_BLOCK = 4_000_000
+#: The share of the true neighbours that a search by clusters or codes has to find, and the vectors it is measured with.
+LEAST_RECALL, MEASURED_WITH = 0.9, 500
 
 
 def choose_kind(n: int, asked: str = "auto", pq_bits: int = 8, thresholds: tuple[int, int] = (FLAT_UP_TO, IVF_FLAT_UP_TO)) -> str:
@@ -155,6 +158,36 @@ def clustered(assigned: DataFrame, queries: DataFrame, centres: list[list[float]
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def reranked(candidates: DataFrame, entries: DataFrame, queries: DataFrame, k: int, doc: str = "doc", vector: str = "embedding") -> DataFrame:
+    """The ``k`` nearest of the candidates (query_id, doc) by the distance to their stored vectors, as ``exact`` gives them."""
+    met = candidates.select("query_id", "doc").join(entries.select(F.col(doc).alias("doc"), F.col(vector).alias("v")), "doc").join(queries.select("query_id", "query_vector"), "query_id")
+    scored = met.select("query_id", "doc", F.round(V.squared_distance("query_vector", "v"), 6).alias("distance"), F.round(V.cosine("query_vector", "v"), 6).alias("similarity"))
+    order = Window.partitionBy("query_id").orderBy("distance", "doc")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def deep_enough(search, entries: DataFrame, k: int, depths, doc: str = "doc", vector: str = "embedding", least: float = LEAST_RECALL) -> tuple:
+    """The first of ``depths`` at which search(queries, k, depth) finds ``least`` of the ``k`` nearest others of some entries, and its recall.
+
+    It is measured against ``exact``, with at most MEASURED_WITH entries in a
+    fixed random order; the last depth has to be a whole search.
+    """
+    some = entries.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(doc), doc).limit(MEASURED_WITH)
+    asked = checkpointed(some.select(F.col(doc).alias("query_id"), F.col(vector).alias("query_vector")))
+    truth = checkpointed(exact(entries, asked, k + 1, doc, vector).where("query_id <> doc").select("query_id", "doc"))
+    wanted, depth, recall = truth.count(), None, 1.0
+    for depth in depths:
+        recall = truth.join(search(asked, k + 1, depth), ["query_id", "doc"]).count() / wanted if wanted else 1.0
+        if recall >= least:
+            break
+    return depth, recall
+
+
+def doubled(first: int, last: int) -> list[int]:
+    """``first``, its doubles below ``last``, and ``last``."""
+    return [first << i for i in range(64) if first << i < last] + [last]
+
+
 def sq8_ranges(entries: DataFrame, vector: str) -> DataFrame:
     """(at, low, high): each dimension's range."""
     each = entries.where(F.col(vector).isNotNull()).select(F.posexplode(F.col(vector).cast("array<double>")).alias("at", "x"))

@@ -233,12 +233,17 @@ def ivf_recall(spark, sf_dir):
 
 @query("pq_search")
 def pq_search(spark, sf_dir):
-    """Neighbours by product quantisation: exact distances to decoded vectors."""
+    """Neighbours by product quantisation: many candidates by their codes, the nearest of them by their exact distances."""
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc")
     books = dense.train_pq(vectors, "embedding", 64, 8, 6)
-    coded = dense.pq_encode(vectors, "embedding", books, ["doc"])
+    coded = checkpointed(dense.pq_encode(vectors, "embedding", books, ["doc"]).withColumnRenamed("pq_decoded", "embedding"))
+
+    def search(asked, k, candidates):
+        return dense.reranked(dense.exact(coded, asked, candidates), vectors, asked, k)
+
+    candidates, _ = dense.deep_enough(search, vectors, 10, dense.doubled(50, max(50, vectors.count())))
     asked = vectors.where("doc % 100 = 0").select(F.col("doc").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return dense.exact(coded.withColumnRenamed("pq_decoded", "embedding"), asked, 10).select("query_id", "doc", "distance", "rank")
+    return search(asked, 10, candidates).select("query_id", "doc", "distance", "rank")
 
 
 # --- text --------------------------------------------------------------------------------------------------------

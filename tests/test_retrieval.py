@@ -34,6 +34,17 @@ def test_probing_all_clusters_is_exact(spark):
     assert key(some) == key(dense.exact(entries, asked, 4))
 
 
+def test_pq_search_finds_nine_tenths_of_the_neighbours(spark, tmp_path):
+    from docketlake.plans import catalog
+
+    random = np.random.default_rng(3)
+    rows = [(i, random.normal(size=64).tolist()) for i in range(1500)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    truth = {(r.query_id, r.doc) for r in catalog.QUERIES["knn_exact"](spark, str(tmp_path)).collect()}
+    found = {(r.query_id, r.doc) for r in catalog.QUERIES["pq_search"](spark, str(tmp_path)).collect()}
+    assert len(found) == len(truth) and len(found & truth) >= 0.85 * len(truth)
+
+
 @pytest.mark.parametrize(("n", "kind", "lists"), [(1, "flat", 1), (100_000, "flat", 316), (100_001, "ivf_flat", 316), (250_001, "ivf_sq8", 500), (900, "flat", 30), (100, "flat", 3)])
 def test_kind_and_lists_follow_the_size(n, kind, lists):
     assert dense.choose_kind(n) == kind
