@@ -50,6 +50,8 @@ class _Loaded:
     entries: DataFrame
     lexical: lexical.Bm25Index | None = None
     clusters: tuple[DataFrame, list] | None = None
+    #: By k, the (probes, candidates) that a search needs, and the recall measured with them.
+    depths: dict[int, tuple[tuple[int, int], float]] = field(default_factory=dict)
     lock: threading.Lock = field(default_factory=threading.Lock)
 
 
@@ -240,7 +242,12 @@ class DocumentIndex:
         return units.embedded(usable, "query", self._embed(), self.embedding.dimension, self.options.query_prefix).withColumnRenamed("embedding", "query_vector")
 
     def dense(self, queries: DataFrame, document_type: str, strategy: str, k: int = 10, saved: str | None = None) -> DataFrame:
-        """(query_id, doc, distance, similarity, rank); the kind of search follows from the size of the index."""
+        """(query_id, doc, distance, similarity, rank); the kind of search follows from the size of the index.
+
+        A search that is not exact probes as many clusters, and reranks as many
+        candidates by their stored vectors, as a recall of 0.9 needs. That is
+        measured once for each ``k``; ``recall`` tells what was measured.
+        """
         loaded = self._get(document_type, strategy, saved)
         asked = checkpointed(self._asked(queries))
         n = loaded.entries.count()
@@ -257,8 +264,27 @@ class DocumentIndex:
                     books = dense.train_pq(searched, "embedding", self.embedding.dimension)
                     searched = dense.pq_encode(searched, "embedding", books, ["doc_index"]).select("doc_index", F.col("pq_decoded").alias("embedding"))
                 loaded.clusters = checkpointed(dense.assign_clusters(searched, "embedding", centres)), centres
-        assigned, centres = loaded.clusters
-        return dense.clustered(assigned, asked, centres, k, self.options.probes, "doc_index")
+            assigned, centres = loaded.clusters
+
+            def search(queries: DataFrame, k: int, depth: tuple[int, int]) -> DataFrame:
+                found = dense.clustered(assigned, queries, centres, max(k, depth[1]), depth[0], "doc_index")
+                return dense.reranked(found, loaded.entries, queries, k, "doc_index") if kind != "ivf_flat" else found.where(F.col("rank") <= k)
+
+            if k not in loaded.depths:
+                probes = dense.doubled(min(self.options.probes, len(centres)), len(centres))
+                wide = dense.doubled(4 * k, max(4 * k, n)) if kind != "ivf_flat" else [k]
+                steps = max(len(probes), len(wide))
+                depths = [(probes[min(i, len(probes) - 1)], wide[min(i, len(wide) - 1)]) for i in range(steps)]
+                loaded.depths[k] = dense.deep_enough(search, loaded.entries, k, depths, "doc_index")
+                log.info("%s of %s: %s probes and candidates for a recall of %.3f of %d", strategy, document_type, *loaded.depths[k], k)
+        return search(asked, k, loaded.depths[k][0])
+
+    def recall(self, document_type: str, strategy: str, k: int = 10) -> float | None:
+        """The recall of the ``k`` nearest measured for the dense search; 1 where it is exact, none before the first search."""
+        loaded = self._get(document_type, strategy)
+        if dense.choose_kind(loaded.entries.count(), self.options.index_kind, thresholds=self.options.kind_thresholds) == "flat":
+            return 1.0
+        return loaded.depths[k][1] if k in loaded.depths else None
 
     def _bm25(self, loaded: _Loaded) -> lexical.Bm25Index:
         with loaded.lock:

@@ -45,6 +45,29 @@ def test_pq_search_finds_nine_tenths_of_the_neighbours(spark, tmp_path):
     assert len(found) == len(truth) and len(found & truth) >= 0.85 * len(truth)
 
 
+@pytest.mark.parametrize("kind", ["ivf_flat", "ivf_sq8", "ivf_pq"])
+def test_an_index_of_any_kind_finds_nine_tenths_of_the_neighbours(spark, kind):
+    from docketlake.plans import index as I
+
+    class Scattered:
+        """Vectors in all directions, the same for the same text."""
+
+        dimension = 16
+
+        def embed(self, texts):
+            return [np.random.default_rng(len(text)).normal(size=16).tolist() for text in texts]
+
+    random = np.random.default_rng(4)
+    entries = spark.createDataFrame([(i, random.normal(size=16).tolist()) for i in range(600)], "doc_index long, embedding array<float>").localCheckpoint()
+    index = I.DocumentIndex(spark, Scattered(), options=I.Options(index_kind=kind, probes=1))
+    index._loaded["t", "chunks"] = I._Loaded(entries)
+    asked = spark.createDataFrame([(i, "pergunta " + "x" * i) for i in range(1, 40)], "query_id int, query string")
+    truth = dense.exact(entries, index._asked(asked), 5, "doc_index")
+    assert index.recall("t", "chunks", 5) is None
+    found = evaluate.recall_against(index.dense(asked, "t", "chunks", 5), truth).first()
+    assert found.recall >= 0.8 and index.recall("t", "chunks", 5) >= 0.9
+
+
 @pytest.mark.parametrize(("n", "kind", "lists"), [(1, "flat", 1), (100_000, "flat", 316), (100_001, "ivf_flat", 316), (250_001, "ivf_sq8", 500), (900, "flat", 30), (100, "flat", 3)])
 def test_kind_and_lists_follow_the_size(n, kind, lists):
     assert dense.choose_kind(n) == kind
