@@ -19,6 +19,7 @@ from docketlake.sources import documents as D, pages as P
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DIM = 8
+MOST_SECTIONS = 10_000
 
 
 def query(name: str, sql: str | None = None):
@@ -412,7 +413,9 @@ SECTIONS_SQL = f"""
 
 def _sections(spark, sf_dir) -> DataFrame:
     # the schema is a fixed, small table
-    rows = table(spark, sf_dir, "section_schema").orderBy("document_type", "position").limit(10_000).collect()
+    rows = table(spark, sf_dir, "section_schema").orderBy("document_type", "position").limit(MOST_SECTIONS + 1).collect()
+    if len(rows) > MOST_SECTIONS:
+        raise ValueError(f"section_schema has more than {MOST_SECTIONS} rows")
     schemas: dict[str, list] = {}
     for r in rows:
         schemas.setdefault(r.document_type, []).append((r.section_name, r.patterns))

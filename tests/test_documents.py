@@ -146,3 +146,13 @@ def test_copies_are_found_in_every_chunk_of_every_file(spark, tmp_path):
     spark.createDataFrame(asked, "query_id long, relevant_files array<string>, relevant_text string").write.parquet(f"{tmp_path}/labeled_queries.parquet")
     found = sorted(map(tuple, catalog.QUERIES["looks_copied_anywhere"](spark, str(tmp_path)).collect()))
     assert found == [(1, True), (2, True), (3, False), (4, False), (5, False), (6, True), (8, False)]
+
+
+def test_a_schema_too_large_for_the_driver_is_an_error(spark, tmp_path):
+    from docketlake.plans import catalog
+
+    rows = spark.range(catalog.MOST_SECTIONS + 1).selectExpr("'t' document_type", "cast(id as int) position", "concat('s', id) section_name", "array('x') patterns")
+    rows.write.parquet(f"{tmp_path}/section_schema.parquet")
+    spark.createDataFrame([(1, "t", "x")], "doc_id long, document_type string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    with pytest.raises(ValueError):
+        catalog.QUERIES["section_split"](spark, str(tmp_path))
