@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from docketlake.functions import vectors as V
+from docketlake.operators import blocks
 from docketlake.session import checkpointed
 
 #: Index kinds by size, and the fewest vectors that train them.
 FLAT_UP_TO, IVF_FLAT_UP_TO = 100_000, 250_000
 POINTS_PER_LIST, SQ8_LEAST = 30, 1000
-#: Query vectors that one task holds at a time, in elements.
-QUERY_BLOCK = 4_000_000
+#: Query vectors that one task holds, pairs that it multiplies at a time, and vectors of a block of a cluster, in elements.
+QUERY_BLOCK, TILE, BLOCK_ELEMENTS = 4_000_000, 4_000_000, 524_288
 #: The share of the true neighbours that a search by clusters or codes has to find, and the vectors it is measured with.
 LEAST_RECALL, MEASURED_WITH = 0.9, 500
 
@@ -38,73 +42,100 @@ def list_count(n: int, asked: int | None = None) -> int:
     return max(1, min(asked or max(1, math.isqrt(n)), max(1, n // POINTS_PER_LIST)))
 
 
-def exact(entries: DataFrame, queries: DataFrame, k: int, doc: str = "doc", vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """(query_id, doc, distance, similarity, rank): the ``k`` nearest entries of each query (query_id, query_vector).
-
-    The queries are cut into blocks of a bounded number of elements; each meets
-    all entries, and a task keeps the k best of each query it saw. Their exact
-    distances then decide: squared, rounded to ``digits``; equal ones by the
-    smaller document. Entries and queries without vectors are left out.
-    """
-    spark = entries.sparkSession
-    asked = queries.where("query_id is not null and query_vector is not null").select("query_id", "query_vector")
-    dim = asked.agg(F.max(F.size("query_vector"))).first()[0] or 1
-    count = asked.count()
-    blocks = max(1, -(-count * dim // QUERY_BLOCK))
-    kind, found = asked.schema["query_id"].dataType.simpleString(), []
-    id_kind = to_arrow_type(asked.schema["query_id"].dataType)
-    usable = entries.where(F.col(vector).isNotNull() & (F.size(vector) == dim)).select(F.col(doc).alias("doc"), F.col(vector).cast("array<float>").alias("v"))
-    doc_kind = usable.schema["doc"].dataType.simpleString()
-    for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).where(F.size("query_vector") == dim) if blocks > 1 else asked.where(F.size("query_vector") == dim)
-        # at most about QUERY_BLOCK elements come to the driver at a time
-        rows = part.collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
-
-        def near(batches, shared=shared):
-            ids, q = shared.value
-            q32 = q.astype(np.float32)
-            for batch in batches:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                names = np.array(batch.column(0).to_pylist())
-                if not len(x):
-                    continue
-                wide = x.astype(np.float64)
-                gain = q32 @ x.T - 0.5 * (x.astype(np.float32) ** 2).sum(1)
-                some = min(k, len(x))
-                least = -np.partition(-gain, some - 1, axis=1)[:, some - 1]
-                # what single precision cannot tell from the k-th best is compared exactly
-                least -= 1e-5 * (1 + np.abs(least) + np.abs(gain).max(1))
-                for at, row in enumerate(gain):
-                    near = np.flatnonzero(row >= least[at])
-                    d = np.round(((q[at] - wide[near]) ** 2).sum(1), digits)
-                    near = near[np.lexsort((names[near], d))[:some]]
-                    d = ((q[at] - wide[near]) ** 2).sum(1)
-                    lengths = np.sqrt((q[at] ** 2).sum() * (wide[near] ** 2).sum(1))
-                    s = np.divide(wide[near] @ q[at], lengths, out=np.zeros_like(d), where=lengths > 0)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[at]] * len(near), id_kind), batch.column(0).take(pa.array(near)), pa.array(d), pa.array(s)], ["query_id", "doc", "distance", "similarity"])
-
-        found.append(usable.mapInArrow(near, f"query_id {kind}, doc {doc_kind}, distance double, similarity double"))
-    if not found:
-        return spark.createDataFrame([], f"query_id {kind}, doc {doc_kind}, distance double, similarity double, rank int")
-    met = found[0]
-    for other in found[1:]:
-        met = met.unionAll(other)
-    rounded = met.select("query_id", "doc", F.round("distance", digits).alias("distance"), F.round("similarity", digits).alias("similarity"))
+def _ranked(found: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """(query_id, doc, distance, similarity, rank) of what tasks found, rounded."""
+    rounded = found.select("query_id", "doc", F.round("distance", digits).alias("distance"), F.round("similarity", digits).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy("distance", "doc")
     return rounded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def exact_sql(entries: DataFrame, queries: DataFrame, k: int, doc: str = "doc", vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """``exact`` as plain expressions, for few queries: they are checked to be at most 10,000 and broadcast."""
-    if queries.count() > 10_000:
-        raise ValueError("use exact() for so many queries")
-    met = entries.where(F.col(vector).isNotNull()).select(F.col(doc).alias("doc"), F.col(vector).alias("v")).join(F.broadcast(queries.where("query_vector is not null").select("query_id", "query_vector")))
-    scored = met.select("query_id", "doc", F.round(V.squared_distance("query_vector", "v"), digits).alias("distance"), F.round(V.cosine("query_vector", "v"), digits).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy("distance", "doc")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _matrix(vectors: pa.Array | pa.ChunkedArray, dim: int, kind=np.float64) -> np.ndarray:
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(kind, copy=False)
+
+
+def _names(docs: pa.Array) -> np.ndarray:
+    return docs.to_numpy(zero_copy_only=False) if pa.types.is_integer(docs.type) else np.array(docs.to_pylist())
+
+
+def _look(best: blocks.Best, q: np.ndarray, x: np.ndarray, names: np.ndarray, digits: int) -> None:
+    """Offers the entries ``x`` to the queries ``q``, a bounded tile of pairs at a time.
+
+    Single precision finds the pairs that could be among the best; their
+    distances and cosines are then computed in double precision.
+    """
+    lines = max(16, TILE // max(1, len(x)))
+    x32, halves = x.astype(np.float32), 0.5 * (x.astype(np.float64) ** 2).sum(1)
+    lengths_x = np.sqrt(2 * halves)
+    # the largest error of a product in single precision, as a share of the lengths
+    error = 6e-8 * (x.shape[1] + 8)
+    for top in range(0, len(q), lines):
+        asked = q[top : top + lines]
+        squares = (asked**2).sum(1)
+        doubt = error * (halves + np.sqrt(squares.max()) * lengths_x)
+        gain = asked.astype(np.float32) @ x32.T - (halves - doubt).astype(np.float32)
+        limit = best.limit[top : top + lines].copy()
+        least = 0.5 * (squares - limit)
+        new = np.isinf(limit)
+        if new.any():
+            least[new] = -blocks.kth_smallest(2 * doubt[None, :] - gain[new], best.k)
+        # what single precision cannot tell from the k-th best is computed exactly, as is what rounds to it
+        least -= 10.0**-digits
+        rows, columns = np.nonzero(gain >= least[:, None])
+        for start in range(0, len(rows), 200_000):
+            r, c = rows[start : start + 200_000], columns[start : start + 200_000]
+            near = x[c].astype(np.float64)
+            d = ((asked[r] - near) ** 2).sum(1)
+            lengths = np.sqrt(squares[r] * (near**2).sum(1))
+            s = np.divide(np.einsum("ij,ij->i", asked[r], near), lengths, out=np.zeros_like(d), where=lengths > 0)
+            value = np.round(d, digits)
+            good = value <= limit[r]
+            best.add(top + r[good], value[good], names[c[good]], d[good], s[good])
+
+
+def _found(best: blocks.Best, ids: pa.Array, doc_type: pa.DataType):
+    """The best rows as a batch (query_id, doc, distance, similarity)."""
+    found = best.result()
+    if found:
+        columns = [ids.take(pa.array(found[0])), pa.array(found[2].tolist(), doc_type), pa.array(found[3]), pa.array(found[4])]
+        yield pa.RecordBatch.from_arrays(columns, ["query_id", "doc", "distance", "similarity"])
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    column = table.column(name)
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def exact(entries: DataFrame, queries: DataFrame, k: int, doc: str = "doc", vector: str = "embedding", digits: int = 6) -> DataFrame:
+    """(query_id, doc, distance, similarity, rank): the ``k`` nearest entries of each query (query_id, query_vector).
+
+    A task keeps the k best entries of each query of a block over all the
+    entries it sees, so that only those are shuffled. Distances are squared
+    and rounded to ``digits``; equal ones are ordered by the smaller document.
+    Entries and queries without vectors, or of another dimension than most
+    queries' largest, are left out.
+    """
+    asked = queries.where("query_id is not null and query_vector is not null").select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+    dim, count = asked.agg(F.max(F.size("query_vector")), F.count("*")).first()
+    dim = dim or 1
+    asked = asked.where(F.size("query_vector") == dim)
+    usable = entries.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), F.col(vector).cast("array<float>").alias("v"))
+    id_kind, doc_kind = asked.schema["query_id"].dataType, usable.schema["doc"].dataType
+    doc_type = to_arrow_type(doc_kind)
+
+    def near(table: pa.Table, batches):
+        q, best = _matrix(table.column("query_vector"), dim), blocks.Best(len(table), k)
+        for batch in batches:
+            # here, as a filter of the plan would compute the vectors twice
+            batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), dim), False))
+            if len(q) and batch.num_rows:
+                _look(best, q, _matrix(batch.column(1), dim, np.float32), _names(batch.column(0)), digits)
+        yield from _found(best, _column(table, "query_id"), doc_type)
+
+    schema = f"query_id {id_kind.simpleString()}, doc {doc_kind.simpleString()}, distance double, similarity double"
+    parts = max(-(-count * dim // QUERY_BLOCK), -(-count * k // QUERY_BLOCK))
+    return _ranked(blocks.meet(usable, asked, parts, near, schema, "doc", max(1024, QUERY_BLOCK // dim)), k, digits)
 
 
 def distance_stats(hits: DataFrame) -> DataFrame:
@@ -119,10 +150,11 @@ def train_clusters(entries: DataFrame, vector: str, lists: int, seed: int = 7, s
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n = entries.count()
-    drawn = entries.where(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    usable = entries.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    n = usable.count()
     if n > sample:
-        drawn = drawn.sample(fraction=sample / n, seed=seed)
+        usable = usable.sample(fraction=min(1.0, 1.1 * sample / n), seed=seed).limit(sample)
+    drawn = checkpointed(usable.select(array_to_vector("v").alias("features")))
     model = KMeans(k=lists, seed=seed, maxIter=10).fit(drawn)
     return [[float(x) for x in centre] for centre in model.clusterCenters()]
 
@@ -133,29 +165,129 @@ def _ranked_clusters(rows: DataFrame, vector: str, centres: list[list[float]], p
     probes = min(probes, len(centres))
 
     @F.pandas_udf("array<int>")
-    def nearest(vectors):
+    def nearest(vectors: pd.Series) -> pd.Series:
         c = shared.value
         x = np.array(vectors.tolist(), np.float64).reshape(len(vectors), -1)
         gain = x @ c.T - 0.5 * (c**2).sum(1)
-        import pandas as pd
-
         return pd.Series(list(np.argsort(-gain, axis=1, kind="stable")[:, :probes].astype(np.int32)))
 
     return rows.withColumn(as_, nearest(F.col(vector)))
 
 
-def assign_clusters(entries: DataFrame, vector: str, centres: list[list[float]]) -> DataFrame:
-    """``entries`` with the column cluster_id."""
-    return _ranked_clusters(entries.where(F.col(vector).isNotNull()), vector, centres, 1, "_c").withColumn("cluster_id", F.element_at("_c", 1)).drop("_c")
+@dataclass(frozen=True)
+class Cells:
+    """An inverted file: blocks (cluster_id, salt, salts, ids, payload) of the vectors of each cluster.
 
+    A block has at most about BLOCK_ELEMENTS elements; a large cluster has many
+    blocks. ``kind`` says what a payload holds of each vector: single precision
+    (ivf_flat), a byte for each dimension (ivf_sq8), or a byte for each slice
+    (ivf_pq), the last two of what the cluster's centre leaves over.
+    """
 
-def clustered(assigned: DataFrame, queries: DataFrame, centres: list[list[float]], k: int, probes: int, doc: str = "doc", vector: str = "embedding") -> DataFrame:
-    """The ``k`` nearest entries in each query's ``probes`` nearest clusters; with all clusters probed, as ``exact``."""
-    asked = _ranked_clusters(queries.where("query_vector is not null"), "query_vector", centres, probes, "cluster_ids").select("query_id", "query_vector", F.explode("cluster_ids").alias("cluster_id"))
-    met = assigned.select(F.col(doc).alias("doc"), F.col(vector).alias("v"), "cluster_id").join(asked, "cluster_id")
-    scored = met.select("query_id", "doc", F.round(V.squared_distance("query_vector", "v"), 6).alias("distance"), F.round(V.cosine("query_vector", "v"), 6).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy("distance", "doc")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    blocks: DataFrame
+    centres: list[list[float]]
+    kind: str
+    #: Of ivf_sq8 the smallest and largest values by dimension, of ivf_pq the books by slice.
+    table: np.ndarray | None = None
+
+
+def _encoded(left: np.ndarray, kind: str, table: np.ndarray | None) -> bytes:
+    """The payload of what the centre left over."""
+    if kind == "ivf_sq8":
+        low, high = table
+        scale = np.divide(255.0, high - low, out=np.zeros_like(low), where=high > low)
+        return np.clip(np.floor((left - low) * scale + 0.5), 0, 255).astype(np.uint8).tobytes()
+    parts = left.reshape(len(left), len(table), -1)
+    return np.stack([np.argmax(parts[:, i] @ book.T - 0.5 * (book**2).sum(1), 1) for i, book in enumerate(table)], 1).astype(np.uint8).tobytes()
+
+
+def _decoded(payload: bytes, count: int, centre: np.ndarray, kind: str, table: np.ndarray | None) -> np.ndarray:
+    """The vectors that a payload stands for."""
+    if kind == "ivf_flat":
+        return np.frombuffer(payload, np.float32).reshape(count, -1)
+    codes = np.frombuffer(payload, np.uint8).reshape(count, -1)
+    if kind == "ivf_sq8":
+        low, high = table
+        return centre + low + codes * ((high - low) / 255.0)
+    return centre + np.concatenate([book[codes[:, i]] for i, book in enumerate(table)], 1)
+
+
+def build_cells(entries: DataFrame, centres: list[list[float]], kind: str = "ivf_flat", m: int = 8, bits: int = 8, doc: str = "doc", vector: str = "embedding") -> Cells:
+    """The inverted file of the entries, written to the shared folder."""
+    dim, shared = len(centres[0]), entries.sparkSession.sparkContext.broadcast(np.array(centres, np.float64))
+    usable = entries.where(F.col(doc).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) == dim)).select(F.col(doc).alias("doc"), F.col(vector).cast("array<float>").alias("v"))
+    assigned = checkpointed(_ranked_clusters(usable, "v", centres, 1, "_c").withColumn("cluster_id", F.element_at("_c", 1)).drop("_c"))
+    table = None
+    if kind != "ivf_flat":
+
+        @F.pandas_udf("array<float>")
+        def left_over(vectors: pd.Series, clusters: pd.Series) -> pd.Series:
+            return pd.Series(list((np.array(vectors.tolist(), np.float64) - shared.value[clusters]).astype(np.float32)))
+
+        left = assigned.select(left_over("v", "cluster_id").alias("v"))
+        if kind == "ivf_sq8":
+            rows = sq8_ranges(left, "v").orderBy("at").collect()
+            table = np.array([[r["low"] for r in rows], [r["high"] for r in rows]])
+        else:
+            table = np.array(train_pq(left, "v", dim, m, bits))
+    books = entries.sparkSession.sparkContext.broadcast(table)
+    rows = max(256, BLOCK_ELEMENTS // dim)
+    sizes = assigned.groupBy("cluster_id").agg(F.ceil(F.count("*") / rows).cast("int").alias("salts"))
+    salted = assigned.join(sizes, "cluster_id").withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int"))
+    doc_kind = salted.schema["doc"].dataType
+
+    def pack(block: pa.Table) -> pa.Table:
+        cluster = block.column("cluster_id")[0].as_py()
+        x = _matrix(block.column("v"), dim, np.float32)
+        payload = x.tobytes() if kind == "ivf_flat" else _encoded(x - shared.value[cluster], kind, books.value)
+        ids = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), _column(block, "doc"))
+        columns = [block.column("cluster_id").slice(0, 1), block.column("salt").slice(0, 1), block.column("salts").slice(0, 1), ids, pa.array([payload], pa.binary())]
+        return pa.Table.from_arrays(columns, ["cluster_id", "salt", "salts", "ids", "payload"])
+
+    packed = salted.groupBy("cluster_id", "salt").applyInArrow(pack, f"cluster_id int, salt int, salts int, ids array<{doc_kind.simpleString()}>, payload binary")
+    return Cells(checkpointed(packed), centres, kind, table)
+
+
+def search_cells(cells: Cells, queries: DataFrame, k: int, probes: int, digits: int = 6) -> DataFrame:
+    """The ``k`` nearest of the vectors that each query's ``probes`` nearest clusters stand for; with all clusters of ivf_flat probed, as ``exact``.
+
+    Queries that probe the same cluster meet each of its blocks together.
+    """
+    dim = len(cells.centres[0])
+    usable = queries.where("query_id is not null and query_vector is not null").select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+    usable = usable.where(F.size("query_vector") == dim)
+    parts = max(1, -(-usable.count() * dim // BLOCK_ELEMENTS))
+    asked = _ranked_clusters(usable, "query_vector", cells.centres, probes, "_c").select("query_id", "query_vector", F.explode("_c").alias("cluster_id"))
+    asked = asked.groupBy("cluster_id", F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("_part")).agg(F.collect_list(F.struct("query_id", "query_vector")).alias("asked"))
+    # a large cluster's blocks are met in tasks of their own
+    asked = asked.join(cells.blocks.select("cluster_id", "salts").distinct(), "cluster_id")
+    asked = asked.select("cluster_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("asked.query_id").alias("query_ids"), F.flatten("asked.query_vector").alias("vectors"))
+    met = cells.blocks.drop("salts").join(asked, ["cluster_id", "salt"])
+    id_kind, doc_kind = usable.schema["query_id"].dataType, cells.blocks.schema["ids"].dataType.elementType
+    doc_type, centres, kind, table = to_arrow_type(doc_kind), np.array(cells.centres), cells.kind, cells.table
+    shared = queries.sparkSession.sparkContext.broadcast((centres, table))
+
+    def near(batches):
+        centres, table = shared.value
+        for batch in batches:
+            for at in range(batch.num_rows):
+                cluster, ids, payload, query_ids, vectors = (batch.column(i).slice(at, 1) for i in range(5))
+                docs, asking = ids.flatten(), query_ids.flatten()
+                x = _decoded(payload[0].as_py(), len(docs), centres[cluster[0].as_py()], kind, table)
+                best = blocks.Best(len(asking), k)
+                _look(best, _matrix(vectors, dim), x, _names(docs), digits)
+                yield from _found(best, asking, doc_type)
+
+    schema = f"query_id {id_kind.simpleString()}, doc {doc_kind.simpleString()}, distance double, similarity double"
+    return _ranked(met.select("cluster_id", "ids", "payload", "query_ids", "vectors").mapInArrow(near, schema), k, digits)
+
+
+def bytes_per_vector(kind: str, dim: int, m: int = 8, bits: int = 8) -> int:
+    """How many bytes an index of the kind keeps of each vector, ids aside."""
+    sizes = {"flat": 4 * dim, "ivf_flat": 4 * dim, "ivf_sq8": dim, "ivf_pq": -(-m * bits // 8)}
+    if kind not in sizes:
+        raise ValueError(f"unknown kind of index: {kind}")
+    return sizes[kind]
 
 
 def reranked(candidates: DataFrame, entries: DataFrame, queries: DataFrame, k: int, doc: str = "doc", vector: str = "embedding") -> DataFrame:
@@ -214,21 +346,3 @@ def train_pq(entries: DataFrame, vector: str, dim: int, m: int = 8, bits: int =
         raise ValueError("the dimension must be a multiple of m")
     sliced = entries.select(*(F.slice(F.col(vector), i * part + 1, part).alias(f"s{i}") for i in range(m)))
     return [train_clusters(sliced, f"s{i}", 2**bits, seed, sample) for i in range(m)]
-
-
-def pq_encode(entries: DataFrame, vector: str, books: list[list[list[float]]], keep: list[str]) -> DataFrame:
-    """``keep`` with pq_codes and pq_decoded."""
-    shared = entries.sparkSession.sparkContext.broadcast(np.array(books, np.float64))
-
-    @F.pandas_udf("struct<codes: array<int>, decoded: array<double>>")
-    def encode(vectors):
-        import pandas as pd
-
-        b = shared.value
-        x = np.array(vectors.tolist(), np.float64).reshape(len(vectors), len(b), -1)
-        codes = np.stack([np.argmax(x[:, i] @ b[i].T - 0.5 * (b[i] ** 2).sum(1), 1) for i in range(len(b))], 1)
-        decoded = np.concatenate([b[i][codes[:, i]] for i in range(len(b))], 1)
-        return pd.DataFrame({"codes": list(codes.astype(np.int32)), "decoded": list(decoded)})
-
-    coded = entries.where(F.col(vector).isNotNull()).select(*keep, encode(F.col(vector)).alias("pq"))
-    return coded.select(*keep, F.col("pq.codes").alias("pq_codes"), F.col("pq.decoded").alias("pq_decoded"))

@@ -1,59 +1,118 @@
-"""Okapi BM25 over an inverted index."""
+"""Okapi BM25 over tokenised texts."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from docketlake.functions import text as T
+from docketlake.operators import blocks
 from docketlake.session import checkpointed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Terms of queries that one task holds, and scores that it computes at a time.
+QUERY_TERMS, SCORES = 1_000_000, 4_000_000
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """Postings (doc, term, tf, len) and term statistics (term, df, idf) of a corpus.
+    """Tokenised texts (doc, tokens) and term statistics (term, df, idf) of a corpus.
 
     ``corpus`` has one row: n_docs and avg_len. All three stay distributed.
     """
 
-    postings: DataFrame
+    texts: DataFrame
     terms: DataFrame
     corpus: DataFrame
 
 
+def frequencies(texts: DataFrame) -> DataFrame:
+    """(term, df): in how many of the texts (doc, tokens) a term stands; added up in each task before it is shuffled."""
+    return texts.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def build(entries: DataFrame, doc: str, text: str, tokens=T.search_tokens) -> Bm25Index:
     """The index of the texts (doc, text). A null or empty text is a document without terms."""
-    tokenised = entries.select(F.col(doc).alias("doc"), tokens(text).alias("tokens"))
-    # counted within a task first, as a document is never in two; kept, as all that follows reads it
-    counted = tokenised.select("doc", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
-    counted = checkpointed(counted)
-    corpus = entries.agg(F.count("*").alias("n_docs")).join(F.broadcast(counted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))))
-    corpus = corpus.select("n_docs", (F.col("n_tokens") / F.greatest("n_docs", F.lit(1))).alias("avg_len"))
-    frequencies = counted.groupBy("term").agg(F.count("*").alias("df"))
-    raw = frequencies.join(F.broadcast(corpus)).select("term", "df", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
+    # kept, as the statistics and every search read it
+    texts = checkpointed(entries.select(F.col(doc).alias("doc"), F.coalesce(tokens(text), F.array().cast("array<string>")).alias("tokens")))
+    corpus = texts.agg(F.count("*").alias("n_docs"), (F.coalesce(F.sum(F.size("tokens")), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avg_len"))
+    raw = frequencies(texts).join(F.broadcast(corpus)).select("term", "df", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     # a negative weight becomes a share of the mean over the vocabulary
     mean = raw.agg(F.avg("raw").alias("mean_raw"))
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(counted, terms, corpus)
+    return Bm25Index(texts, terms, corpus)
+
+
+def _scorer(k: int, average: float, id_type: pa.DataType, doc_type: pa.DataType):
+    """A kernel of ``blocks.meet``: the k best texts (doc, tokens) of each query (query_id, terms, weights)."""
+
+    def score(asked: pa.Table, batches):
+        terms = asked.column("terms").combine_chunks()
+        words = terms.flatten()
+        vocabulary = pc.unique(words).sort()
+        of = pc.index_in(words, value_set=vocabulary).to_numpy(zero_copy_only=False)
+        query = np.repeat(np.arange(len(asked)), np.diff(terms.offsets.to_numpy()))
+        weight = asked.column("weights").combine_chunks().flatten().to_numpy()
+        order = np.lexsort((query, of))
+        query, weight = query[order], weight[order]
+        first = np.searchsorted(of[order], np.arange(len(vocabulary) + 1))
+        best = blocks.Best(len(asked), k)
+        size = max(16, SCORES // max(1, len(asked)))
+        for whole in batches:
+            for start in range(0, whole.num_rows, size):
+                batch = whole.slice(start, size)
+                docs, tokens = batch.column(0), batch.column(1)
+                lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+                at = pc.index_in(tokens.flatten(), value_set=vocabulary).fill_null(-1).to_numpy()
+                line = np.repeat(np.arange(len(docs)), lengths)[at >= 0]
+                # (term, text) pairs and how often they occur
+                pair, tf = np.unique(at[at >= 0].astype(np.int64) * len(docs) + line, return_counts=True)
+                term, line = np.divmod(pair, len(docs))
+                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[line] / average))
+                scores = np.zeros((len(asked), len(docs)))
+                bounds = np.flatnonzero(np.r_[True, term[1:] != term[:-1], True]) if len(term) else np.zeros(0, int)
+                for a, b in zip(bounds[:-1], bounds[1:]):
+                    mine = slice(first[term[a]], first[term[a] + 1])
+                    scores[np.ix_(query[mine], line[a:b])] += np.outer(weight[mine], part[a:b])
+                value = -np.round(scores, 6)
+                limit = best.limit
+                new = np.isinf(limit)
+                if new.any():
+                    limit = limit.copy()
+                    limit[new] = blocks.kth_smallest(value[new], k)
+                rows, columns = np.nonzero((value < 0) & (value <= limit[:, None]))
+                names = docs.to_numpy(zero_copy_only=False) if pa.types.is_integer(docs.type) else np.array(docs.to_pylist())
+                best.add(rows, value[rows, columns], names[columns])
+        found = best.result()
+        if found:
+            ids = asked.column("query_id").combine_chunks().take(pa.array(found[0]))
+            yield pa.RecordBatch.from_arrays([ids.cast(id_type), pa.array(found[2].tolist(), doc_type), pa.array(-found[1])], ["query_id", "doc", "score"])
+
+    return score
 
 
-def scores(index: Bm25Index, queries: DataFrame, tokens=T.search_tokens) -> DataFrame:
-    """(query_id, doc, score) of the documents that share a term with a query (query_id, query).
+def top(index: Bm25Index, queries: DataFrame, k: int, tokens=T.search_tokens) -> DataFrame:
+    """(query_id, doc, score, rank): of the positive scores the ``k`` best; equal ones by the smaller document.
 
-    A term that a query repeats counts as often. The terms of all queries are
-    joined with the postings, partially summed before they are shuffled.
+    A term that a query repeats counts as often. The texts are scored where
+    they are, against all queries at once; a task keeps the k best of each
+    query, so that only those are shuffled, however frequent a term is.
     """
-    asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighted = asked.join(index.terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
-    met = index.postings.join(weighted, "term").join(F.broadcast(index.corpus))
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return met.groupBy("query_id", "doc").agg(F.round(F.sum(part), 6).alias("score"))
-
-
-def top(index: Bm25Index, queries: DataFrame, k: int, tokens=T.search_tokens) -> DataFrame:
-    """(query_id, doc, score, rank): of the positive scores the ``k`` best; equal ones by the smaller document."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    asked = queries.where("query_id is not null").select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    weighted = asked.join(index.terms, "term").select("query_id", F.struct("term", (F.col("times") * F.col("idf")).alias("weight")).alias("x"))
+    packed = weighted.groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    packed = checkpointed(packed.select("query_id", F.col("x.term").alias("terms"), F.col("x.weight").alias("weights")))
+    count = packed.agg(F.sum(F.size("terms"))).first()[0] or 0
+    average = index.corpus.first()["avg_len"] or 1.0
+    id_kind, doc_kind = packed.schema["query_id"].dataType, index.texts.schema["doc"].dataType
+    kernel = _scorer(k, average, to_arrow_type(id_kind), to_arrow_type(doc_kind))
+    schema = f"query_id {id_kind.simpleString()}, doc {doc_kind.simpleString()}, score double"
+    found = blocks.meet(index.texts.select("doc", "tokens").where("doc is not null"), packed, -(-count // QUERY_TERMS), kernel, schema, "doc", 8192)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
-    return scores(index, queries, tokens).where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

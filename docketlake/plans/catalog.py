@@ -1,15 +1,17 @@
 """The core queries by name, and their equivalents in DuckDB SQL.
 
 Chunks stand for the pages, units and entries of an index, labelled queries
-for its searches; vectors come from the tables, or from the arithmetic test
-embedding, which both engines compute.
+for its searches; vectors come from the tables, or are the texts' counts of
+some letters, which both engines compute.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docketlake.functions import text as T, vectors as V
 from docketlake.operators import dense, evaluate, fusion, lexical, rerank, sections, units
@@ -18,7 +20,9 @@ from docketlake.sources import documents as D, pages as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-DIM = 8
+#: The letters that the catalogue's vectors count.
+LETTERS = "aeosrndt"
+DIM = len(LETTERS)
 MOST_SECTIONS = 10_000
 
 
@@ -53,9 +57,20 @@ def _words(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '[{T.SPACE}]+'), lambda t: t <> '')"
 
 
+@functools.cache
+def _compatible() -> str:
+    """A SQL map of the characters that compatibility, but not accents, tells from others."""
+    pairs = {}
+    for code in (*range(0xA0, 0xAC00), *range(0xF900, 0x10000)):
+        parted, whole = unicodedata.normalize("NFD", chr(code)), unicodedata.normalize("NFKD", chr(code))
+        if parted != whole:
+            pairs[chr(code)] = whole
+    return "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in pairs.items()) + "}"
+
+
 def _fold(x: str) -> str:
-    letters, bases = T._latin_table()
-    return f"regexp_replace(translate({x}, {_quoted(letters)}, {_quoted(bases)}), '\\p{{Mn}}', '', 'g')"
+    """Characters by the map, then DuckDB's own removal of accents."""
+    return f"strip_accents(array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: CASE WHEN c < chr(160) THEN c ELSE coalesce({_compatible()}[c], c) END), ''))"
 
 
 def _tokens(x: str, stop: tuple[str, ...] | None = None, fold: bool = True) -> str:
@@ -75,12 +90,8 @@ def _windows(x: str, n: int) -> str:
     )
 
 
-def _seed(x: str) -> str:
-    return f"greatest(1, coalesce(list_sum(list_transform(string_split({x}, ''), lambda c: unicode(c))), 0))::BIGINT"
-
-
 def _vector(x: str) -> str:
-    return f"list_transform(range(1, {DIM + 1}), lambda i: (({_seed(x)}) * i % 97)::DOUBLE)"
+    return "[" + ", ".join(f"(length({x}) - length(replace({x}, '{c}', '')))::DOUBLE" for c in LETTERS) + "]"
 
 
 def _bm25(texts: str, queries: str, pool: str) -> str:
@@ -130,9 +141,13 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labeled_queries").where("query is not null").select("query_id", "query")
 
 
+def letter_counts(text: str) -> Column:
+    """A vector for the catalogue: how often each of some letters stands in the text."""
+    return F.array(*(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS)).cast("array<float>")
+
+
 def _with_vector(rows: DataFrame, text: str, as_: str) -> DataFrame:
-    asked = T.embedding_input(text)
-    return rows.withColumn("_x", asked).where("_x <> ''").withColumn(as_, T.arithmetic_embedding("_x", DIM)).drop("_x")
+    return rows.withColumn("_x", T.embedding_input(text)).where("_x <> ''").withColumn(as_, letter_counts("_x")).drop("_x")
 
 
 def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -221,13 +236,12 @@ def ivf_recall(spark, sf_dir):
     """Share of the exact neighbours that a search of some clusters finds, for all numbers of clusters probed."""
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc")
     asked = vectors.where("doc % 100 = 0").select(F.col("doc").alias("query_id"), F.col("embedding").alias("query_vector"))
-    lists = dense.list_count(vectors.count())
-    centres = dense.train_clusters(vectors, "embedding", lists)
-    assigned = checkpointed(dense.assign_clusters(vectors, "embedding", centres))
+    centres = dense.train_clusters(vectors, "embedding", dense.list_count(vectors.count()))
+    cells, lists = dense.build_cells(vectors, centres), len(centres)
     truth = checkpointed(dense.exact(vectors, asked, 10))
     found = None
     for probes in sorted({1, max(1, lists // 4), max(1, lists // 2), lists}):
-        one = evaluate.recall_against(dense.clustered(assigned, asked, centres, 10, probes), truth).select(F.lit(probes).alias("probes"), "recall", "top_1")
+        one = evaluate.recall_against(dense.search_cells(cells, asked, 10, probes), truth).select(F.lit(probes).alias("probes"), "recall", "top_1")
         found = one if found is None else found.unionAll(one)
     return found
 
@@ -236,11 +250,11 @@ def ivf_recall(spark, sf_dir):
 def pq_search(spark, sf_dir):
     """Neighbours by product quantisation: many candidates by their codes, the nearest of them by their exact distances."""
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc")
-    books = dense.train_pq(vectors, "embedding", 64, 8, 6)
-    coded = checkpointed(dense.pq_encode(vectors, "embedding", books, ["doc"]).withColumnRenamed("pq_decoded", "embedding"))
+    centres = dense.train_clusters(vectors, "embedding", dense.list_count(vectors.count()))
+    cells = dense.build_cells(vectors, centres, "ivf_pq", 16)
 
     def search(asked, k, candidates):
-        return dense.reranked(dense.exact(coded, asked, candidates), vectors, asked, k)
+        return dense.reranked(dense.search_cells(cells, asked, candidates, len(centres)), vectors, asked, k)
 
     candidates, _ = dense.deep_enough(search, vectors, 10, dense.doubled(50, max(50, vectors.count())))
     asked = vectors.where("doc % 100 = 0").select(F.col("doc").alias("query_id"), F.col("embedding").alias("query_vector"))
@@ -281,7 +295,7 @@ def token_counts(spark, sf_dir):
 
 @query("accent_fold", f"SELECT doc, {_fold('text')} AS folded FROM ({CHUNKS_SQL})")
 def accent_fold(spark, sf_dir):
-    return _chunks(spark, sf_dir).select("doc", T.fold_latin("text").alias("folded"))
+    return _chunks(spark, sf_dir).select("doc", T.fold("text").alias("folded"))
 
 
 @query("embed_truncate_prefix", f"SELECT doc, CASE WHEN x = '' THEN '' ELSE substr('passage: ' || x, 1, 8000) END AS input FROM (SELECT doc, {_strip('text')} AS x FROM ({CHUNKS_SQL}))")
@@ -372,7 +386,7 @@ def bm25_topk(spark, sf_dir):
 @query("rrf_hybrid", f"{HYBRID_SQL} SELECT query_id, doc, rrf_score, dense_rank, bm25_rank, rank FROM hyb")
 def rrf_hybrid(spark, sf_dir):
     """The five best chunks of each query, dense and lexical ranks fused."""
-    return _hybrid(spark, sf_dir)
+    return _hybrid(spark, sf_dir).select("query_id", "doc", "rrf_score", "dense_rank", "bm25_rank", "rank")
 
 
 @query("rrf_candidates_outer", f"{HYBRID_SQL} SELECT query_id, count(*) AS candidates, count(dense_rank) AS in_dense, count(bm25_rank) AS in_bm25 FROM rrf GROUP BY query_id")
@@ -394,8 +408,8 @@ def hybrid_pool_cut(spark, sf_dir):
 def append_documents(spark, sf_dir):
     """Document frequencies after an append equal those of one build."""
     rows = _chunks(spark, sf_dir)
-    first, later = (lexical.build(rows.where(f"doc % 2 = {part}"), "doc", "text").postings for part in (0, 1))
-    return first.unionByName(later).groupBy("term").agg(F.count("*").alias("df"))
+    first, later = (lexical.build(rows.where(f"doc % 2 = {part}"), "doc", "text").texts for part in (0, 1))
+    return lexical.frequencies(first.unionByName(later))
 
 
 # --- units and sections ------------------------------------------------------------------------------------------

@@ -49,7 +49,7 @@ class _Loaded:
 
     entries: DataFrame
     lexical: lexical.Bm25Index | None = None
-    clusters: tuple[DataFrame, list] | None = None
+    cells: dense.Cells | None = None
     #: By k, the (probes, candidates) that a search needs, and the recall measured with them.
     depths: dict[int, tuple[tuple[int, int], float]] = field(default_factory=dict)
     lock: threading.Lock = field(default_factory=threading.Lock)
@@ -255,23 +255,17 @@ class DocumentIndex:
         if kind == "flat":
             return dense.exact(loaded.entries, asked, k, "doc_index")
         with loaded.lock:
-            if loaded.clusters is None:
+            if loaded.cells is None:
                 centres = dense.train_clusters(loaded.entries, "embedding", dense.list_count(n))
-                searched = loaded.entries.select("doc_index", "embedding")
-                if kind == "ivf_sq8":
-                    searched = dense.sq8(searched, "embedding", ["doc_index"]).select("doc_index", F.col("decoded").alias("embedding"))
-                elif kind == "ivf_pq":
-                    books = dense.train_pq(searched, "embedding", self.embedding.dimension)
-                    searched = dense.pq_encode(searched, "embedding", books, ["doc_index"]).select("doc_index", F.col("pq_decoded").alias("embedding"))
-                loaded.clusters = checkpointed(dense.assign_clusters(searched, "embedding", centres)), centres
-            assigned, centres = loaded.clusters
+                loaded.cells = dense.build_cells(loaded.entries, centres, kind, doc="doc_index")
+            cells = loaded.cells
 
             def search(queries: DataFrame, k: int, depth: tuple[int, int]) -> DataFrame:
-                found = dense.clustered(assigned, queries, centres, max(k, depth[1]), depth[0], "doc_index")
+                found = dense.search_cells(cells, queries, max(k, depth[1]), depth[0])
                 return dense.reranked(found, loaded.entries, queries, k, "doc_index") if kind != "ivf_flat" else found.where(F.col("rank") <= k)
 
             if k not in loaded.depths:
-                probes = dense.doubled(min(self.options.probes, len(centres)), len(centres))
+                probes = dense.doubled(min(self.options.probes, len(cells.centres)), len(cells.centres))
                 wide = dense.doubled(4 * k, max(4 * k, n)) if kind != "ivf_flat" else [k]
                 steps = max(len(probes), len(wide))
                 depths = [(probes[min(i, len(probes) - 1)], wide[min(i, len(wide) - 1)]) for i in range(steps)]
@@ -290,7 +284,7 @@ class DocumentIndex:
         with loaded.lock:
             if loaded.lexical is None:
                 made = lexical.build(loaded.entries, "doc_index", "text")
-                loaded.lexical = lexical.Bm25Index(checkpointed(made.postings), checkpointed(made.terms), checkpointed(made.corpus))
+                loaded.lexical = lexical.Bm25Index(made.texts, checkpointed(made.terms), checkpointed(made.corpus))
             return loaded.lexical
 
     def hybrid(self, queries: DataFrame, document_type: str, strategy: str, k: int = 10, pool: int | None = None, saved: str | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,13 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     tests, a temporary folder is made, which one machine then shares.
     """
     context = spark.sparkContext
+    set_already = context._jsc.sc().getCheckpointDir()
+    if set_already.isDefined():
+        return set_already.get()
     named = context.getConf().get("spark.checkpoint.dir", None)
     if not named:
-        if not context.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + os.path.join(tempfile.gettempdir(), f"docketlake-{os.getpid()}")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(named)
+        named = "file://" + tempfile.mkdtemp(prefix="docketlake-")
+        atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
+    context.setCheckpointDir(named)
     return named
 
 

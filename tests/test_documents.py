@@ -7,6 +7,7 @@ from docketlake.operators import sections as S
 from docketlake.plans.index import DocumentIndex, IndexMissing
 from docketlake.sources import documents as D, pages as P, providers
 from docketlake.streaming import arrivals
+from tests.conftest import LetterCounts
 
 
 @pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16", "utf-32", "cp1252"])
@@ -87,7 +88,7 @@ def test_index_lives_through_build_save_load_and_append(spark, tmp_path):
     (base / "a.txt").write_text("cabeçalho\nDOS FATOS\no contrato foi rescindido", "utf-8")
     (base / "b.txt").write_text("laudo pericial 0829366-83 sobre o imóvel", "utf-8")
     chat = Chat()
-    index = DocumentIndex(spark, providers.ArithmeticEmbedding(8), chat)
+    index = DocumentIndex(spark, LetterCounts(), chat)
     assert index.build("peca", str(base), saved)
     assert chat.calls == 1 and index.is_loaded(["peca"], ["full", "sections", "chunks"]) and not index.is_loaded([], [])
     assert index.search("082936683", "peca", "chunks", use_hybrid=True)[0].startswith("laudo") is True
@@ -95,7 +96,7 @@ def test_index_lives_through_build_save_load_and_append(spark, tmp_path):
     (tmp_path / "none").mkdir()
     assert not index.build("peca", str(tmp_path / "none")) and index.is_loaded(["peca"], ["chunks"])
 
-    other = DocumentIndex(spark, providers.ArithmeticEmbedding(8))
+    other = DocumentIndex(spark, LetterCounts())
     with pytest.raises(IndexMissing):
         other.search("laudo", "peca", "chunks")
     assert len(other.search("laudo", "peca", "chunks", saved=saved)) == 2
@@ -106,7 +107,7 @@ def test_index_lives_through_build_save_load_and_append(spark, tmp_path):
     row = other.evaluate(asked, "peca", ["chunks"], 3, use_hybrid=True).first()
     assert (row.recall_at_k, row.mrr, row.passage_recall_at_k) == (1.0, 1.0, 1.0)
     other.save("peca", saved)
-    again = DocumentIndex(spark, providers.ArithmeticEmbedding(8))
+    again = DocumentIndex(spark, LetterCounts())
     again.load(saved, ["peca"])
     assert len(again.search("novo", "peca", "chunks", k=9)) == 3
     again.unload("peca", "chunks")
@@ -120,19 +121,23 @@ def test_failed_calibration_is_not_cached(spark, caplog):
         def complete_structured(self, prompt, json_schema):
             raise RuntimeError("down")
 
-    index = DocumentIndex(spark, providers.ArithmeticEmbedding(8), Broken())
+    index = DocumentIndex(spark, LetterCounts(), Broken())
     with caplog.at_level(logging.WARNING):
         index.build_from("t", spark.createDataFrame([("a", "um texto")], "file string, content string"))
     assert "down" in caplog.text and "t" not in index.schemas and index.is_loaded(["t"], ["full", "chunks"])
 
 
-def test_arriving_files_are_appended_once(spark, tmp_path):
-    base, target, checkpoint = (str(tmp_path / name) for name in ("in", "out", "cp"))
+def test_arriving_files_are_appended_once_and_failures_kept(spark, tmp_path):
+    base, target, failed, checkpoint = (str(tmp_path / name) for name in ("in", "out", "failed", "cp"))
     (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "ansi.TXT").write_bytes("petição".encode("cp1252"))
+    (tmp_path / "in" / "wide.txt").write_bytes("sentença".encode("utf-16"))
+    (tmp_path / "in" / "broken.txt").write_bytes(b"\xff\x81\xfe\x81")
     for round_ in range(2):
         (tmp_path / "in" / f"{round_}.txt").write_text(f"documento {round_}", "utf-8")
-        arrivals.append_chunks(arrivals.arriving(spark, base), target, checkpoint).awaitTermination()
-    assert sorted(r.chunk_text for r in spark.read.parquet(target).collect()) == ["documento 0", "documento 1"]
+        arrivals.append_chunks(arrivals.arriving(spark, base), target, failed, checkpoint, lambda c: F.array_repeat(F.length(c).cast("float"), 2), 2).awaitTermination()
+    assert sorted(r.chunk_text for r in spark.read.parquet(target).collect()) == ["documento 0", "documento 1", "petição", "sentença"]
+    assert [r.file.rsplit("/")[-1] for r in spark.read.parquet(failed).collect()] == ["broken.txt"]
 
 
 def test_copies_are_found_in_every_chunk_of_every_file(spark, tmp_path):

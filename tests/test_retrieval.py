@@ -20,8 +20,27 @@ def test_exact_search_equals_brute_force_with_ties(spark):
         d = ((x - x[i]) ** 2).sum(1)
         for rank, doc in enumerate(sorted(range(200), key=lambda j: (d[j], j))[:9], 1):
             assert found[i, rank] == (doc, d[doc])
-    same = {(r.query_id, r["rank"]): (r.doc, r.distance) for r in dense.exact_sql(entries, asked, 9).collect()}
-    assert same == found
+
+
+def test_many_queries_in_blocks_give_what_one_block_gives(spark, monkeypatch):
+    random = np.random.default_rng(11)
+    x = random.normal(size=(700, 8))
+    entries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc long, embedding array<float>").repartition(3)
+    asked = entries.where("doc < 300").select(F.col("doc").alias("query_id"), F.col("embedding").alias("query_vector"))
+    key = lambda df: sorted((r.query_id, r["rank"], r.doc, r.distance) for r in df.collect())
+    whole = key(dense.exact(entries, asked, 4))
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 600)
+    monkeypatch.setattr(dense, "TILE", 4000)
+    assert key(dense.exact(entries, asked, 4)) == whole and len(whole) == 1200
+
+    texts = spark.createDataFrame([(i, " ".join(f"w{j}" for j in random.integers(0, 40, 12))) for i in range(200)], "doc long, text string")
+    queries = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i}") for i in range(39)], "query_id long, query string")
+    index = lexical.build(texts, "doc", "text")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.doc, r.score) for r in df.collect())
+    whole = rows(lexical.top(index, queries, 5))
+    monkeypatch.setattr(lexical, "QUERY_TERMS", 7)
+    monkeypatch.setattr(lexical, "SCORES", 100)
+    assert rows(lexical.top(index, queries, 5)) == whole and len(whole) == 39 * 5
 
 
 def test_probing_all_clusters_is_exact(spark):
@@ -29,7 +48,7 @@ def test_probing_all_clusters_is_exact(spark):
     entries = spark.createDataFrame([(i, random.normal(size=6).tolist()) for i in range(150)], "doc long, embedding array<float>")
     asked = entries.where("doc < 5").select(F.col("doc").alias("query_id"), F.col("embedding").alias("query_vector"))
     centres = dense.train_clusters(entries, "embedding", 5)
-    some = dense.clustered(dense.assign_clusters(entries, "embedding", centres), asked, centres, 4, 5)
+    some = dense.search_cells(dense.build_cells(entries, centres), asked, 4, 5)
     key = lambda df: sorted((r.query_id, r["rank"], r.doc) for r in df.collect())
     assert key(some) == key(dense.exact(entries, asked, 4))
 
