@@ -7,19 +7,26 @@ codebook by a beam search, and its code is stored with the norm of what the
 code leaves over.
 
 Vectors with the same keys form a group, in which each looks for its
-neighbours. A group is cut into query strips and base blocks of at most
-``block`` vectors, and each strip meets all blocks of its group, one after the
-other. Against a block, a strip first scores codes: a table of the queries'
-products with the codebooks is looked up by the codes, and divided by the
-codes' norms. A base vector whose score comes within ``margin`` standard errors
-of a query's k-th best similarity so far is reranked by the exact product. The
-standard error is that of a random direction of the stored residual norm, so
-``margin`` sets the loss: at 2.5 about one neighbour in 900 is missed, at 2 one in 180.
-
-No strip holds more than its own vectors and one block; a hot group only has
-more strips. Work in a group is quadratic in codes (a few bytes read for each
-pair of vectors), because vectors that are spread evenly, as normalised text
-embeddings often are within a subject, offer no cells to skip.
+neighbours. A group is dealt by hash into blocks, and every two blocks of a
+group, and each block with itself, meet in one task. There the codes are
+scored: a table of some vectors' products with the codebooks is looked up by
+the others' codes, and divided by the codes' norms. The score stands for the
+similarity of both to each other, so every pair is scored once for both. A pair
+whose score comes within ``margin`` standard errors of the k-th best similarity
+of one of the two is reranked by the exact product. The standard error is that of
+a random direction of the stored residual norm, so ``margin`` sets the loss.
+
+A block meets itself first; the k-th best similarity that a vector has there
+is what it brings along when its block meets others, which then only report
+what is better. What the blocks' meetings found is merged for each block.
+
+A task holds two blocks. A block has ``block`` vectors at most in a group of
+some hundred thousand, and grows with the root of larger ones up to ``largest``,
+so that the copies of a block that are shuffled, one for each other block,
+grow with the root of the group and not with the group. The meetings of a hot
+group are dealt over the tasks in turn. Work in a group is quadratic in codes
+(a few bytes read for each pair of vectors), because vectors that are spread
+evenly, as normalised text embeddings often are within a subject, offer no cells to skip.
 
 Null vectors, all-zero vectors, vectors with a null, infinite or NaN element
 or another dimension than ``dim``, and rows with a null id or key neither ask
@@ -97,20 +104,33 @@ def _true_places(mask: np.ndarray) -> np.ndarray:
 _BITS = np.arange(8)
 
 
-class _Strip:
-    """A block of queries and their k best neighbours so far."""
+class _Side:
+    """A block of unit vectors and the k best neighbours of each so far.
 
-    SCALE = 8192  # of the 16-bit tables; sums of them stay below 2^15
+    ``floor`` is a similarity that the k-th best is known to reach. The
+    vectors come in the order of their codes' norms.
+    """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, books: np.ndarray, k: int, margin: float):
-        self.ids, self.vectors, self.k = ids, vectors, k
-        self.books = books.reshape(-1, books.shape[2])
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, left: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.ids, self.vectors, self.left, self.k = ids, vectors, left, k
+        self.picks = np.ascontiguousarray(codes.T.astype(np.intp))
+        self.norms = np.sqrt(np.maximum(1 - left.astype(np.float64) ** 2, 1e-6))
         self.best = np.full((len(ids), k), -np.inf, np.float32)
         self.who = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.margin = margin / np.sqrt(vectors.shape[1] - 1)
-
-    def _keep(self, rows: np.ndarray, similarities: np.ndarray, ids: np.ndarray) -> None:
-        """Merges found neighbours, sorted by query, into the k best."""
+        self.floor = np.full(len(ids), -np.inf, np.float32) if floor is None else floor
+
+    def least(self, part: slice) -> np.ndarray:
+        """What a similarity to the vectors of ``part`` must reach."""
+        return np.maximum(self.floor[part], self.best[part, -1])
+
+    def keep(self, rows: np.ndarray, similarities: np.ndarray, ids: np.ndarray) -> None:
+        """Merges found neighbours of the vectors ``rows`` into the k best."""
+        better = similarities >= np.maximum(self.floor[rows], self.best[rows, -1])
+        if not better.any():
+            return
+        rows, similarities, ids = rows[better], similarities[better], ids[better]
+        order = np.argsort(rows, kind="stable")
+        rows, similarities, ids = rows[order], similarities[order], ids[order]
         first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         counts = np.diff(np.r_[first, len(rows)])
         mine, width = rows[first], counts.max()
@@ -123,57 +143,60 @@ class _Strip:
         order = np.lexsort((names, -wide), axis=1)[:, : self.k]
         self.best[mine], self.who[mine] = np.take_along_axis(wide, order, 1), np.take_along_axis(names, order, 1)
 
-    def _exact(self, rows: np.ndarray, columns: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """Reranks the found pairs, sorted by query, by their exact similarity."""
-        similarities = np.einsum("ij,ij->i", self.vectors[rows], vectors[columns])
-        better = similarities >= self.best[rows, -1]
-        better &= self.ids[rows] != ids[columns]
-        if better.any():
-            self._keep(rows[better], similarities[better], ids[columns[better]])
-
-    def meet(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, left: np.ndarray, lines: int = 256, wide: int = 1024) -> None:
-        """Looks for neighbours among base vectors, which come in the order of their codes' norms.
-
-        A similarity is estimated by the looked-up product over the code's
-        norm, as for unit vectors what a code leaves over is nearly at right
-        angles to it. A tile's vectors have nearly the same norm.
-        """
-        picks = np.ascontiguousarray(codes.T.astype(np.intp))
-        norms = np.sqrt(np.maximum(1 - left.astype(np.float64) ** 2, 1e-6))
-        stages = len(picks)
-        for top in range(0, len(self.ids), lines):
-            asked = self.vectors[top : top + lines]
-            start = 0
-            if np.isinf(self.best[top : top + lines, -1]).any():
-                # the first vectors are compared exactly, to have thresholds
-                start = min(len(ids), wide)
-                near = asked @ vectors[:start].T
-                some = min(self.k + 1, start)
-                columns = np.argpartition(-near, some - 1, axis=1)[:, :some]
-                self._exact(np.repeat(np.arange(top, top + len(asked)), some), columns.ravel(), ids, vectors)
-            if start >= len(ids):
+
+SCALE = 8192  # of the 16-bit tables; sums of them stay below 2^15
+
+
+def _raise_floor(side: _Side, some: int, lines: int = 1024) -> None:
+    """Takes the k-th best of the exact similarities to ``some`` vectors of the block as a floor."""
+    sample = side.vectors[:: max(1, len(side.ids) // some)]
+    if len(sample) <= side.k:
+        return
+    for top in range(0, len(side.ids), lines):
+        near = side.vectors[top : top + lines] @ sample.T
+        # one place more, as a vector may meet itself
+        side.floor[top : top + lines] = np.partition(near, len(sample) - side.k - 1, axis=1)[:, len(sample) - side.k - 1] - 1e-5
+
+
+def meet(one: _Side, other: _Side, books: np.ndarray, margin: float, lines: int = 256, wide: int = 1024) -> None:
+    """Looks for neighbours of either side among the other, or within one block.
+
+    A similarity is estimated by the looked-up product over the code's
+    norm, as for unit vectors what a code leaves over is nearly at right
+    angles to it. A tile's vectors have nearly the same norm.
+    """
+    stages, _, dim = books.shape
+    flat, margin, same = books.reshape(-1, dim), margin / np.sqrt(dim - 1), one is other
+    for top in range(0, len(one.ids), lines):
+        mine = slice(top, top + lines)
+        asked = one.vectors[mine]
+        tables = np.rint(flat @ asked.T * SCALE).clip(-SCALE, SCALE).astype(np.int16).reshape(stages, ENTRIES, -1)
+        score, added = np.empty((2, wide, len(asked)), np.int16)
+        for low in range(top // wide * wide if same else 0, len(other.ids), wide):
+            part = slice(low, low + wide)
+            n = len(other.ids[part])
+            np.take(tables[0], other.picks[0, part], 0, out=score[:n], mode="clip")
+            for stage in range(1, stages):
+                np.take(tables[stage], other.picks[stage, part], 0, out=added[:n], mode="clip")
+                np.add(score[:n], added[:n], out=score[:n])
+            norm, slack = other.norms[part].mean() * SCALE, margin * other.left[part].mean()
+            ask, answer = (np.floor(np.maximum((x - slack) * norm, -32000)).astype(np.int16) for x in (one.least(mine), other.least(part)))
+            hits = _true_places((score[:n] >= ask[None, :]) | (score[:n] >= answer[:, None]))
+            if not len(hits):
                 continue
-            tables = np.rint(self.books @ asked.T * self.SCALE).clip(-self.SCALE, self.SCALE).astype(np.int16).reshape(stages, ENTRIES, -1)
-            score, added = np.empty((2, wide, len(asked)), np.int16)
-            for low in range(start, len(ids), wide):
-                part = slice(low, low + wide)
-                n = len(ids[part])
-                np.take(tables[0], picks[0, part], 0, out=score[:n], mode="clip")
-                for stage in range(1, stages):
-                    np.take(tables[stage], picks[stage, part], 0, out=added[:n], mode="clip")
-                    np.add(score[:n], added[:n], out=score[:n])
-                norm, slack = norms[part].mean(), self.margin * left[part].mean()
-                least = (self.best[top : top + lines, -1] - slack) * norm * self.SCALE
-                least = np.floor(np.maximum(least, -32000)).astype(np.int16)
-                hits = _true_places(score[:n] >= least[None, :])
-                if len(hits):
-                    columns, rows = np.divmod(hits, len(asked))
-                    if 100 * len(hits) > score[:n].size:
-                        # so many that one product of the tile costs less than gathering each pair
-                        near = (vectors[part] @ asked.T).ravel()[hits] >= self.best[top + rows, -1] - 1e-5
-                        columns, rows = columns[near], rows[near]
-                    order = np.argsort(rows.astype(np.uint16), kind="stable")
-                    self._exact(rows[order] + top, columns[order] + low, ids, vectors)
+            columns, rows = np.divmod(hits, len(asked))
+            if same:
+                # every pair once
+                once = columns + low > rows + top
+                columns, rows, hits = columns[once], rows[once], hits[once]
+            if 100 * len(hits) > score[:n].size:
+                # so many that one product of the tile costs less than gathering each pair
+                similarities = (other.vectors[part] @ asked.T).ravel()[hits]
+            else:
+                similarities = np.einsum("ij,ij->i", asked[rows], other.vectors[part][columns])
+            rows, columns = rows + top, columns + low
+            one.keep(rows, similarities, other.ids[columns])
+            other.keep(columns, similarities, one.ids[rows])
 
 
 def _usable(vectors: DataFrame, key: str, vector: str, groups: tuple[str, ...], dim: int) -> DataFrame:
@@ -213,12 +236,12 @@ def nearest(
     beam: int = 2,
     margin: float = 2.5,
     block: int = 16384,
-    strip: int = 2,
+    largest: int = 131072,
     sample: int = 16384,
 ) -> DataFrame:
     """(id, rank, neighbour, similarity): the ``k`` most similar vectors of every vector within its group.
 
-    A strip asks with ``strip`` blocks of at most about ``block`` vectors. ``sample`` bounds the
+    Blocks have at most about ``block`` vectors, more in large groups, ``largest`` at most. ``sample`` bounds the
     vectors that train the codebooks; all vectors are encoded and searched.
     """
     spark = vectors.sparkSession
@@ -232,11 +255,12 @@ def nearest(
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // block)
 
     # a group's number of blocks follows from its size; ids are spread over the blocks by hash
-    sizes = sizes.select("group", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    of_block = F.least(F.lit(largest), F.greatest(F.lit(block), 48 * F.sqrt("n")))
+    sizes = sizes.select("group", F.ceil(F.col("n") / of_block).cast("int").alias("blocks"))
     blocked = _units(usable, dim).join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
 
-    def gather(batches):
-        """Blobs of a partition's vectors by group and block, encoded and in the order of their codes' norms."""
+    def blocks_of(batches):
+        """A partition's blocks, encoded, in the order of their codes' norms, with the best neighbours inside."""
         held: dict[tuple[int, int, int], list[tuple[int, bytes]]] = {}
         for batch in batches:
             for group, id_, unit, blocks, own in zip(*(c.to_pylist() for c in batch.columns)):
@@ -248,51 +272,102 @@ def nearest(
             units = np.frombuffer(b"".join(u for _, u in rows), np.float32).reshape(-1, dim)
             codes, left = encode(units, books.value, beam)
             order = np.argsort(left, kind="stable")
-            blob = [pa.array([x[order].tobytes()], pa.binary()) for x in (ids, units, codes, left)]
+            side = _Side(ids[order], units[order], codes[order], left[order], k)
+            _raise_floor(side, 1024)
+            meet(side, side, books.value, margin)
+            parts = [side.ids, side.vectors, codes[order], side.left, side.best, side.who]
             place = [pa.array([group]), pa.array([blocks], pa.int32()), pa.array([own], pa.int32())]
-            yield pa.RecordBatch.from_arrays(place + blob, ["group", "blocks", "own", "ids", "units", "codes", "lefts"])
-
-    blobs = blocked.repartition(parts, "group", "own").mapInArrow(gather, "group long, blocks int, own int, ids binary, units binary, codes binary, lefts binary")
+            if blocks == 1:
+                # nothing else will be met
+                parts[1:4] = [np.zeros(0, np.uint8)] * 3
+            yield pa.RecordBatch.from_arrays(place + [pa.array([x.tobytes()], pa.binary()) for x in parts], ["group", "blocks", "own", *_PARTS])
+
+    # the blocks of a group go to the tasks in turn
+    turn = F.pmod(F.col("group") + F.col("own"), F.lit(parts)).cast("int")
+    blobs = blocked.repartitionById(parts, turn).mapInArrow(blocks_of, "group long, blocks int, own int, " + ", ".join(f"{x} binary" for x in _PARTS))
     blobs = checkpointed(blobs)
-    strips = F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / strip).cast("int"))
-    met = blobs.select("group", F.explode(strips).alias("strip"), "own", "ids", "units", "codes", "lefts")
-    # a strip's own blocks, which ask, come first
-    met = met.select("group", "strip", (F.floor(F.col("own") / strip) != F.col("strip")).alias("other"), "own", "ids", "units", "codes", "lefts")
-    met = met.repartition(parts, "group", "strip").sortWithinPartitions("group", "strip", "other", "own")
-
-    def search(batches):
-        asking, now, built = [], None, None
-
-        def begin():
-            made = _Strip(np.concatenate([x[0] for x in asking]), np.concatenate([x[1] for x in asking]), books.value, k, margin)
-            for block in asking:
-                made.meet(*block)
-            return made
-
+    several = blobs.where("blocks > 1").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("`with` <> own")
+    several = several.select("group", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), *_PARTS)
+    # a group's meetings are numbered in turn, and go to the tasks in turn
+    number = F.expr("high * (high - 1) div 2 + low")
+    meetings = blobs.agg(F.sum(F.when(F.col("own") == 0, F.expr("blocks * (blocks - 1) div 2")))).first()[0] or 0
+    tasks = max(1, min(4 * meetings, 4 * parts))
+    met = several.repartitionById(tasks, F.pmod(F.col("group") + number, F.lit(tasks)).cast("int")).sortWithinPartitions("group", "low", "high")
+
+    def meetings_of(batches):
+        """What two blocks find in one another, for each of them."""
+        waiting: dict[tuple[int, int, int], _Side] = {}
+        for batch in batches:
+            for at in range(batch.num_rows):
+                group, low, high, *parts = (column[at].as_py() for column in batch.columns)
+                ids, units, codes, left, best, _ = (np.frombuffer(x, kind) for x, kind in zip(parts, _KINDS))
+                side = _Side(ids, units.reshape(-1, dim), codes.reshape(-1, stages), left, k, best.reshape(-1, k)[:, -1].copy())
+                other = waiting.pop((group, low, high), None)
+                if other is None:
+                    waiting[group, low, high] = side
+                    continue
+                meet(other, side, books.value, margin)
+                for one in (other, side):
+                    rows, places = np.nonzero(np.isfinite(one.best))
+                    found = [one.ids[rows], one.best[rows, places], one.who[rows, places]]
+                    yield pa.RecordBatch.from_arrays([pa.array([group]), *(pa.array([x.tobytes()], pa.binary()) for x in found)], ["group", "ids", "best", "who"])
+
+    def merged(batches):
+        """The k best of what was found for the ids of a partition."""
+        held: list[list[np.ndarray]] = [[], [], []]
+        for batch in batches:
+            for kept, column, kind in zip(held, batch.columns, (np.int64, np.float32, np.int64)):
+                kept += [np.frombuffer(x, kind) for x in column.to_pylist()]
+        if not held[0]:
+            return
+        ids, best, who = (np.concatenate(x) for x in held)
+        order = np.lexsort((who, -best, ids))
+        ids, best, who = ids[order], best[order], who[order]
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        rank = 1 + np.arange(len(ids)) - np.repeat(starts, np.diff(np.r_[starts, len(ids)]))
+        some = rank <= k
+        yield _rows(ids[some], rank[some], who[some], best[some])
+
+    def alone(batches):
+        for batch in batches:
+            for ids, best, who in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, best, who = np.frombuffer(ids, np.int64), np.frombuffer(best, np.float32).reshape(-1, k), np.frombuffer(who, np.int64).reshape(-1, k)
+                rows, ranks = np.nonzero(np.isfinite(best))
+                yield _rows(ids[rows], ranks + 1, who[rows, ranks], best[rows, ranks])
+
+    schema = "id long, rank int, neighbour long, similarity float"
+    single = blobs.where("blocks = 1").select("ids", "best", "who").mapInArrow(alone, schema)
+    if not meetings:
+        return single
+    # ids are cut into slices by hash, so that a merging task holds what a slice's ids found
+    slices = max(parts, total // 65536)
+
+    def sliced(batches):
+        """Found neighbours by slice of the ids that they are of."""
         for batch in batches:
-            for group, at, other, _, *blob in zip(*(c.to_pylist() for c in batch.columns)):
-                block = (
-                    np.frombuffer(blob[0], np.int64),
-                    np.frombuffer(blob[1], np.float32).reshape(-1, dim),
-                    np.frombuffer(blob[2], np.uint8).reshape(-1, stages),
-                    np.frombuffer(blob[3], np.float32),
-                )
-                if (group, at) != now:
-                    if asking:
-                        yield _found(built or begin())
-                    asking, now, built = [], (group, at), None
-                if not other:
-                    asking.append(block)
-                elif asking:
-                    built = built or begin()
-                    built.meet(*block)
-        if asking:
-            yield _found(built or begin())
-
-    return met.mapInArrow(search, "id long, rank int, neighbour long, similarity float")
-
-
-def _found(strip: _Strip) -> pa.RecordBatch:
-    rows, ranks = np.nonzero(np.isfinite(strip.best))
-    columns = [strip.ids[rows], (ranks + 1).astype(np.int32), strip.who[rows, ranks], strip.best[rows, ranks]]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "rank", "neighbour", "similarity"])
+            for ids, best, who in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, best, who = np.frombuffer(ids, np.int64), np.frombuffer(best, np.float32).ravel(), np.frombuffer(who, np.int64).ravel()
+                if len(best) > len(ids):
+                    ids = np.repeat(ids, k)
+                good = np.isfinite(best)
+                ids, best, who = ids[good], best[good], who[good]
+                slice_ = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % slices
+                order = np.argsort(slice_, kind="stable")
+                bounds = np.flatnonzero(np.r_[True, np.diff(slice_[order]) != 0, True]) if len(order) else np.zeros(1, int)
+                for a, b in zip(bounds[:-1], bounds[1:]):
+                    here = order[a:b]
+                    values = [pa.array([x[here].tobytes()], pa.binary()) for x in (ids, best, who)]
+                    yield pa.RecordBatch.from_arrays([pa.array([slice_[here[0]]], pa.int32()), *values], ["slice", "ids", "best", "who"])
+
+    inside = blobs.where("blocks > 1").select("ids", "best", "who")
+    across = met.mapInArrow(meetings_of, "group long, ids binary, best binary, who binary").select("ids", "best", "who")
+    found = inside.unionAll(across).mapInArrow(sliced, "slice int, ids binary, best binary, who binary")
+    return single.unionAll(found.repartitionById(slices, "slice").select("ids", "best", "who").mapInArrow(merged, schema))
+
+
+_PARTS = ("ids", "units", "codes", "lefts", "best", "who")
+_KINDS = (np.int64, np.float32, np.uint8, np.float32, np.float32, np.int64)
+
+
+def _rows(ids: np.ndarray, ranks: np.ndarray, who: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ranks.astype(np.int32)), pa.array(who), pa.array(best)], ["id", "rank", "neighbour", "similarity"])
