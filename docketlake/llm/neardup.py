@@ -5,6 +5,9 @@ value, so ``bands * rows / 2`` permutations give ``bands * rows`` signature
 values, each of which agrees between two texts with a probability equal to
 their Jaccard similarity. Texts that agree in all values of a band are
 candidates; every candidate is then verified on the exact shingle sets.
+Candidates are verified in units, to each of which a text is sent once,
+however many candidates it has there: classes with the same smallest
+candidate form blocks, and a unit is a pair of blocks.
 
 With ``rows`` values in each of ``bands`` bands, a pair of similarity s is a
 candidate with probability 1 - (1 - s^rows)^bands: at the defaults 99.8 % at
@@ -122,16 +125,22 @@ def _starts(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
 
 
+def _apart(ids: np.ndarray) -> bytes:
+    apart = np.diff(ids, prepend=0)
+    small = np.abs(apart).max(initial=0) < 1 << 31
+    return apart.astype(np.int32 if small else np.int64).tobytes()
+
+
 def _blobs(bucket: np.ndarray, keys: np.ndarray, ids: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
-    """One row for each bucket: 4 bytes of each key, differences of the ascending ids, 4 bytes of each name."""
+    """One row for each bucket: 4 bytes of each key, differences of the ascending ids in 4 bytes if they fit or 8, each name."""
     sort = np.argsort(bucket, kind="stable")
-    bucket, keys, ids, names = bucket[sort], keys[sort].astype(np.uint32), ids[sort], names[sort].astype(np.uint32)
+    bucket, keys, ids, names = bucket[sort], keys[sort].astype(np.uint32), ids[sort], names[sort]
     starts = _starts(bucket)
     ends = np.r_[starts[1:], len(bucket)]
     columns = [
         pa.array(bucket[starts].astype(np.int64)),
         pa.array([keys[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
-        pa.array([np.diff(ids[a:b], prepend=0).tobytes() for a, b in zip(starts, ends)], pa.binary()),
+        pa.array([_apart(ids[a:b]) for a, b in zip(starts, ends)], pa.binary()),
         pa.array([names[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
     ]
     return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "ids", "names"])
@@ -168,7 +177,7 @@ def _band_blobs(texts: DataFrame, width: int, min_words: int, bands: int, rows:
             if not ids:
                 continue
             ids, names = np.array(ids, np.int64), np.array(names, np.uint64)
-            yield _blobs(np.uint64(buckets) + (names >> np.uint64(32)) % np.uint64(max(1, buckets // 16)), names, ids, names >> np.uint64(32))
+            yield _blobs(np.uint64(buckets) + (names >> np.uint64(32)) % np.uint64(max(1, buckets // 16)), names, ids, names)
             values = np.stack(signatures)[:, order].reshape(len(signatures), bands, rows).astype(np.uint64)
             keys = np.broadcast_to(salts, (len(signatures), bands)).copy()
             for k in range(rows):
@@ -196,10 +205,10 @@ def _met(texts: DataFrame, width: int, min_words: int, bands: int, rows: int, mo
         while held:
             bucket, blobs = held.popitem()
             keys = np.frombuffer(b"".join(x[0] for x in blobs), np.uint32).astype(np.uint64)
-            ids = np.concatenate([np.cumsum(np.frombuffer(x[1], np.int64)) for x in blobs])
-            names = np.frombuffer(b"".join(x[2] for x in blobs), np.uint32).astype(np.uint64)
+            ids = np.concatenate([np.cumsum(np.frombuffer(x[1], np.int32 if len(x[1]) == len(x[0]) else np.int64), dtype=np.int64) for x in blobs])
+            names = np.frombuffer(b"".join(x[2] for x in blobs), np.uint64)
             if bucket >= buckets:
-                keys |= names << np.uint64(32)
+                keys = names
             sort = np.lexsort((ids, keys))
             keys, ids, names = keys[sort], ids[sort], names[sort]
             starts = _starts(keys)
@@ -267,39 +276,77 @@ def similar_classes(items: DataFrame, key: str, text: str, threshold: float = 0.
         .select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"))
         .distinct()
     )
-    joined = (
-        near.join(texts.select(F.col("id").alias("class_a"), F.col("content").alias("text_a")), "class_a")
-        .join(texts.select(F.col("id").alias("class_b"), F.col("content").alias("text_b")), "class_b")
-        .select("class_a", "class_b", "text_a", "text_b")
-    )
+    pairs = _verified(checkpointed(near), texts, threshold, width, min_words)
+    return copies, checkpointed(pairs)
+
+
+def _verified(near: DataFrame, texts: DataFrame, threshold: float, width: int, min_words: int, block: int = 256) -> DataFrame:
+    """(class_a, class_b, similarity) of the candidates (class_a, class_b) whose exact similarity reaches the threshold.
+
+    A candidate's unit is the smallest candidate of class_a, and the blocks to
+    which hashes assign both classes among those with the same smallest one.
+    """
+    ends = near.select(F.col("class_a").alias("class"), F.col("class_a").alias("least")).unionAll(near.select(F.col("class_b").alias("class"), F.col("class_a").alias("least")))
+    heads = ends.groupBy("class").agg(F.min("least").alias("head"))
+    sizes = heads.groupBy("head").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    place = lambda name: F.pmod(F.xxhash64(name), "blocks")
+    placed = near.join(heads.join(sizes, "head").withColumnRenamed("class", "class_a"), "class_a")
+    placed = placed.select("class_a", "class_b", F.xxhash64("head", place("class_a"), place("class_b")).alias("unit"))
+    asked = placed.select("unit", F.col("class_a").alias("id")).unionAll(placed.select("unit", F.col("class_b").alias("id"))).distinct()
+    # texts first, then the pairs
+    rows = asked.join(texts, "id").select("unit", F.lit(0).alias("step"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "content")
+    rows = rows.unionAll(placed.select("unit", F.lit(1), "class_a", "class_b", F.lit(None).cast("string")))
+    parts = max(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = rows.repartition(parts, "unit").sortWithinPartitions("unit", "step")
 
     def verify(batches):
+        now, held = None, {}
         for batch in batches:
-            texts = list(dict.fromkeys([*batch.column(2).to_pylist(), *batch.column(3).to_pylist()]))
-            sets = dict(zip(texts, shingle_sets(texts, width, min_words)))
-            values = []
-            for text_a, text_b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                left, right = sets[text_a], sets[text_b]
-                both = 0 if left is None or right is None else len(np.intersect1d(left, right, assume_unique=True))
-                values.append(both and both / (len(left) + len(right) - both))
-            similarity = np.array(values, np.float64)
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity)], ["class_a", "class_b", "similarity"])
-            yield out.filter(pa.array(similarity >= threshold))
-
-    pairs = joined.mapInArrow(verify, "class_a long, class_b long, similarity double")
-    return copies, checkpointed(pairs)
+            units, steps, left, right, contents = (c.to_pylist() for c in batch.columns)
+            contents_of = {a: content for step, a, content in zip(steps, left, contents) if step == 0}
+            sets = dict(zip(contents_of, shingle_sets(list(contents_of.values()), width, min_words)))
+            found: list[tuple[int, int, float]] = []
+            for unit, step, a, b in zip(units, steps, left, right):
+                if unit != now:
+                    now, held = unit, {}
+                if step == 0:
+                    held[a] = sets[a]
+                    continue
+                one, other = held[a], held[b]
+                if one is None or other is None:
+                    continue
+                # a smaller set cannot hold enough of a larger one
+                if min(len(one), len(other)) < threshold * max(len(one), len(other)):
+                    continue
+                both = _shared(one, other)
+                similarity = both / (len(one) + len(other) - both)
+                if similarity >= threshold:
+                    found.append((a, b, similarity))
+            columns = list(zip(*found)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["class_a", "class_b", "similarity"])
+
+    return rows.mapInArrow(verify, "class_a long, class_b long, similarity double")
+
+
+def _shared(one: np.ndarray, other: np.ndarray) -> int:
+    """How many numbers two ascending arrays without repetitions share."""
+    if len(one) > len(other):
+        one, other = other, one
+    at = np.searchsorted(other, one)
+    at[at == len(other)] = 0
+    return int((other[at] == one).sum())
 
 
 def similar_pairs(items: DataFrame, key: str, text: str, **options) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of rows with similar texts, copies written out."""
     copies, pairs = similar_classes(items, key, text, **options)
     crowd = copies.unionAll(copies.select(F.col("class_id").alias("id"), "class_id").distinct())
-    same = (
-        crowd.select("class_id", F.col("id").alias("id_a"))
-        .join(crowd.select("class_id", F.col("id").alias("id_b")), "class_id")
-        .where("id_a < id_b")
-        .select("id_a", "id_b")
-    )
+    # a crowd's pairs are written by as many tasks as it has slices
+    slices = crowd.groupBy("class_id").agg(F.ceil(F.count("*") / 1024).cast("int").alias("slices"))
+    sliced = crowd.join(slices, "class_id")
+    mine = sliced.select("class_id", F.pmod(F.xxhash64("id"), "slices").cast("int").alias("slice"), F.col("id").alias("id_a"))
+    all_others = sliced.select("class_id", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("id").alias("id_b"))
+    same = mine.join(all_others, ["class_id", "slice"]).where("id_a < id_b").select("id_a", "id_b")
     across = (
         pairs.join(crowd.select(F.col("class_id").alias("class_a"), F.col("id").alias("copy_a")), "class_a", "left")
         .join(crowd.select(F.col("class_id").alias("class_b"), F.col("id").alias("copy_b")), "class_b", "left")
