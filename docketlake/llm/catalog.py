@@ -181,7 +181,7 @@ def p8_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p9_found")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the subjects that at least three of their sentences are about."""
-    found = subjects.assigned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "eval_items"))
+    found = subjects.assigned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "subjects"))
     return found.select(F.col("id").alias("doc_id"), "subject")
 
 
