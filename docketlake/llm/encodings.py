@@ -9,7 +9,8 @@ if another token of the text comes from the same chain. Chains that lose charact
 others, because the table is built forwards.
 
 Text read two bytes at a time (UTF-16) has no words; there, every window of
-three characters is looked up among the windows that clean words give.
+three characters is looked up among the windows that clean words give, those
+in ASCII letters only as well as the others.
 
 A token of a text is a run of ASCII letters and non-ASCII characters with at
 least one of the latter. Tokens of ordinary letters in ordinary case are
@@ -135,19 +136,22 @@ def _is_wide(token: str) -> bool:
 def sightings(texts: DataFrame) -> DataFrame:
     """(token, id, n) of the texts (id, content), in one scan.
 
-    Rows with a null id count plain tokens, added up in each task. The others
-    say that the text has the token, which is not plain; tokens of text read
+    Rows with a null id count plain tokens, added up in each task; with an
+    ``n`` of 0 they are what stands between white space, in ASCII letters only.
+    The others say that the text has the token, which is not plain; tokens of text read
     in pairs of bytes appear as windows.
     """
 
     def scan(batches):
         plain: Counter[str] = Counter()
+        parts: set[str] = set()
         ordinary: dict[str, bool] = {}
         for batch in batches:
             if len(ordinary) > MOST_HELD:
                 ordinary.clear()
             seen, ids = [], []
             for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts.update(text.split())
                 if text.isascii():
                     continue
                 odd = set()
@@ -167,11 +171,24 @@ def sightings(texts: DataFrame) -> DataFrame:
             if len(plain) > MOST_HELD:
                 yield _plain_batch(plain)
                 plain = Counter()
+            if len(parts) > MOST_HELD:
+                yield _plain_batch(_ascii_words(parts))
+                parts = set()
         yield _plain_batch(plain)
+        yield _plain_batch(_ascii_words(parts))
 
     return texts.mapInArrow(scan, "token string, id long, n long")
 
 
+def _ascii_words(parts: set[str]) -> Counter[str]:
+    """The parts that are words in ASCII letters, outer punctuation aside, none of them counted."""
+    words = Counter()
+    for part in parts:
+        if part.isascii() and (word := part.strip(".,;:!?()[]{}'\"-/")).isalpha():
+            words[word] = 0
+    return words
+
+
 def _plain_batch(plain: Counter[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(plain.keys(), pa.string()), pa.nulls(len(plain), pa.int64()), pa.array(plain.values(), pa.int64())], ["token", "id", "n"])
 
@@ -189,15 +206,18 @@ def forms(words: DataFrame) -> DataFrame:
     """(token, word, n, chain, steps, sure, chains): the garbled forms of the clean words (word, n).
 
     ``chain`` is the first of the ``chains`` that give the form; ``sure`` says that the form is distinctive.
+    Of words in ASCII letters only the windows of pairs of bytes are forms.
     """
     all_chains = chains()
 
     def garble(batches):
         for batch in batches:
             rows = []
+            # a window is told once for all the words of a batch that give it
+            windows: dict[str, str] = {}
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 made: dict[str, list[int]] = {}
-                for number, chain in enumerate(all_chains):
+                for number, chain in enumerate(() if word.isascii() else all_chains):
                     form = garbled(word, chain)
                     # one character for one is too little evidence: an ellipsis is also a garbled letter
                     if not form or form == word or len(form) < 2 or form.isascii() or PLAIN.fullmatch(form):
@@ -208,7 +228,8 @@ def forms(words: DataFrame) -> DataFrame:
                 for form, numbers in made.items():
                     first = all_chains[numbers[0]]
                     rows.append((form, word, n, numbers[0], len(first) // 2, distinctive(form, first), numbers))
-                rows += [(window, word, n, -1, 1, True, [-1]) for window in wide_windows(word)]
+                windows.update(dict.fromkeys(wide_windows(word), word))
+            rows += [(window, word, 1, -1, 1, True, [-1]) for window, word in windows.items()]
             columns = list(zip(*rows)) or [()] * 7
             kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["token", "word", "n", "chain", "steps", "sure", "chains"])
@@ -220,17 +241,17 @@ def _usable(items: DataFrame, key: str, text: str) -> DataFrame:
     return items.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("long").alias("id"), F.col(text).alias("content"))
 
 
-def matches(items: DataFrame, key: str, text: str, least: int = 2, ratio: int = 3) -> DataFrame:
+def matches(items: DataFrame, key: str, text: str, least: int = 1, ratio: int = 3) -> DataFrame:
     """(id, token, word, chain): the garbled tokens of each text and their originals.
 
-    A clean word must occur at least ``least`` times. Unless the form is
+    Every clean word counts that occurs ``least`` times. Unless the form is
     distinctive, it must also occur ``ratio`` times as often as texts have the
     garbled token, or another token of the text must come from the same chain.
     Of several originals the one with the fewest steps, then the most frequent,
     then the first by its letters counts.
     """
     seen = checkpointed(sightings(_usable(items, key, text)))
-    words = seen.where("id is null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    words = seen.where("id is null").groupBy("token").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("n") == 0))
     odd = seen.where("id is not null").select("token", "id").distinct()
     known = odd.groupBy("token").agg(F.count("*").alias("texts"))
     possible = checkpointed(

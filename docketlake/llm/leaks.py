@@ -5,10 +5,10 @@ set of their distinct words. A document streams through it once: the state
 holds the longest run of words that ends here and occurs in some item. Runs
 of ``min_run`` words and more are leaks; their spans can be cut out.
 
-The automaton is built once in each worker from the broadcast items. Items
-are few by nature; their words are counted first and split into shards of at
-most ``shard_words``, one automaton and one pass each, so that what a worker
-holds stays bounded however many items there are.
+Items are dealt by hash into shards of about ``shard_words`` words, whose
+number follows from their total. Each shard is a pass of its own over the
+documents: its items are broadcast, and a worker holds the one automaton of
+the pass that it works for. A hash deals an item to one shard only, so no item is cut.
 
 Nulls: a null text or id of a document gives no row in ``leaks`` and is
 handed on unchanged by ``without_leaks``; null items are ignored. Documents
@@ -24,7 +24,9 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from docketlake.session import checkpointed
 
 WORD = re.compile(r"[^\W_](?:[^\W_]|[\u0300-\u036f])*")
 
@@ -124,14 +126,14 @@ class Automaton:
                 yield at, length, owners[top]
 
 
-_BUILT: dict[str, list[Automaton]] = {}
+_BUILT: dict[str, Automaton] = {}
 
 
-def _automata(shared, min_run: int, key: str) -> list[Automaton]:
-    """The shards' automata; built once in a worker process."""
+def _automaton(shared, min_run: int, key: str) -> Automaton:
+    """The automaton of a pass; built once in a worker process, in the place of another pass's."""
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = [Automaton(shard, min_run) for shard in shared.value]
+        _BUILT[key] = Automaton(shared.value, min_run)
     return _BUILT[key]
 
 
@@ -148,82 +150,94 @@ class _Numbers(dict):
         return number
 
 
-def item_shards(items: DataFrame, shard_words: int) -> list[list[tuple[int, str]]]:
-    """The items on the driver in shards of at most about ``shard_words`` words; an item is never split.
+def item_shards(items: DataFrame, shard_words: int) -> Iterator[list[tuple[int, str]]]:
+    """The items of one shard after the other, each of about ``shard_words`` words."""
+    usable = items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    words = usable.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
+    shards = max(1, -(-words // shard_words))
+    for shard in range(shards):
+        # bounded: what the hash deals to one shard
+        yield [(r["item_id"], r["text"]) for r in usable.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).orderBy("item_id", "text").collect()]
 
-    Only evaluation items come here, never documents.
-    """
-    shards: list[list[tuple[int, str]]] = [[]]
-    room = shard_words
-    for item_id, text in items.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
-        words = len(WORD.findall(text))
-        if words > room and shards[-1]:
-            shards.append([])
-            room = shard_words
-        shards[-1].append((item_id, text))
-        room -= words
-    return shards
-
-
-def leaks(documents: DataFrame, items: DataFrame, min_run: int = 15, shard_words: int = 2_000_000) -> DataFrame:
+
+def leaks(documents: DataFrame, items: DataFrame, min_run: int = 15, shard_words: int = 250_000) -> DataFrame:
     """(doc_id, item_id) of documents and items that share ``min_run`` consecutive words, without case and accents."""
-    shared = documents.sparkSession.sparkContext.broadcast(item_shards(items, shard_words))
-    key = uuid.uuid4().hex
+    usable = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
 
-    def scan(batches):
-        automata = _automata(shared, min_run, key)
-        numbers = [_Numbers(a.words) for a in automata]
-        for batch in batches:
-            docs, found = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = WORD.findall(text)
-                for automaton, number in zip(automata, numbers):
+    def one_pass(shard: list[tuple[int, str]]) -> DataFrame:
+        shared, key = documents.sparkSession.sparkContext.broadcast(shard), uuid.uuid4().hex
+
+        def scan(batches):
+            automaton = _automaton(shared, min_run, key)
+            number = _Numbers(automaton.words)
+            for batch in batches:
+                docs, found = [], []
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     hit: set[int] = set()
-                    for _, _, owners in automaton.runs([number[w] for w in words]):
+                    for _, _, owners in automaton.runs([number[w] for w in WORD.findall(text)]):
                         hit |= owners
                     docs += [doc_id] * len(hit)
                     found += sorted(hit)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], ["doc_id", "item_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], ["doc_id", "item_id"])
 
-    usable = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return usable.mapInArrow(scan, "doc_id long, item_id long").distinct()
+        return usable.mapInArrow(scan, "doc_id long, item_id long")
 
+    found = None
+    for shard in item_shards(items, shard_words):
+        of_shard = one_pass(shard)
+        found = of_shard if found is None else found.unionAll(of_shard)
+    return found.distinct()
 
-def without_leaks(documents: DataFrame, items: DataFrame, min_run: int = 15, max_coverage: float = 0.5, shard_words: int = 2_000_000) -> DataFrame:
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """The spans (first word, last word) with overlapping and neighbouring ones joined."""
+    merged: list[list[int]] = []
+    for first, last in sorted(spans):
+        if merged and first <= merged[-1][1] + 1:
+            merged[-1][1] = max(merged[-1][1], last)
+        else:
+            merged.append([first, last])
+    return merged
+
+
+def without_leaks(documents: DataFrame, items: DataFrame, min_run: int = 15, max_coverage: float = 0.5, shard_words: int = 250_000) -> DataFrame:
     """Every document with its leaked spans cut out.
 
     Columns: doc_id, n_spans, leaked_words, n_words, coverage, dropped and
     clean_text. Overlapping spans are merged. A document of which more than
     ``max_coverage`` is leaked is dropped: its ``clean_text`` is null. A null
-    text gives zeros and a null ``clean_text``.
+    text gives zeros and a null ``clean_text``. With several shards, the spans
+    of a pass are written with the documents before the next one.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(item_shards(items, shard_words))
-    key = uuid.uuid4().hex
     schema = "doc_id long, n_spans int, leaked_words int, n_words int, coverage double, dropped boolean, clean_text string"
     names = [part.split()[0] for part in schema.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.string()]
 
-    def scan(batches):
-        automata = _automata(shared, min_run, key)
-        numbers = [_Numbers(a.words) for a in automata]
+    def one_pass(known: DataFrame, shard: list[tuple[int, str]]) -> DataFrame:
+        """(doc_id, text, spans) with the shard's spans, as flat pairs of word numbers, joined to the known ones."""
+        shared, key = documents.sparkSession.sparkContext.broadcast(shard), uuid.uuid4().hex
+
+        def scan(batches):
+            automaton = _automaton(shared, min_run, key)
+            number = _Numbers(automaton.words)
+            for batch in batches:
+                made = []
+                for text, flat in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    spans = list(zip(flat[::2], flat[1::2]))
+                    spans += [(at - length + 1, at) for at, length, _ in automaton.runs([number[w] for w in WORD.findall(text or "")])]
+                    made.append([x for span in _merged(spans) for x in span])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int32()))], ["doc_id", "text", "spans"])
+
+        return known.mapInArrow(scan, "doc_id long, text string, spans array<int>")
+
+    def cut(batches):
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text, flat in zip(*(c.to_pylist() for c in batch.columns)):
                 places = [m.span() for m in WORD.finditer(text or "")]
-                words = [text[a:b] for a, b in places]
-                spans = sorted(
-                    (at - length + 1, at)
-                    for automaton, number in zip(automata, numbers)
-                    for at, length, _ in automaton.runs([number[w] for w in words])
-                )
-                merged: list[list[int]] = []
-                for first, last in spans:
-                    if merged and first <= merged[-1][1] + 1:
-                        merged[-1][1] = max(merged[-1][1], last)
-                    else:
-                        merged.append([first, last])
+                merged = list(zip(flat[::2], flat[1::2]))
                 leaked = sum(last - first + 1 for first, last in merged)
-                coverage = leaked / len(words) if words else 0.0
+                coverage = leaked / len(places) if places else 0.0
                 dropped = coverage > max_coverage
                 clean = text
                 if dropped:
@@ -234,8 +248,12 @@ def without_leaks(documents: DataFrame, items: DataFrame, min_run: int = 15, max
                         kept.append(text[start : places[first][0]])
                         start = places[last][1]
                     clean = "".join([*kept, text[start:]])
-                rows.append((doc_id, len(merged), leaked, len(words), coverage, dropped, clean))
+                rows.append((doc_id, len(merged), leaked, len(places), coverage, dropped, clean))
             columns = list(zip(*rows)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return documents.select("doc_id", "text").mapInArrow(scan, schema)
+    spans = None
+    for shard in item_shards(items, shard_words):
+        known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<int>").alias("spans")) if spans is None else checkpointed(spans)
+        spans = one_pass(known, shard)
+    return spans.mapInArrow(cut, schema)

@@ -8,7 +8,7 @@ fractions, symbols, curly quotes and dashes stay.
 Look-alike letters of another alphabet are judged by word. A word's dominant
 script is the one of most of its letters. Only in a word of mixed scripts are
 the letters of the other scripts replaced by their look-alikes of the dominant
-one, and only if the result is a word that the corpus knows, written in one
+one, and only if the result is a word that the corpus knows, in any case, written in one
 script. Words wholly in another alphabet stay as they are.
 
 Null and empty texts give no rows. Rows do not influence one another except
@@ -101,14 +101,14 @@ def mixed_words(text: str) -> dict[str, str]:
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """(word): the corpus's words in one script, from the texts' column ``content`` as they stand."""
+    """(word): the corpus's words in lower case, from the texts' column ``content`` as they stand."""
     find = re.compile(VOCABULARY).findall
 
     def scan(batches):
         yield from counted(find, batches)
 
     words = texts.select("content").mapInArrow(scan, "word string, n long")
-    return words.select("word").distinct()
+    return words.select(F.lower("word").alias("word")).distinct()
 
 
 def judged(texts: DataFrame) -> DataFrame:
@@ -135,9 +135,9 @@ def judged(texts: DataFrame) -> DataFrame:
     found = texts.mapInArrow(scan, "field string, id long, kinds array<string>, words array<string>, looks array<string>")
     each = found.select("field", "id", "kinds", F.explode_outer(F.arrays_zip("words", "looks")).alias("pair"))
     each = each.select("field", "id", "kinds", F.col("pair.words").alias("mixed"), F.col("pair.looks").alias("word"))
-    known = vocabulary(texts).withColumn("known", F.lit(True))
+    known = vocabulary(texts).select(F.col("word").alias("lowered"), F.lit(True).alias("known"))
     swap = F.when(F.col("known") & F.col("mixed").isNotNull(), F.struct("mixed", "word"))
-    swapped = each.join(known, "word", "left").groupBy("field", "id").agg(F.first("kinds").alias("kinds"), F.collect_set(swap).alias("swaps"))
+    swapped = each.withColumn("lowered", F.lower("word")).join(known, "lowered", "left").groupBy("field", "id").agg(F.first("kinds").alias("kinds"), F.collect_set(swap).alias("swaps"))
     kinds = F.when(F.size("swaps") > 0, F.concat("kinds", F.array(F.lit("letter")))).otherwise(F.col("kinds"))
     return swapped.select("field", "id", kinds.alias("kinds"), "swaps").where(F.size("kinds") > 0)
 

@@ -6,9 +6,11 @@ stands at its line ends; everything that needs the corpus is joined in SQL.
 *Misread letters* are found by anagram hashes. The hash of a word is the sum
 of the fifth powers of its code points, so exchanging one string of letters
 for another changes it by a difference that depends on the two strings only.
-Rare words are moved by the differences of all confusions that they could
+Sums are taken modulo a prime below 2^61. Words that are rare enough beside
+the most frequent one are moved by the differences of all confusions that they could
 hold and joined on the hash with the frequent words; a candidate that one
 confusion really turns into the frequent word counts, the most frequent first.
+A word that is cut over a line end is looked up as it is once joined.
 
 *Cut words* end a line with a hyphen or not sign. The corpus decides: a word
 that it knows better with the hyphen breaks at its own.
@@ -19,7 +21,8 @@ was left with room for the next word. What is foreign there for certain, as a
 line with its digits levelled, is foreign elsewhere in the same file; a form of
 line, its names masked, that is certain in several files is foreign elsewhere
 in all. Numbers beside such lines or in the usual forms are page numbers, unless they stand in
-a list of figures.
+a list of figures. A lone number at a text's edge may be the rest of such a list: it is
+none if what follows it follows lists of figures elsewhere.
 
 A word is rare in a window, the texts of one batch, if it occurs at most
 ``RARE`` times in it; the scan keeps the ids of its texts. A misread word may
@@ -101,12 +104,16 @@ class Layout:
     ``heads`` and ``pages`` are the numbers of foreign lines that are certain,
     ``doubtful`` those of lines that other places may show to be headers, and
     ``cuts`` (left, gap, mark, right, line, next line) the words cut at line ends.
+    ``lone`` has the numbers at the text's edge, each with the words after it, and
+    ``followers`` the words after lists of figures.
     """
 
     def __init__(self, text: str):
         self.lines = re.split(r"\r?\n", text)
         self.heads: dict[int, str] = {}
         self.pages: set[int] = set()
+        self.lone: dict[int, str] = {}
+        self.followers: set[str] = set()
         self.doubtful: dict[int, str] = {}
         self.cuts: list[tuple[str, str, str, str, int, int]] = []
         stripped = [line.strip() for line in self.lines]
@@ -191,13 +198,19 @@ class Layout:
                     self.heads[i] = levelled(self.stripped[i])
                 else:
                     self.doubtful[i] = levelled(self.stripped[i])
-        figures = before.endswith(":") or after.startswith("conforme quadro") or len(numbers) > 2
+        figures = before.endswith(":") or len(numbers) > 2
+        follower = " ".join(after.split()[:2]).lower()
+        if figures and numbers and follower:
+            self.followers.add(follower)
         values = [int(self.stripped[i]) for i in numbers if self.stripped[i].isdigit()]
         apart = len(values) == 2 and abs(values[0] - values[1]) != 1
         edge = not before or not after
         if numbers and not figures and not apart and not (edge and not marked and len(numbers) > 1):
-            if interrupts or any(kinds[i] != "blank" for i in found):
-                self.pages.update(i for i in numbers if interrupts or not edge or marked or any(kinds[j] == "short" for j in found) or len(self.stripped[i]) <= 3)
+            for i in numbers:
+                if interrupts or not edge or marked or any(kinds[j] == "short" for j in found):
+                    self.pages.add(i)
+                elif len(self.stripped[i]) <= 3:
+                    self.lone[i] = follower
 
     def _find_cuts(self, kinds: list[str]) -> None:
         for at, line in enumerate(self.stripped):
@@ -247,7 +260,8 @@ def observed(texts: DataFrame) -> DataFrame:
     'word': the word ``key`` occurs ``n`` times in a window, in the texts
     ``ids`` where it is rare there; else ``id`` names the window, of which
     'window' gives the ``ids`` of all texts. 'cut': ``left``, ``mark`` and ``right`` at
-    a line end of ``id``. 'page', 'header' and 'doubtful': such a line, levelled
+    a line end of ``id``. 'lone': a number at an edge of ``id`` before the words ``key``;
+    'follower': words ``key`` after a list of figures. 'page', 'header' and 'doubtful': such a line, levelled
     as ``key`` and masked as ``left``, in ``id`` of ``file``.
     """
 
@@ -265,6 +279,8 @@ def observed(texts: DataFrame) -> DataFrame:
                         rows += [(kind, line, 1, None, row_id, file, shape(layout.stripped[at]), None, None) for at, line in found.items()]
                     if layout.pages:
                         rows.append(("page", None, 1, None, row_id, file, None, None, None))
+                    for kind, found in (("lone", layout.lone.values()), ("follower", layout.followers)):
+                        rows += [(kind, key, 1, None, row_id, file, None, None, None) for key in set(found)]
                 else:
                     words = _WORD.findall(content)
                 counts.update(words)
@@ -284,43 +300,47 @@ def observed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(scan, _ROW)
 
 
+#: The hashes' modulus, a prime; code points count modulo 2^11, so that no fifth power leaves 64 bits.
+MODULUS = (1 << 61) - 1
+
+
 def anagram_hash(word):
-    """The sum of the fifth powers of a word's code points, which must be below 2048."""
+    """The sum of the fifth powers of a word's code points."""
 
     def fifth(c):
-        code = F.ascii(c).cast("long")
+        code = F.pmod(F.ascii(c).cast("long"), F.lit(2048))
         return code * code * code * code * code
 
-    return F.aggregate(F.transform(F.split(word, ""), fifth), F.lit(0).cast("long"), lambda total, x: total + x)
+    return F.aggregate(F.transform(F.split(word, ""), fifth), F.lit(0).cast("long"), lambda total, x: F.pmod(total + x, F.lit(MODULUS)))
 
 
 def _difference(read: str, meant: str) -> int:
     return sum(ord(c) ** 5 for c in meant) - sum(ord(c) ** 5 for c in read)
 
 
-def corrections(words: DataFrame, ratio: int = 15, least: int = 5) -> DataFrame:
-    """(word, meant) of the misread words among (word, n).
+def corrections(words: DataFrame, ratio: int = 15, least: int = 5, others: DataFrame | None = None, certain_ratio: int = 3) -> DataFrame:
+    """(word, meant) of the misread words among (word, n) and ``others``, which are only looked up.
 
-    The frequent word must occur ``ratio`` times as often as the rare one, and
-    ``least`` times. One confusion or two turn the rare word into it.
+    The frequent word must occur ``least`` times, and ``ratio`` times as often
+    as the rare one, or ``certain_ratio`` times where only digits and signs
+    inside the word were misread. One confusion or two turn the rare word into it.
     """
-    spark = words.sparkSession
-    plain = words.where((F.length("word") <= 48) & F.col("word").rlike(r"^[\x{00}-\x{7ff}]+$"))
-    hashed = checkpointed(plain.withColumn("hash", anagram_hash("word")))
-    frequent = hashed.where((F.col("n") >= least) & F.col("word").rlike(r"^\p{L}[\p{L}-]*\p{L}$")).select(F.col("word").alias("meant"), F.col("n").alias("often"), F.col("hash").alias("key"))
-    single = [(read, meant, "", "", _difference(read, meant)) for read, meant in PAIRS]
-    double = [
-        (a[0], a[1], b[0], b[1], _difference(*a) + _difference(*b))
-        for i, a in enumerate(PAIRS)
-        for b in PAIRS[i:]
-    ]
-    # the table of differences is fixed: its size does not depend on the data
-    table = F.broadcast(spark.createDataFrame(single + double, "read_a string, meant_a string, read_b string, meant_b string, move long"))
+    looked_up = words if others is None else words.unionByName(others.join(words.select("word"), "word", "left_anti"))
+    most = words.agg(F.max("n")).first()[0] or 0
+    hashed = checkpointed(looked_up.withColumn("hash", anagram_hash("word")))
+    known = hashed if others is None else hashed.join(words.select("word"), "word", "left_semi")
+    frequent = known.where((F.col("n") >= least) & F.col("word").rlike(r"^\p{L}[\p{L}-]*\p{L}$")).select(F.col("word").alias("meant"), F.col("n").alias("often"), F.col("hash").alias("key"))
     # where a letter stands for another letter, a word of three letters is too short to tell
-    rare = hashed.where((F.length("word") >= 4) | F.col("word").rlike(r"^(?=.*\p{L}.*)(?=.*[0-9@(ä]).{2,3}$"))
-    moved = rare.join(table, F.col("word").contains(F.col("read_a")) & F.col("word").contains(F.col("read_b")))
-    met = moved.select("word", "n", "read_a", "meant_a", "read_b", "meant_b", (F.col("hash") + F.col("move")).alias("key")).join(frequent, "key")
-    met = met.where((F.col("often") >= F.lit(ratio) * F.col("n")) & (F.col("word") != F.col("meant")))
+    rare = hashed.where((F.col("n") * certain_ratio <= most) & ((F.length("word") >= 4) | F.col("word").rlike(r"^(?=.*\p{L}.*)(?=.*[0-9@(ä]).{2,3}$")))
+    pairs = F.array(*(F.struct(F.lit(read).alias("read"), F.lit(meant).alias("meant"), F.lit(_difference(read, meant)).alias("move")) for read, meant in PAIRS))
+    move = lambda a, b: F.struct(a["read"].alias("read_a"), a["meant"].alias("meant_a"), b["read"].alias("read_b"), b["meant"].alias("meant_b"), (a["move"] + b["move"]).alias("move"))
+    nothing = F.struct(F.lit("").alias("read"), F.lit("").alias("meant"), F.lit(0).cast("long").alias("move"))
+    present = rare.withColumn("present", F.filter(pairs, lambda p: F.contains("word", p["read"])))
+    double = F.flatten(F.transform("present", lambda a, i: F.transform(F.slice("present", i + 1, F.size("present")), lambda b: move(a, b))))
+    moved = present.select("word", "n", "hash", F.explode(F.concat(F.transform("present", lambda a: move(a, nothing)), double)).alias("m")).select("word", "n", "hash", "m.*")
+    met = moved.select("word", "n", "read_a", "meant_a", "read_b", "meant_b", F.pmod(F.col("hash") + F.col("move"), F.lit(MODULUS)).alias("key")).join(frequent, "key")
+    certain = F.col("read_a").rlike("^[0-9@(]$") & F.col("read_b").rlike("^[0-9@(]?$")
+    met = met.where((F.col("often") >= F.when(certain, certain_ratio).otherwise(ratio) * F.col("n")) & (F.col("word") != F.col("meant")))
     once = F.expr("exists(sequence(1, length(word)), i -> substr(word, i, length(read_a)) = read_a and concat(left(word, i - 1), meant_a, substr(word, i + length(read_a))) = meant)")
     twice = F.expr(
         "exists(sequence(1, length(word)), i -> substr(word, i, length(read_a)) = read_a and exists(sequence(1, length(word) + 1), j -> "
@@ -341,13 +361,18 @@ class Evidence:
         seen = checkpointed(observed(self.texts))
         words = seen.where("kind = 'word'")
         self.counts = checkpointed(words.groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("n")))
-        self.corrections = checkpointed(corrections(self.counts, ratio))
+        self.cuts = checkpointed(self._cuts(seen.where("kind = 'cut'")))
+        joined = self.cuts.select("id", F.concat("left", "right").alias("word")).distinct()
+        self.corrections = checkpointed(corrections(self.counts, ratio, others=joined.groupBy("word").agg(F.count("*").alias("n"))))
         known = words.select(F.col("key").alias("word"), "ids", "id").join(self.corrections, "word")
         rare = known.where("ids is not null").select("word", "meant", F.explode("ids").alias("id"))
         crowded = checkpointed(known.where("ids is null").select("word", "meant", F.col("id").alias("window")).distinct())
-        self.misread = rare.unionAll(self._reread(crowded, seen.where("kind = 'window'"))).distinct()
-        self.cuts = self._cuts(seen.where("kind = 'cut'"))
-        self.pages = seen.where("kind = 'page'").select("id").distinct()
+        of_cuts = joined.join(self.corrections, "word").select("word", "meant", "id")
+        self.misread = rare.unionAll(self._reread(crowded, seen.where("kind = 'window'"))).unionAll(of_cuts).distinct()
+        followers = seen.where("kind = 'follower'").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        # (id, follower) of the lone numbers that no list of figures explains
+        self.lone = seen.where("kind = 'lone'").select("id", "key").join(followers, "key", "left_anti").distinct()
+        self.pages = seen.where("kind = 'page'").select("id").unionAll(self.lone.select("id")).distinct()
         lines = seen.select("kind", "id", "file", F.col("key").alias("line"), F.col("left").alias("shape"))
         certain, doubtful = (lines.where(F.col("kind") == kind).distinct() for kind in ("header", "doubtful"))
         known = certain.select("file", "line").distinct()
@@ -413,6 +438,7 @@ def repaired(items: DataFrame, key: str, text: str, file: str, ratio: int = 15)
         "fixes": evidence.misread.groupBy("id").agg(F.collect_list(F.struct("word", "meant")).alias("fixes")),
         "joins": evidence.cuts.groupBy("id").agg(F.collect_set(F.struct("left", "mark", "right")).alias("joins")),
         "foreign": evidence.headers.groupBy("id").agg(F.collect_set("line").alias("foreign")),
+        "lone": evidence.lone.groupBy("id").agg(F.collect_set("key").alias("lone")),
     }
     noisy = evidence.texts.join(evidence.cases().select("id").distinct(), "id", "left_semi").select("id", "content")
     for found in of_text.values():
@@ -420,15 +446,16 @@ def repaired(items: DataFrame, key: str, text: str, file: str, ratio: int = 15)
 
     def mend(batches):
         for batch in batches:
-            ids, content, fixes, joins, foreign = (c.to_pylist() for c in batch.columns)
-            made = [mended(*row) for row in zip(content, fixes, joins, foreign)]
+            ids, *texts = (c.to_pylist() for c in batch.columns)
+            made = [mended(*row) for row in zip(*texts)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made, pa.string())], ["id", "clean_text"])
 
     return noisy.select("id", "content", *of_text).mapInArrow(mend, "id long, clean_text string")
 
 
-def mended(content: str, fixes: list | None, joins: list | None, foreign: list | None) -> str:
+def mended(content: str, fixes: list | None, joins: list | None, foreign: list | None, lone: list | None = None) -> str:
     layout = Layout(content)
+    pages = layout.pages | {i for i, follower in layout.lone.items() if follower in set(lone or ())}
     heads = {i for i, line in {**layout.doubtful, **layout.heads}.items() if i in layout.heads or line in set(foreign or ())}
     lines = list(layout.stripped)
     known = {(j["left"], j["mark"], j["right"]) for j in joins or ()}
@@ -440,7 +467,7 @@ def mended(content: str, fixes: list | None, joins: list | None, foreign: list |
         glued.add(at)
     paragraphs, now, glue, blank = [], "", False, False
     for at, line in enumerate(lines):
-        if at in heads or at in layout.pages:
+        if at in heads or at in pages:
             continue
         if not line:
             blank = True
