@@ -112,16 +112,45 @@ def restored(token: str, chain: tuple[str, ...]) -> str | None:
     return token
 
 
+class _Letters(dict):
+    """Each character after a chain that garbles it alone: all but those that read bytes as UTF-8 at last."""
+
+    def __init__(self, chain: tuple[str, ...]):
+        self._chain = chain
+
+    def __missing__(self, code: int) -> str:
+        made = garbled(chr(code), self._chain)
+        # a NUL says that an encoding cannot write the character
+        self[code] = made = "\0" if made is None else made
+        return made
+
+
+def _garblers():
+    """A function for each chain that gives a word after it, or none."""
+
+    def alone(chain):
+        letters = _Letters(chain)
+
+        def garble(word: str) -> str | None:
+            made = word.translate(letters)
+            return None if "\0" in made else made
+
+        return garble
+
+    return [alone(chain) if chain[-1] != "utf-8" else (lambda word, chain=chain: garbled(word, chain)) for chain in chains()]
+
+
 def wide_windows(word: str) -> set[str]:
     """The windows of three characters that ``word`` gives when its bytes are read in pairs, either byte first."""
     data = _write(f" {word} ", "cp1252")
+    if data is None:
+        return set()
     found = set()
-    if data is not None:
-        for start in range(len(data) - 2 * WINDOW + 1):
-            part = data[start : start + 2 * WINDOW]
-            for order in ("utf-16-le", "utf-16-be"):
-                found.add(part.decode(order, "replace"))
-    return {w for w in found if "�" not in w and all(ord(c) > 0x3FF for c in w)}
+    for pairs in ([a | b << 8 for a, b in zip(data, data[1:])], [a << 8 | b for a, b in zip(data, data[1:])]):
+        # no surrogates, which no decoder gives, and no letters of European alphabets
+        letters = ["" if code <= 0x3FF or 0xD800 <= code < 0xE000 else chr(code) for code in pairs]
+        found.update(a + b + c for a, b, c in zip(letters, letters[2:], letters[4:]) if a and b and c)
+    return found
 
 
 def tokens_of(text: str) -> list[str]:
@@ -211,32 +240,46 @@ def forms(words: DataFrame) -> DataFrame:
     all_chains = chains()
 
     def garble(batches):
+        garblers = _garblers()
         for batch in batches:
-            rows = []
-            # a window is told once for all the words of a batch that give it
-            windows: dict[str, str] = {}
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                made: dict[str, list[int]] = {}
-                for number, chain in enumerate(() if word.isascii() else all_chains):
-                    form = garbled(word, chain)
-                    # one character for one is too little evidence: an ellipsis is also a garbled letter
-                    if not form or form == word or len(form) < 2 or form.isascii() or PLAIN.fullmatch(form):
-                        continue
-                    # nor are letters that look alike: they need another repair
-                    if not all(c.isascii() or c in TO_LATIN for c in form):
-                        made.setdefault(form.strip(EDGES) if len(form.strip(EDGES)) > 1 else form, []).append(number)
-                for form, numbers in made.items():
-                    first = all_chains[numbers[0]]
-                    rows.append((form, word, n, numbers[0], len(first) // 2, distinctive(form, first), numbers))
-                windows.update(dict.fromkeys(wide_windows(word), word))
-            rows += [(window, word, 1, -1, 1, True, [-1]) for window, word in windows.items()]
-            columns = list(zip(*rows)) or [()] * 7
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["token", "word", "n", "chain", "steps", "sure", "chains"])
+            # a few words at a time, as each has many forms
+            for start in range(0, batch.num_rows, 1000):
+                yield _forms_batch(batch.slice(start, 1000), garblers, all_chains)
 
     return words.mapInArrow(garble, "token string, word string, n long, chain int, steps int, sure boolean, chains array<int>")
 
 
+#: Forms of letters that only look alike, which need another repair.
+_ALIKE = re.compile(f"[\\x00-\\x7f{''.join(TO_LATIN)}]*")
+
+
+def _forms_batch(batch: pa.RecordBatch, garblers: list, all_chains: list[tuple[str, ...]]) -> pa.RecordBatch:
+    rows = []
+    # a window is told once for all the words that give it
+    windows: dict[str, str] = {}
+    for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        made: dict[str, list[int]] = {}
+        for number, garble in enumerate(() if word.isascii() else garblers):
+            form = garble(word)
+            # one character for one is too little evidence: an ellipsis is also a garbled letter
+            if not form or form == word or len(form) < 2:
+                continue
+            made.setdefault(form, []).append(number)
+        kept: dict[str, list[int]] = {}
+        for form, numbers in made.items():
+            if not PLAIN.fullmatch(form) and not _ALIKE.fullmatch(form):
+                stripped = form.strip(EDGES)
+                kept.setdefault(stripped if len(stripped) > 1 else form, []).extend(numbers)
+        for form, numbers in kept.items():
+            first = all_chains[min(numbers)]
+            rows.append((form, word, n, min(numbers), len(first) // 2, distinctive(form, first), sorted(numbers)))
+        windows.update(dict.fromkeys(wide_windows(word), word))
+    rows += [(window, word, 1, -1, 1, True, [-1]) for window, word in windows.items()]
+    columns = list(zip(*rows)) or [()] * 7
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["token", "word", "n", "chain", "steps", "sure", "chains"])
+
+
 def _usable(items: DataFrame, key: str, text: str) -> DataFrame:
     return items.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("long").alias("id"), F.col(text).alias("content"))
 
