@@ -19,14 +19,17 @@ are looked up.
 
 Nulls and empty texts give no rows. Ids should be unique; rows repeated with
 their id count once. The table of forms grows with the vocabulary, not with
-the texts, and is joined, never broadcast by this module.
+the texts, and is joined, never broadcast; forms that no text can have are left
+out of the join by a bit filter of the texts' tokens, of at most 16 MB.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -231,20 +234,41 @@ def distinctive(form: str, chain: tuple[str, ...]) -> bool:
     return chain[0] == "utf-8" and len(odd) > 1 and not (form.isalpha() and len(odd) == len(form) and any(c > "\u036f" for c in form))
 
 
-def forms(words: DataFrame) -> DataFrame:
-    """(token, word, n, chain, steps, sure, chains): the garbled forms of the clean words (word, n).
+#: The most bits of the filter.
+MOST_BITS = 1 << 27
+
+
+def _filter_of(tokens: DataFrame) -> bytes:
+    """A bit for each remainder of a token's (token) checksum; at most MOST_BITS."""
+    size = min(MOST_BITS, 1 << (16 * tokens.count() + 64).bit_length())
+    place = F.crc32(F.col("token").cast("binary")).cast("long") % size
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    found = tokens.select(F.floor(place / 64).cast("int").alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return bits.tobytes()
+
+
+def _may_hold(bits: bytes, token: str) -> bool:
+    place = zlib.crc32(token.encode("utf-8", "surrogatepass")) & 8 * len(bits) - 1
+    return bool(bits[place >> 3] >> (place & 7) & 1)
+
+
+def forms(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, word, n, chain, steps, sure, chains): the garbled forms of the clean words (word, n) that are among the tokens (token), and few others.
 
     ``chain`` is the first of the ``chains`` that give the form; ``sure`` says that the form is distinctive.
     Of words in ASCII letters only the windows of pairs of bytes are forms.
     """
     all_chains = chains()
+    shared = words.sparkSession.sparkContext.broadcast(_filter_of(tokens))
 
     def garble(batches):
-        garblers = _garblers()
+        garblers, bits = _garblers(), shared.value
         for batch in batches:
             # a few words at a time, as each has many forms
             for start in range(0, batch.num_rows, 1000):
-                yield _forms_batch(batch.slice(start, 1000), garblers, all_chains)
+                yield _forms_batch(batch.slice(start, 1000), garblers, all_chains, bits)
 
     return words.mapInArrow(garble, "token string, word string, n long, chain int, steps int, sure boolean, chains array<int>")
 
@@ -253,7 +277,7 @@ def forms(words: DataFrame) -> DataFrame:
 _ALIKE = re.compile(f"[\\x00-\\x7f{''.join(TO_LATIN)}]*")
 
 
-def _forms_batch(batch: pa.RecordBatch, garblers: list, all_chains: list[tuple[str, ...]]) -> pa.RecordBatch:
+def _forms_batch(batch: pa.RecordBatch, garblers: list, all_chains: list[tuple[str, ...]], bits: bytes) -> pa.RecordBatch:
     rows = []
     # a window is told once for all the words that give it
     windows: dict[str, str] = {}
@@ -267,13 +291,14 @@ def _forms_batch(batch: pa.RecordBatch, garblers: list, all_chains: list[tuple[s
             made.setdefault(form, []).append(number)
         kept: dict[str, list[int]] = {}
         for form, numbers in made.items():
-            if not PLAIN.fullmatch(form) and not _ALIKE.fullmatch(form):
-                stripped = form.strip(EDGES)
-                kept.setdefault(stripped if len(stripped) > 1 else form, []).extend(numbers)
+            stripped = form.strip(EDGES)
+            token = stripped if len(stripped) > 1 else form
+            if _may_hold(bits, token) and not PLAIN.fullmatch(form) and not _ALIKE.fullmatch(form):
+                kept.setdefault(token, []).extend(numbers)
         for form, numbers in kept.items():
             first = all_chains[min(numbers)]
             rows.append((form, word, n, min(numbers), len(first) // 2, distinctive(form, first), sorted(numbers)))
-        windows.update(dict.fromkeys(wide_windows(word), word))
+        windows.update((window, word) for window in wide_windows(word) if _may_hold(bits, window))
     rows += [(window, word, 1, -1, 1, True, [-1]) for window, word in windows.items()]
     columns = list(zip(*rows)) or [()] * 7
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32())]
@@ -296,9 +321,9 @@ def matches(items: DataFrame, key: str, text: str, least: int = 1, ratio: int =
     seen = checkpointed(sightings(_usable(items, key, text)))
     words = seen.where("id is null").groupBy("token").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("n") == 0))
     odd = seen.where("id is not null").select("token", "id").distinct()
-    known = odd.groupBy("token").agg(F.count("*").alias("texts"))
+    known = checkpointed(odd.groupBy("token").agg(F.count("*").alias("texts")))
     possible = checkpointed(
-        forms(words.select(F.col("token").alias("word"), "n"))
+        forms(words.select(F.col("token").alias("word"), "n"), known)
         .join(known, "token")
         .withColumn("sure", F.col("sure") | (F.col("n") >= F.lit(ratio) * F.col("texts")))
     )
