@@ -323,7 +323,7 @@ def corrections(words: DataFrame, ratio: int = 15, least: int = 5, others: DataF
 
     The frequent word must occur ``least`` times, and ``ratio`` times as often
     as the rare one, or ``certain_ratio`` times where only digits and signs
-    inside the word were misread. One confusion or two turn the rare word into it.
+    inside a word of three letters were misread. One confusion or two turn the rare word into it.
     """
     looked_up = words if others is None else words.unionByName(others.join(words.select("word"), "word", "left_anti"))
     most = words.agg(F.max("n")).first()[0] or 0
@@ -339,7 +339,7 @@ def corrections(words: DataFrame, ratio: int = 15, least: int = 5, others: DataF
     double = F.flatten(F.transform("present", lambda a, i: F.transform(F.slice("present", i + 1, F.size("present")), lambda b: move(a, b))))
     moved = present.select("word", "n", "hash", F.explode(F.concat(F.transform("present", lambda a: move(a, nothing)), double)).alias("m")).select("word", "n", "hash", "m.*")
     met = moved.select("word", "n", "read_a", "meant_a", "read_b", "meant_b", F.pmod(F.col("hash") + F.col("move"), F.lit(MODULUS)).alias("key")).join(frequent, "key")
-    certain = F.col("read_a").rlike("^[0-9@(]$") & F.col("read_b").rlike("^[0-9@(]?$")
+    certain = F.col("read_a").rlike("^[0-9@(]$") & F.col("read_b").rlike("^[0-9@(]?$") & F.col("word").rlike(r"(\p{L}.*){3}")
     met = met.where((F.col("often") >= F.when(certain, certain_ratio).otherwise(ratio) * F.col("n")) & (F.col("word") != F.col("meant")))
     once = F.expr("exists(sequence(1, length(word)), i -> substr(word, i, length(read_a)) = read_a and concat(left(word, i - 1), meant_a, substr(word, i + length(read_a))) = meant)")
     twice = F.expr(
