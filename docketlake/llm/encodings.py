@@ -143,16 +143,19 @@ def _garblers():
     return [alone(chain) if chain[-1] != "utf-8" else (lambda word, chain=chain: garbled(word, chain)) for chain in chains()]
 
 
-def wide_windows(word: str) -> set[str]:
-    """The windows of three characters that ``word`` gives when its bytes are read in pairs, either byte first."""
-    data = _write(f" {word} ", "cp1252")
+def wide_windows(word: str) -> dict[str, str]:
+    """The windows of three characters that ``word`` gives when its bytes are read in pairs, either byte first, each with its piece of the word."""
+    padded = f" {word} "
+    data = _write(padded, "cp1252")
     if data is None:
-        return set()
-    found = set()
+        return {}
+    found = {}
     for pairs in ([a | b << 8 for a, b in zip(data, data[1:])], [a << 8 | b for a, b in zip(data, data[1:])]):
         # no surrogates, which no decoder gives, and no letters of European alphabets
         letters = ["" if code <= 0x3FF or 0xD800 <= code < 0xE000 else chr(code) for code in pairs]
-        found.update(a + b + c for a, b, c in zip(letters, letters[2:], letters[4:]) if a and b and c)
+        for at, (a, b, c) in enumerate(zip(letters, letters[2:], letters[4:])):
+            if a and b and c:
+                found[a + b + c] = padded[at : at + 2 * WINDOW].strip()
     return found
 
 
@@ -279,7 +282,7 @@ _ALIKE = re.compile(f"[\\x00-\\x7f{''.join(TO_LATIN)}]*")
 
 def _forms_batch(batch: pa.RecordBatch, garblers: list, all_chains: list[tuple[str, ...]], bits: bytes) -> pa.RecordBatch:
     rows = []
-    # a window is told once for all the words that give it
+    # a window is told once for all the words that give it, with a piece of one of them
     windows: dict[str, str] = {}
     for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
         made: dict[str, list[int]] = {}
@@ -298,8 +301,8 @@ def _forms_batch(batch: pa.RecordBatch, garblers: list, all_chains: list[tuple[s
         for form, numbers in kept.items():
             first = all_chains[min(numbers)]
             rows.append((form, word, n, min(numbers), len(first) // 2, distinctive(form, first), sorted(numbers)))
-        windows.update((window, word) for window in wide_windows(word) if _may_hold(bits, window))
-    rows += [(window, word, 1, -1, 1, True, [-1]) for window, word in windows.items()]
+        windows.update((window, piece) for window, piece in wide_windows(word).items() if _may_hold(bits, window))
+    rows += [(window, piece, 1, -1, 1, True, [-1]) for window, piece in windows.items()]
     columns = list(zip(*rows)) or [()] * 7
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32())]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["token", "word", "n", "chain", "steps", "sure", "chains"])
