@@ -283,8 +283,8 @@ def search_cells(cells: Cells, queries: DataFrame, k: int, probes: int, digits:
 
 
 def bytes_per_vector(kind: str, dim: int, m: int = 8, bits: int = 8) -> int:
-    """How many bytes an index of the kind keeps of each vector, ids aside."""
-    sizes = {"flat": 4 * dim, "ivf_flat": 4 * dim, "ivf_sq8": dim, "ivf_pq": -(-m * bits // 8)}
+    """How many bytes an index of the kind keeps of each vector: a flat one the vector only, the others an id of 8 bytes too."""
+    sizes = {"flat": 4 * dim, "ivf_flat": 4 * dim + 8, "ivf_sq8": dim + 8, "ivf_pq": -(-m * bits // 8) + 8}
     if kind not in sizes:
         raise ValueError(f"unknown kind of index: {kind}")
     return sizes[kind]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from docketlake.functions import text as T
 
@@ -59,6 +59,29 @@ def heuristic(results: DataFrame, value: str, keywords: list[str], seconds: floa
     return stats.join(share, "query_id").select("query_id", F.round(score, 6).alias("heuristic_score"))
 
 
+def result_summary(compared: DataFrame) -> DataFrame:
+    """(query_id, strategy, n, avg_distance, std_distance, avg_rrf) of results with strategy, distance and rrf_score."""
+    return compared.groupBy("query_id", "strategy").agg(
+        F.count("*").alias("n"),
+        F.round(F.avg("distance"), 6).alias("avg_distance"),
+        F.round(F.stddev_pop("distance"), 6).alias("std_distance"),
+        F.round(F.avg("rrf_score"), 6).alias("avg_rrf"),
+    )
+
+
+def stratified(chunks: DataFrame, per_file: int, least_chars: int = 600, file: str = "file", key: str = "doc_index", text: str = "chunk_text") -> DataFrame:
+    """(file, key, text) of ``per_file`` chunks of every file, of those with at least ``least_chars``, in a fixed random order."""
+    order = Window.partitionBy(file).orderBy(F.col(key) * 7919 % 104729, key)
+    usable = chunks.where(F.length(text) >= least_chars).select(file, key, text)
+    return usable.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_file).drop("_r")
+
+
+def passage_hits(results: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(query_id, rank, contained): whether a result's text holds the query's passage, white space aside; for queries with one."""
+    passages = labelled.select("query_id", T.squeeze("relevant_text").alias("passage")).where("passage <> ''")
+    return passages.join(results.select("query_id", "rank", "text"), "query_id").select("query_id", "rank", F.coalesce(F.contains(T.squeeze("text"), F.col("passage")), F.lit(False)).alias("contained"))
+
+
 def strategy_summary(scores: DataFrame) -> DataFrame:
     """(strategy, mean_score, std_score, n) of (strategy, heuristic_score)."""
     return scores.groupBy("strategy").agg(F.round(F.avg("heuristic_score"), 6).alias("mean_score"), F.round(F.stddev_pop("heuristic_score"), 6).alias("std_score"), F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docketlake.functions import text as T
 
@@ -55,38 +55,69 @@ def matched_section(line: Column | str, schema: list[Section]) -> Column:
     return matched
 
 
+def _opener(lines: Column, schema: list[Section]) -> Column:
+    """(at, name) of the lines, counted from 1, that open a section; one pattern of all sections lets most lines pass at once."""
+    every = pattern([p for section in schema for p in section.patterns])
+    opens = F.transform(lines, lambda line, i: F.when(T.strip(F.lower(line)).rlike(every), F.struct((i + 1).alias("at"), matched_section(line, schema).alias("name"))))
+    return F.filter(opens, lambda x: x["name"].isNotNull())
+
+
+def _parts(lines: Column, openers: Column) -> Column:
+    """The sections (name, text) of a text's lines, in the order in which they open first."""
+
+    def of_starts(starts: Column) -> Column:
+        def segment(start: Column, i: Column) -> Column:
+            after = F.coalesce(F.get(starts, i + 1)["at"], F.size(lines) + 1)
+            return F.struct(start["name"].alias("name"), F.array_join(F.slice(lines, start["at"], after - start["at"]), "\n").alias("text"))
+
+        return T.let(F.transform(starts, segment), lambda segments: F.transform(
+            F.array_distinct(F.transform(segments, lambda s: s["name"])),
+            lambda name: F.struct(name.alias("name"), T.strip(F.array_join(F.transform(F.filter(segments, lambda s: s["name"] == name), lambda s: s["text"]), "\n")).alias("text")),
+        ))
+
+    first = F.struct(F.lit(1).alias("at"), F.lit(FIRST_SECTION).alias("name"))
+    headed = F.when(F.coalesce(F.get(openers, F.lit(0))["at"], F.lit(0)) == 1, openers).otherwise(F.concat(F.array(first), openers))
+    return T.let(headed, of_starts)
+
+
 def split(documents: DataFrame, keys: list[str], text: str, schema: list[Section]) -> DataFrame:
-    """``keys`` with section_name and section_text, one row for each section that is not blank.
+    """``keys`` with section_no, section_name and section_text, one row for each section that is not blank.
 
     A line that matches opens its section, to which it and the lines after it
     belong; a section that opens again goes on. The whole text comes as the
-    section 'completo'. Lines of a document are ordered within it alone.
+    section 'completo', with the number -1. All happens within a document's row.
     """
-    lines = documents.where(F.col(text).isNotNull()).select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("_at", "_line"))
-    opened = lines.withColumn("_opens", matched_section("_line", schema))
-    so_far = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    named = opened.withColumn("section_name", F.coalesce(F.last("_opens", ignorenulls=True).over(so_far), F.lit(FIRST_SECTION)))
-    grouped = named.groupBy(*keys, "section_name").agg(F.array_sort(F.collect_list(F.struct("_at", "_line"))).alias("_lines"))
-    joined = T.strip(F.array_join(F.transform("_lines", lambda x: x["_line"]), "\n"))
-    parts = grouped.select(*keys, "section_name", joined.alias("section_text"))
-    whole = documents.where(F.col(text).isNotNull()).select(*keys, F.lit(WHOLE).alias("section_name"), T.strip(text).alias("section_text"))
+    usable = documents.where(F.col(text).isNotNull())
+    made = T.let(F.split(F.col(text), "\n"), lambda lines: T.let(_opener(lines, schema), lambda openers: _parts(lines, openers)))
+    parts = usable.select(*keys, F.posexplode(made).alias("section_no", "_part")).select(*keys, "section_no", F.col("_part.name").alias("section_name"), F.col("_part.text").alias("section_text"))
+    whole = usable.select(*keys, F.lit(-1).alias("section_no"), F.lit(WHOLE).alias("section_name"), T.strip(text).alias("section_text"))
     return parts.unionByName(whole).where("section_text <> ''")
 
 
-def split_by_type(documents: DataFrame, keys: list[str], text: str, document_type: str, schemas: dict[str, list[Section]]) -> DataFrame:
-    """``split`` with each document type's own schema, in one plan; types without one have an empty schema."""
-    lines = documents.where(F.col(text).isNotNull()).select(*keys, F.col(document_type).alias("_type"), F.posexplode(F.split(F.col(text), "\n")).alias("_at", "_line"))
-    opens = F.lit(None).cast("string")
+def _typed_openers(lines: Column, document_type: str, schemas: dict[str, list[Section]]) -> Column:
+    none = F.array().cast("array<struct<at:int,name:string>>")
+    found = none
     for kind, schema in schemas.items():
-        opens = F.when(F.col("_type") == kind, matched_section("_line", schema)).otherwise(opens)
-    so_far = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    named = lines.withColumn("_opens", opens).withColumn("section_name", F.coalesce(F.last("_opens", ignorenulls=True).over(so_far), F.lit(FIRST_SECTION)))
-    grouped = named.groupBy(*keys, "section_name").agg(F.array_sort(F.collect_list(F.struct("_at", "_line"))).alias("_lines"))
-    joined = T.strip(F.array_join(F.transform("_lines", lambda x: x["_line"]), "\n"))
-    return grouped.select(*keys, "section_name", joined.alias("section_text")).where("section_text <> ''")
+        found = F.when(F.col(document_type) == kind, _opener(lines, schema)).otherwise(found)
+    return found
+
+
+def split_by_type(documents: DataFrame, keys: list[str], text: str, document_type: str, schemas: dict[str, list[Section]]) -> DataFrame:
+    """(keys, section_name, section_text) by each document type's own schema, in one plan; types without one have an empty schema."""
+    usable = documents.where(F.col(text).isNotNull())
+    made = T.let(F.split(F.col(text), "\n"), lambda lines: T.let(_typed_openers(lines, document_type, schemas), lambda openers: _parts(lines, openers)))
+    parts = usable.select(*keys, F.explode(made).alias("_part"))
+    return parts.select(*keys, F.col("_part.name").alias("section_name"), F.col("_part.text").alias("section_text")).where("section_text <> ''")
+
+
+def pattern_matches(documents: DataFrame, keys: list[str], text: str, document_type: str, schemas: dict[str, list[Section]]) -> DataFrame:
+    """(keys, line_no, section_name) of the lines, counted from 0, that open a section."""
+    usable = documents.where(F.col(text).isNotNull())
+    openers = T.let(F.split(F.col(text), "\n"), lambda lines: _typed_openers(lines, document_type, schemas))
+    return usable.select(*keys, F.explode(openers).alias("_o")).select(*keys, (F.col("_o.at") - 1).alias("line_no"), F.col("_o.name").alias("section_name"))
 
 
-#: What a calibration asks a chat provider for.
+#: Fixed value: the form of the answer that a calibration asks a chat provider for.
 CALIBRATION_SCHEMA = {
     "type": "object",
     "properties": {

@@ -8,13 +8,16 @@ some letters, which both engines compute.
 from __future__ import annotations
 
 import functools
+import json
 import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docketlake.functions import text as T, vectors as V
-from docketlake.operators import dense, evaluate, fusion, lexical, rerank, sections, units
+from docketlake.operators import dense, evaluate, fusion, lexical, rerank, sections, synthesis, units
+from docketlake.plans import measure
+from docketlake.plans.index import DocumentIndex
 from docketlake.session import checkpointed, table
 from docketlake.sources import documents as D, pages as P
 
@@ -146,6 +149,22 @@ def letter_counts(text: str) -> Column:
     return F.array(*(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS)).cast("array<float>")
 
 
+class LetterCounts:
+    """``letter_counts`` as an embedding provider."""
+
+    dimension = DIM
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(text.count(c)) for c in LETTERS] for text in texts]
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DocumentIndex:
+    """An index of the chunks, by their letter counts."""
+    index = DocumentIndex(spark, LetterCounts())
+    index.adopt("all", "chunks", _with_vector(_chunks(spark, sf_dir), "text", "embedding").withColumnRenamed("doc", "doc_index"))
+    return index
+
+
 def _with_vector(rows: DataFrame, text: str, as_: str) -> DataFrame:
     return rows.withColumn("_x", T.embedding_input(text)).where("_x <> ''").withColumn(as_, letter_counts("_x")).drop("_x")
 
@@ -343,9 +362,28 @@ def looks_copied_anywhere(spark, sf_dir):
 )
 def stratified_sample(spark, sf_dir):
     """Two long chunks of every file, in a fixed random order."""
-    order = Window.partitionBy("file").orderBy(F.col("doc_index") * 7919 % 104729, "doc_index")
-    long_enough = table(spark, sf_dir, "chunks_metadata").where(F.length("chunk_text") >= 600)
-    return long_enough.select("file", "doc_index", F.row_number().over(order).alias("r")).where("r <= 2").select("file", "doc_index")
+    return evaluate.stratified(table(spark, sf_dir, "chunks_metadata"), 2).select("file", "doc_index")
+
+
+class _EverySecondWord:
+    """A chat provider whose question has every second of an excerpt's first words."""
+
+    def complete_structured(self, prompt: str, json_schema: dict) -> dict:
+        words = prompt.split("Excerpt:\n", 1)[1].split()
+        return {"question": " ".join(["Qual", *words[1:21:2]])}
+
+
+@query(
+    "labelled_generation",
+    f"""WITH s AS (SELECT * FROM (SELECT file, doc_index, chunk_text, row_number() OVER (PARTITION BY file ORDER BY doc_index * 7919 % 104729, doc_index) AS r FROM chunks_metadata WHERE length(chunk_text) >= 600) WHERE r <= 3),
+    w AS (SELECT doc_index, file, {_words('substr(chunk_text, 1, 3000)')} AS f, {_words('chunk_text')} AS w FROM s),
+    q AS (SELECT doc_index AS query_id, 'Qual ' || array_to_string(list_transform(range(2, least(len(f), 20) + 1, 2), lambda i: f[i]), ' ') AS query, [file] AS relevant_files,
+                 array_to_string(list_slice(w, greatest(0, len(w) // 2 - 15) + 1, greatest(0, len(w) // 2 - 15) + 30), ' ') AS relevant_text FROM w)
+    SELECT * FROM q WHERE len({_words('query')}) BETWEEN 4 AND 40""",
+)
+def labelled_generation(spark, sf_dir):
+    """Labelled queries made from three chunks of every file."""
+    return measure.labelled_from(table(spark, sf_dir, "chunks_metadata"), _EverySecondWord(), 3)
 
 
 @query(
@@ -403,13 +441,19 @@ def hybrid_pool_cut(spark, sf_dir):
 
 @query(
     "append_documents",
-    f"WITH {BM25_SQL} SELECT term, df FROM dfs",
+    f"""WITH w AS (SELECT unnest({_windows("text", 500)}) AS text FROM ({CHUNKS_SQL})),
+    toks AS (SELECT {_tokens("text")} AS t FROM w WHERE text <> '')
+    SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM toks) GROUP BY term""",
 )
 def append_documents(spark, sf_dir):
-    """Document frequencies after an append equal those of one build."""
-    rows = _chunks(spark, sf_dir)
-    first, later = (lexical.build(rows.where(f"doc % 2 = {part}"), "doc", "text").texts for part in (0, 1))
-    return lexical.frequencies(first.unionByName(later))
+    """How many entries have a term in an index of every second text to which the others were appended: as in one of all."""
+    texts = _chunks(spark, sf_dir).select(F.col("doc").cast("string").alias("file"), F.col("text").alias("content"), (F.pmod("doc", F.lit(2)) == 0).alias("even"))
+    first, later = (texts.where(part).select("file", "content") for part in ("even", "not even"))
+    index = DocumentIndex(spark, LetterCounts())
+    if not index.build_from("all", first):
+        return spark.createDataFrame([], "term string, df long")
+    index.append("all", later)
+    return index.term_frequencies("all", "chunks")
 
 
 # --- units and sections ------------------------------------------------------------------------------------------
@@ -425,16 +469,29 @@ SECTIONS_SQL = f"""
     sect AS (SELECT doc_id, section_name, {_strip("string_agg(line, chr(10) ORDER BY i)")} AS section_text FROM named GROUP BY doc_id, section_name)"""
 
 
-def _sections(spark, sf_dir) -> DataFrame:
-    # the schema is a fixed, small table
+def _raw_schema(spark, sf_dir) -> list:
+    """The rows of the schema, checked to be few, as it is a fixed, small table."""
     rows = table(spark, sf_dir, "section_schema").orderBy("document_type", "position").limit(MOST_SECTIONS + 1).collect()
     if len(rows) > MOST_SECTIONS:
         raise ValueError(f"section_schema has more than {MOST_SECTIONS} rows")
-    schemas: dict[str, list] = {}
-    for r in rows:
-        schemas.setdefault(r.document_type, []).append((r.section_name, r.patterns))
-    parsed = {kind: sections.parse_schema(raw) for kind, raw in schemas.items()}
-    return sections.split_by_type(table(spark, sf_dir, "documents"), ["doc_id"], "text", "document_type", parsed)
+    return rows
+
+
+def _schemas(spark, sf_dir) -> dict[str, list[sections.Section]]:
+    raw: dict[str, list] = {}
+    for r in _raw_schema(spark, sf_dir):
+        raw.setdefault(r.document_type, []).append((r.section_name, r.patterns))
+    return {kind: sections.parse_schema(rows) for kind, rows in raw.items()}
+
+
+def _sections(spark, sf_dir) -> DataFrame:
+    return sections.split_by_type(table(spark, sf_dir, "documents"), ["doc_id"], "text", "document_type", _schemas(spark, sf_dir))
+
+
+@query("section_pattern_match", f"{SECTIONS_SQL} SELECT doc_id, i - 1 AS line_no, opens AS section_name FROM m")
+def section_pattern_match(spark, sf_dir):
+    """The lines of the documents that open a section."""
+    return sections.pattern_matches(table(spark, sf_dir, "documents"), ["doc_id"], "text", "document_type", _schemas(spark, sf_dir))
 
 
 @query("section_split", f"{SECTIONS_SQL} SELECT doc_id, section_name, section_text FROM sect WHERE section_text <> ''")
@@ -448,15 +505,37 @@ def section_lengths(spark, sf_dir):
     return _sections(spark, sf_dir).groupBy("section_name").agg(F.count("*").alias("n"), F.sum(F.length("section_text")).alias("chars"))
 
 
-@query(
-    "section_schema_parse",
-    "SELECT document_type, position, lower(trim(replace(section_name, ' ', '_'))) AS section_name, len(patterns) AS n_patterns FROM section_schema",
-)
+PARSED_SQL = """SELECT document_type, row_number() OVER (PARTITION BY document_type ORDER BY position)::INT AS place, lower(trim(replace(section_name, ' ', '_'))) AS section_name, list_transform(patterns, lambda p: lower(trim(p))) AS patterns FROM section_schema"""
+
+
+@query("section_schema_parse", f"SELECT document_type, place, section_name, len(patterns)::INT AS n_patterns FROM ({PARSED_SQL})")
 def section_schema_parse(spark, sf_dir):
-    tidy = F.replace(F.lower(F.trim("section_name")), F.lit(" "), F.lit("_"))
-    patterns = F.filter(F.transform("patterns", lambda p: F.lower(T.strip(p))), lambda p: p != "")
-    parsed = table(spark, sf_dir, "section_schema").select("document_type", "position", tidy.alias("section_name"), F.size(patterns).alias("n_patterns"))
-    return parsed.where("section_name <> '' and n_patterns > 0")
+    """The sections of every type in one form."""
+    rows = [(kind, place, s.name, len(s.patterns)) for kind, schema in _schemas(spark, sf_dir).items() for place, s in enumerate(schema, 1)]
+    return spark.createDataFrame(rows, "document_type string, place int, section_name string, n_patterns int")
+
+
+class _Answering:
+    """A chat provider that answers a calibration with what it was given."""
+
+    def __init__(self, answer: str):
+        self.answer = answer
+
+    def complete_structured(self, prompt: str, json_schema: dict) -> dict:
+        return json.loads(self.answer)
+
+
+@query("schema_json_parse", f"SELECT document_type, place, section_name, patterns FROM ({PARSED_SQL})")
+def schema_json_parse(spark, sf_dir):
+    """The sections of a chat provider's answers in JSON, here made of the table."""
+    answers: dict[str, list] = {}
+    for r in _raw_schema(spark, sf_dir):
+        answers.setdefault(r.document_type, []).append({"name": r.section_name, "patterns": r.patterns})
+    rows = []
+    for kind, found in answers.items():
+        schema = sections.calibrate([], kind, _Answering(json.dumps({"sections": found})))
+        rows += [(kind, place, s.name, list(s.patterns)) for place, s in enumerate(schema, 1)]
+    return spark.createDataFrame(rows, "document_type string, place int, section_name string, patterns array<string>")
 
 
 @query("fake_embed_chunks", f"WITH {DENSE_SQL} SELECT doc, v AS embedding FROM ev")
@@ -543,7 +622,31 @@ def passage_counts(spark, sf_dir):
     return rerank.passages(_candidates(spark, sf_dir)).groupBy("query_id", "doc").agg(F.count("*").alias("n_passages"))
 
 
-@query("rerank_maxp")
+SELECT_SQL = f"""{PASSAGES_SQL},
+    pt AS (SELECT *, len(t) AS len, avg(len(t)) OVER (PARTITION BY query_id, doc) AS al FROM (SELECT query_id, query, doc, passage_no, n, {_tokens('passage')} AS t FROM ps WHERE n > 4)),
+    px AS (SELECT query_id, doc, passage_no, n, al, len, term, count(*) AS tf FROM (SELECT query_id, doc, passage_no, n, al, len, unnest(t) AS term FROM pt) GROUP BY ALL),
+    pd AS (SELECT query_id, doc, term, any_value(n) AS n, count(*) AS df FROM px GROUP BY query_id, doc, term),
+    pr AS (SELECT *, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM pd),
+    pi AS (SELECT query_id, doc, term, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY query_id, doc) ELSE raw END AS idf FROM pr),
+    pa AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_tokens('query')}) AS term FROM (SELECT DISTINCT query_id, query FROM cand)) GROUP BY ALL),
+    pc AS (SELECT query_id, doc, passage_no, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al))), 6) AS score FROM px JOIN pi USING (query_id, doc, term) JOIN pa USING (query_id, term) GROUP BY ALL),
+    pl AS (SELECT query_id, doc, passage_no, row_number() OVER (PARTITION BY query_id, doc ORDER BY coalesce(score, 0) DESC, passage_no) AS place FROM pt LEFT JOIN pc USING (query_id, doc, passage_no)),
+    sel AS (SELECT query_id, query, doc, rank, passage_no, passage FROM ps WHERE n <= 4 UNION ALL SELECT query_id, query, doc, rank, passage_no, passage FROM ps JOIN pl USING (query_id, doc, passage_no) WHERE n > 4 AND place <= 4)"""
+
+
+@query("passage_select", f"{SELECT_SQL} SELECT query_id, doc, passage_no, passage FROM sel")
+def passage_select(spark, sf_dir):
+    """The passages of each candidate that a reranker reads."""
+    return rerank.passages(_candidates(spark, sf_dir))
+
+
+@query(
+    "rerank_maxp",
+    f"""{SELECT_SQL},
+    ov AS (SELECT query_id, doc, rank AS input_rank, max(len(list_intersect(q, p)) / greatest(1, len(q))) AS rerank_score
+           FROM (SELECT query_id, doc, rank, list_distinct({_words('lower(query)')}) AS q, list_distinct({_words('lower(passage)')}) AS p FROM sel) GROUP BY ALL)
+    SELECT query_id, doc, round(rerank_score, 6) AS rerank_score, input_rank, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, input_rank) AS rank FROM ov""",
+)
 def rerank_maxp(spark, sf_dir):
     """The candidates by their best passage, scored by word overlap."""
     return rerank.rerank(_candidates(spark, sf_dir), rerank.OverlapReranker(), 5).withColumn("rerank_score", F.round("rerank_score", 6))
@@ -577,6 +680,27 @@ def retrieval_metrics(spark, sf_dir):
     return evaluate.metrics(_results(spark, sf_dir), table(spark, sf_dir, "labeled_queries"))
 
 
+@query("passage_contains", f"{EVAL_SQL} SELECT query_id, rank, coalesce(contains({_squeeze('text')}, passage), false) AS contained FROM lab JOIN res USING (query_id) WHERE passage <> ''")
+def passage_contains(spark, sf_dir):
+    """Which results hold the passage that answers the query."""
+    return evaluate.passage_hits(_results(spark, sf_dir), table(spark, sf_dir, "labeled_queries"))
+
+
+@query(
+    "dense_hybrid_metrics",
+    f"""{EVAL_SQL}, two AS (SELECT 'hybrid' AS mode, query_id, rank, file, text FROM res
+        UNION ALL SELECT 'dense', query_id, rank, file, text FROM dn JOIN ({CHUNKS_SQL}) USING (doc) WHERE rank <= 5),
+    modes AS (SELECT DISTINCT mode FROM two),
+    each AS (SELECT mode, query_id, min(CASE WHEN list_contains(relevant_files, file) THEN rank END) AS first_rank, max(CASE WHEN passage <> '' THEN coalesce(contains({_squeeze('text')}, passage), false)::INT END) AS passage_hit
+             FROM (SELECT * FROM lab, modes) LEFT JOIN two USING (mode, query_id) GROUP BY mode, query_id)
+    SELECT mode, round(avg((first_rank IS NOT NULL)::INT), 6) AS recall_at_k, round(avg(coalesce(1.0 / first_rank, 0)), 6) AS mrr, round(avg(passage_hit), 6) AS passage_recall_at_k FROM each GROUP BY mode""",
+)
+def dense_hybrid_metrics(spark, sf_dir):
+    """The quality of dense and of fused search, measured through the index."""
+    labelled = table(spark, sf_dir, "labeled_queries").select("query_id", F.coalesce("query", F.lit("")).alias("query"), "relevant_files", "relevant_text")
+    return measure.dense_and_hybrid(_index(spark, sf_dir), labelled, "all", ["chunks"]).select("mode", "recall_at_k", "mrr", "passage_recall_at_k")
+
+
 KEYWORDS = ["prazo", "laudo", "valor"]
 SHARE_SQL = "(" + " + ".join(f"contains(lower(text), '{k}')::INT" for k in KEYWORDS) + f") / {len(KEYWORDS)}.0"
 
@@ -604,22 +728,48 @@ def heuristic_no_time(spark, sf_dir):
 
 @query(
     "compare_strategies",
-    """WITH v AS (SELECT vec_id, strategy, file, embeddings::DOUBLE[] AS e FROM indices WHERE embeddings IS NOT NULL AND len(embeddings) = 64),
-    p AS (SELECT q.vec_id AS query_id, b.strategy, b.vec_id AS doc, b.file, round(list_distance(q.e, b.e) ^ 2, 6) AS d FROM v q, v b WHERE q.vec_id % 100 = 0),
-    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, strategy ORDER BY d, doc) AS r FROM p) WHERE r <= 3)
-    SELECT query_id, strategy, round(avg(d), 6) AS avg_distance, count(DISTINCT file) AS n_files FROM k GROUP BY ALL""",
+    f"""WITH {DENSE_SQL.replace("<= 50", "<= 5")},
+    fv AS (SELECT doc_id AS doc, {_vector("substr(x, 1, 8000)")} AS v FROM (SELECT doc_id, {_strip("replace(text, chr(0), '')")} AS x FROM documents WHERE text IS NOT NULL) WHERE x <> ''),
+    fu AS (SELECT * FROM (SELECT query_id, doc, d, row_number() OVER (PARTITION BY query_id ORDER BY d, doc) AS rank
+           FROM (SELECT query_id, doc, round(list_sum(list_transform(list_zip(qv.v, fv.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS d FROM qv, fv)) WHERE rank <= 5),
+    one AS (SELECT min(query_id) AS query_id FROM ({ASKED_SQL}) GROUP BY query)
+    SELECT query_id, strategy, count(*) AS n, round(avg(d), 6) AS avg_distance, round(stddev_pop(d), 6) AS std_distance
+    FROM (SELECT 'chunks' AS strategy, * FROM dn UNION ALL SELECT 'full', * FROM fu) JOIN one USING (query_id) GROUP BY query_id, strategy""",
 )
 def compare_strategies(spark, sf_dir):
-    """Every hundredth vector asks each strategy's index."""
-    vectors = table(spark, sf_dir, "indices").where("embeddings is not null and size(embeddings) = 64").select(F.col("vec_id").alias("doc"), "strategy", "file", F.col("embeddings").alias("embedding"))
-    asked = vectors.where("doc % 100 = 0").select(F.col("doc").alias("query_id"), F.col("embedding").alias("query_vector"))
-    found = None
-    for strategy in ("chunks", "full"):
-        part = vectors.where(F.col("strategy") == strategy)
-        hits = dense.exact(part, asked, 3).join(part.select("doc", "file"), "doc").groupBy("query_id").agg(F.round(F.avg("distance"), 6).alias("avg_distance"), F.count_distinct("file").alias("n_files"))
-        hits = hits.select("query_id", F.lit(strategy).alias("strategy"), "avg_distance", "n_files")
-        found = hits if found is None else found.unionAll(hits)
-    return found
+    """The distances of the five best results of every query in two strategies of an index: chunks, and whole documents."""
+    index = _index(spark, sf_dir)
+    documents = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("doc_index"), F.col("doc_id").cast("string").alias("file"), "text")
+    index.adopt("all", "full", _with_vector(documents, "text", "embedding"))
+    compared = index.compare(_asked(spark, sf_dir), "all", ["chunks", "full"], 5)
+    return evaluate.result_summary(compared).select("query_id", "strategy", "n", "avg_distance", "std_distance")
+
+
+@query(
+    "nearest_partner",
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    p AS (SELECT a.vec_id, b.vec_id AS partner, round(list_distance(a.v, b.v) ^ 2, 6) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+    k AS (SELECT vec_id, partner, row_number() OVER (PARTITION BY vec_id ORDER BY d, partner) AS place, round(sqrt(d), 6) AS distance FROM p)
+    SELECT vec_id, partner, place, distance FROM k WHERE place <= 5""",
+)
+def nearest_partner(spark, sf_dir):
+    """The five nearest others of every vector, between which new vectors are made."""
+    return synthesis.neighbours(table(spark, sf_dir, "embeddings")).withColumn("distance", F.round("distance", 6))
+
+
+@query("synthesize_vectors")
+def synthesize_vectors(spark, sf_dir):
+    """The vectors and as many new ones."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return synthesis.synthesize(vectors, 2 * vectors.count())
+
+
+KINDS = [(kind, dim) for kind in ("flat", "ivf_flat", "ivf_sq8", "ivf_pq") for dim in (64, 1024)]
+
+
+@query("bytes_per_vector", f"SELECT kind, dim, (CASE kind WHEN 'flat' THEN 4 * dim WHEN 'ivf_flat' THEN 4 * dim + 8 WHEN 'ivf_sq8' THEN dim + 8 ELSE 16 END)::INT AS bytes FROM (VALUES {', '.join(f'({_quoted(k)}, {d})' for k, d in KINDS)}) t(kind, dim)")
+def bytes_per_vector(spark, sf_dir):
+    return spark.createDataFrame([(kind, dim, dense.bytes_per_vector(kind, dim)) for kind, dim in KINDS], "kind string, dim int, bytes int")
 
 
 SIZES = (1, 29, 100, 900, 999, 1000, 100_000, 100_001, 250_000, 250_001)

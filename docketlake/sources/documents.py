@@ -36,14 +36,20 @@ def scan(spark: SparkSession, base: str, limit: int | None = None, extensions: t
     return found.orderBy("path").limit(limit) if limit and limit > 0 else found
 
 
-def read(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None, text_extractor: Callable[[str], str] | None = None) -> DataFrame:
+def read(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None, text_extractor: Callable[[str], str] | None = None, tools=None) -> DataFrame:
     """(path, text, error) of the files (path, content); one of text and error is null.
 
     ``.txt`` files are decoded. Other formats need an extractor for their
-    extension, which gets the bytes. ``text_extractor`` gets every path and
+    extension, which gets the bytes, or ``tools`` (pages.PageTools), which read
+    PDF and office files page by page. ``text_extractor`` gets every path and
     replaces them all. A file that fails keeps its message as error.
     """
     known = dict(extractors or {})
+    if tools and not text_extractor:
+        from docketlake.sources.pages import paged_documents
+
+        paged = F.concat(F.lit("."), extension("path")).isin(*(set(EXTENSIONS) - {".txt", *known}))
+        return read(files.where(~paged), extractors).unionByName(paged_documents(files.where(paged), tools))
 
     @F.pandas_udf("struct<text: string, error: string>")
     def extract(paths: pd.Series, contents: pd.Series) -> pd.DataFrame:
@@ -95,3 +101,37 @@ def office_to_pdf(content: bytes, suffix: str, command: tuple[str, ...] = ("soff
 def extension(path: Column | str) -> Column:
     """The file's extension in lower case, without the dot."""
     return F.lower(F.regexp_extract(path if isinstance(path, Column) else F.col(path), r"\.([^./]+)$", 1))
+
+
+def labelled_queries(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, query, relevant_files, relevant_text) of a JSON file with a list of labelled queries, in its order.
+
+    ``query_id`` is the file's own, where it has one. A list is one value of
+    JSON, which one task reads; lists are of a size that people label.
+    """
+    kind = "array<struct<query_id: bigint, query: string, relevant_files: array<string>, relevant_text: string>>"
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", kind, {"mode": "FAILFAST"}).alias("rows"))
+    each = whole.select(F.posexplode("rows").alias("at", "row"))
+    return each.select(F.coalesce("row.query_id", F.col("at").cast("bigint")).alias("query_id"), "row.query", "row.relevant_files", "row.relevant_text")
+
+
+def npy_vectors(spark: SparkSession, path: str, rows_per_task: int = 50_000) -> DataFrame:
+    """(row, embedding) of a NumPy file with a matrix; each task reads its own rows from the file, which all executors must see."""
+    import numpy as np
+
+    count, _ = np.load(path, mmap_mode="r").shape
+    starts = spark.range(0, count, rows_per_task, numPartitions=max(1, -(-count // rows_per_task)))
+
+    def load(batches):
+        for batch in batches:
+            for start in batch["id"]:
+                part = np.load(path, mmap_mode="r")[start : start + rows_per_task]
+                yield pd.DataFrame({"row": np.arange(start, start + len(part)), "embedding": list(np.asarray(part, np.float32))})
+
+    return starts.mapInPandas(load, "row long, embedding array<float>")
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """Writes a measurement, a few rows, as one JSON file in a folder, stamped with the time in UTC."""
+    stamped = rows.withColumn("made_at", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd HH:mm:ss"))
+    stamped.coalesce(1).write.mode("overwrite").json(path)

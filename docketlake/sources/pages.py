@@ -6,12 +6,16 @@ of them needs to be installed to plan or test a job.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from docketlake.functions import text as T
+from docketlake.session import checkpointed
+from docketlake.sources.documents import office_to_pdf
 
 #: A page with less text than this, or with this mark of an unmapped font, is recognised anew.
 LEAST_CHARS, UNMAPPED = 50, "(cid:"
@@ -90,10 +94,55 @@ def recognise(page_runs: DataFrame, files: DataFrame, render: Callable[[bytes, i
     return wanted.mapInPandas(read, "file string, page_no int, recognised string")
 
 
-def recognised_documents(files: DataFrame, extract, render, read_image) -> DataFrame:
-    """(file, text) of files (path, content): extracted text, problematic pages recognised."""
-    from docketlake.session import checkpointed
+@dataclass(frozen=True)
+class PageTools:
+    """What reads paged documents: the pages' texts of a PDF, images of its pages from one to another, the text of an image."""
 
-    pages = checkpointed(triage(page_texts(files, extract)))
+    extract: Callable[[bytes], list[str | None]]
+    render: Callable[[bytes, int, int], list[bytes]]
+    read_image: Callable[[bytes], str] | None = None
+    #: Makes a PDF of an office file, given its bytes and extension.
+    to_pdf: Callable[[bytes, str], bytes] = office_to_pdf
+
+
+def recognised_documents(files: DataFrame, tools: PageTools) -> DataFrame:
+    """(file, text) of files (path, content) in PDF: extracted text, problematic pages recognised.
+
+    Problematic pages without a reader raise RecognitionUnavailable; a file of
+    which nothing is left has an empty text.
+    """
+    pages = checkpointed(triage(page_texts(files, tools.extract)))
     problematic = pages.where("is_problematic")
-    return merge(pages, recognise(runs(problematic), files, render, read_image))
+    nothing = problematic.select("file", "page_no", F.lit(None).cast("string").alias("recognised"))
+    read = nothing.limit(0) if problematic.isEmpty() else recognise(runs(problematic), files, tools.render, tools.read_image)
+    merged = merge(pages, read)
+    return files.select(F.col("path").alias("file")).join(merged, "file", "left").select("file", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def paged_documents(files: DataFrame, tools: PageTools) -> DataFrame:
+    """(path, text, error) of files (path, content) in PDF or an office format, which is made PDF first.
+
+    Recognition that fails ends the job, as in the other functions; a file
+    that cannot be made PDF keeps its message as error.
+    """
+
+    def convert(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                ending = "." + path.rsplit(".", 1)[-1].lower()
+                try:
+                    rows.append((path, bytes(content) if ending == ".pdf" else tools.to_pdf(bytes(content), ending), None))
+                except Exception as error:  # a bad file must not end the job
+                    rows.append((path, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["path", "content", "error"])
+
+    made = checkpointed(files.select("path", "content").mapInPandas(convert, "path string, content binary, error string"))
+    read = recognised_documents(made.where("error is null").select("path", "content"), tools)
+    failed = made.where("error is not null").select("path", F.lit(None).cast("string").alias("text"), "error")
+    return read.select(F.col("file").alias("path"), "text", F.lit(None).cast("string").alias("error")).unionByName(failed)
+
+
+def png_base64(image: bytes) -> str:
+    """An image in PNG as the data address that vision models take."""
+    return "data:image/png;base64," + base64.b64encode(image).decode()

@@ -77,9 +77,9 @@ def test_an_index_of_any_kind_finds_nine_tenths_of_the_neighbours(spark, kind):
             return [np.random.default_rng(len(text)).normal(size=16).tolist() for text in texts]
 
     random = np.random.default_rng(4)
-    entries = spark.createDataFrame([(i, random.normal(size=16).tolist()) for i in range(600)], "doc_index long, embedding array<float>").localCheckpoint()
+    entries = spark.createDataFrame([(i, random.normal(size=16).tolist()) for i in range(600)], "doc_index long, embedding array<float>")
     index = I.DocumentIndex(spark, Scattered(), options=I.Options(index_kind=kind, probes=1))
-    index._loaded["t", "chunks"] = I._Loaded(entries)
+    index.adopt("t", "chunks", entries.select("doc_index", F.lit("f").alias("file"), F.lit("x").alias("text"), "embedding"))
     asked = spark.createDataFrame([(i, "pergunta " + "x" * i) for i in range(1, 40)], "query_id int, query string")
     truth = dense.exact(entries, index._asked(asked), 5, "doc_index")
     assert index.recall("t", "chunks", 5) is None
