@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from docketlake.functions import vectors as V
 from docketlake.operators import dense
 from docketlake.session import checkpointed
 
@@ -15,8 +14,6 @@ def neighbours(seeds: DataFrame, k: int = 5, key: str = "vec_id", vector: str =
     """(key, partner, place, distance): the ``k`` nearest other seeds of each, with their distance, not squared."""
     asked = seeds.select(F.col(key).alias("query_id"), F.col(vector).alias("query_vector"))
     near = dense.exact(seeds, asked, k + 1, key, vector).where("query_id <> doc")
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return near.select(F.col("query_id").alias(key), F.col("doc").alias("partner"), place.alias("place"), F.sqrt("distance").alias("distance")).where(F.col("place") <= k)
 
@@ -38,13 +35,12 @@ def synthesize(seeds: DataFrame, n: int, noise: float = 0.5, k: int = 5, seed: i
     if n <= count or not count:
         return seeds.orderBy("vec_id").limit(n).select("vec_id", "embedding").withColumnRenamed("vec_id", "number")
     near = checkpointed(neighbours(seeds, k))
-    mean, dim = near.agg(F.avg("distance")).first()[0] or 0.0, seeds.select(F.size("embedding")).first()[0]
+    # rounded, as a sum depends on the order of its parts
+    mean, dim = round(near.agg(F.avg("distance")).first()[0] or 0.0, 9), seeds.select(F.size("embedding")).first()[0]
     sigma = noise * mean / np.sqrt(dim)
     draw = lambda salt, below: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "number"), F.lit(below))
     last = seeds.agg(F.max("vec_id")).first()[0]
     # seeds by their place among all, so that a draw can name one
-    from pyspark.sql import Window
-
     placed = seeds.withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.lit(64)).cast("int"))
     sizes = {r["slot"]: r["count"] for r in placed.groupBy("slot").count().collect()}
     begins, total = {}, 0
@@ -63,8 +59,8 @@ def synthesize(seeds: DataFrame, n: int, noise: float = 0.5, k: int = 5, seed: i
 
     @F.pandas_udf("array<double>")
     def shaken(numbers: pd.Series, vectors: pd.Series) -> pd.Series:
-        made = [np.asarray(v) + np.random.default_rng((seed, number)).normal(0.0, sigma, len(v)) for number, v in zip(numbers, vectors)]
-        return pd.Series([v.tolist() for v in made])
+        made = (np.asarray(v) + np.random.default_rng((seed, number)).normal(0.0, sigma, len(v)) for number, v in zip(numbers, vectors))
+        return pd.Series([(v / max(np.linalg.norm(v), 1e-12)).tolist() for v in made])
 
-    made = mixed.select("number", V.unit(shaken("number", "v")).alias("embedding"))
+    made = mixed.select("number", shaken("number", "v").alias("embedding"))
     return seeds.withColumnRenamed("vec_id", "number").unionByName(made)

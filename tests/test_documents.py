@@ -3,7 +3,7 @@ import logging
 import pytest
 from pyspark.sql import functions as F
 
-from docketlake.operators import sections as S
+from docketlake.operators import rerank, sections as S
 from docketlake.plans.index import DocumentIndex, IndexMissing
 from docketlake.sources import documents as D, pages as P, providers
 from docketlake.streaming import arrivals
@@ -116,6 +116,132 @@ def test_index_lives_through_build_save_load_and_append(spark, tmp_path):
         again.evaluate(asked, "peca", ["chunks"])
 
 
+def documents_of(spark, *rows):
+    return spark.createDataFrame(list(rows), "file string, content string")
+
+
+def numbers(index, strategy="chunks", type_="t"):
+    return sorted((r.doc_index, r.file) for r in index._loaded[type_, strategy].entries.collect())
+
+
+def test_entries_are_numbered_by_file_and_place_and_on_from_the_last(spark):
+    index = DocumentIndex(spark, LetterCounts())
+    long_text = " ".join(f"p{i}" for i in range(1200))
+    index.build_from("t", documents_of(spark, ("b", "um"), ("c", "dois"), ("a", long_text)).repartition(3))
+    assert numbers(index) == [(0, "a"), (1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, "c")]
+    index.append("t", documents_of(spark, ("aa", "novo")))
+    assert numbers(index)[-1] == (6, "aa") and numbers(index, "full")[-1] == (3, "aa")
+
+
+def test_an_index_of_one_entry_can_be_appended_to(spark):
+    index = DocumentIndex(spark, LetterCounts())
+    index.build_from("t", documents_of(spark, ("a", "contrato antigo")))
+    index.append("t", documents_of(spark, ("b", "contrato novo")))
+    assert numbers(index) == [(0, "a"), (1, "b")]
+    assert sorted(index.search("contrato", "t", "chunks", use_hybrid=True)) == ["contrato antigo", "contrato novo"]
+
+
+def test_an_index_goes_on_after_it_was_saved_where_it_was_loaded(spark, tmp_path):
+    saved = "file://" + str(tmp_path / "saved")
+    first = DocumentIndex(spark, LetterCounts())
+    first.build_from("t", documents_of(spark, ("a", "contrato antigo")))
+    first.save("t", saved)
+    index = DocumentIndex(spark, LetterCounts())
+    for round_ in range(3):
+        index.load(saved, ["t"])
+        index.append("t", documents_of(spark, (f"n{round_}", f"contrato novo {round_}")))
+        index.save("t", saved)
+        assert len(index.search("contrato", "t", "chunks", k=9)) == round_ + 2
+    again = DocumentIndex(spark, LetterCounts())
+    again.load(saved, ["t"], ["chunks"])
+    assert len(again.search("contrato", "t", "chunks", k=9)) == 4
+    # the newest save and the one before it
+    assert len(list((tmp_path / "saved" / "_meta" / "t").glob("*.json"))) == 2
+    assert len(list((tmp_path / "saved" / "data" / "t" / "chunks").iterdir())) == 2
+
+
+def test_a_save_that_fails_leaves_the_one_before_it(spark, tmp_path, monkeypatch):
+    saved = "file://" + str(tmp_path / "saved")
+    index = DocumentIndex(spark, LetterCounts())
+    index.build_from("t", documents_of(spark, ("a", "contrato antigo")))
+    index.save("t", saved)
+    index.append("t", documents_of(spark, ("b", "contrato novo")))
+    index._loaded["t", "full"].n = 99
+    with pytest.raises(RuntimeError):
+        index.save("t", saved)
+    again = DocumentIndex(spark, LetterCounts())
+    assert again.load(saved, ["t"]) == {"t": ["full", "chunks"]}
+    assert again.search("contrato", "t", "chunks") == ["contrato antigo"]
+    assert len(list((tmp_path / "saved" / "data" / "t" / "chunks").iterdir())) == 1
+
+
+def test_results_have_the_scores_of_their_search(spark):
+    index = DocumentIndex(spark, LetterCounts(), reranker=rerank.OverlapReranker())
+    index.build_from("t", documents_of(spark, ("a", "contrato de aluguel"), ("b", "laudo do perito"), ("c", "sentença final")))
+    asked = spark.createDataFrame([(1, "contrato de aluguel"), (2, "contrato de aluguel"), (3, "laudo")], "query_id int, query string")
+    plain = index.compare(asked, "t", ["chunks", "full"], 2).collect()
+    assert {(r.query_id, r.strategy) for r in plain} == {(1, "chunks"), (1, "full"), (3, "chunks"), (3, "full")}
+    first = next(r for r in plain if (r.query_id, r.strategy, r["rank"]) == (1, "chunks", 1))
+    assert (first.file, first.distance, first.similarity, first.rrf_score) == ("a", 0.0, 1.0, None)
+    fused = index.retrieve(asked, "t", "chunks", 1, use_hybrid=True, use_rerank=True).where("query_id = 1").first()
+    assert (fused.file, fused.rerank_score, fused.dense_rank, fused.bm25_rank) == ("a", 1.0, 0, 0)
+    with pytest.warns(DeprecationWarning):
+        found, scores = index.generate_search(["laudo", "never"], ["perito"], "t", ["chunks"], use_hybrid=True)
+    assert {r.query_id for r in found.collect()} == {0} and scores.first().n == 1
+
+
+def test_paged_documents_are_read_with_tools(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("texto", "utf-8")
+    (tmp_path / "b.pdf").write_bytes(b"B")
+    (tmp_path / "c.docx").write_bytes(b"C")
+    (tmp_path / "d.DOC").write_bytes(b"broken")
+
+    def to_pdf(content, ending):
+        if content == b"broken":
+            raise ValueError("no office file")
+        return content + ending.encode()
+
+    extract = lambda raw: ["pagina " * 20, None] if raw == b"B" else ["outra " * 20]
+    render = lambda raw, first, last: [raw] * (last - first + 1)
+    tools = P.PageTools(extract, render, lambda image: "lida", to_pdf)
+    read = {r.path.rsplit("/")[-1]: (r.text, r.error) for r in D.read(D.scan(spark, str(tmp_path)), tools=tools).collect()}
+    assert read["a.txt"] == ("texto", None) and read["b.pdf"][0] == "pagina " * 20 + "\nlida" and read["c.docx"][0] == "outra " * 20
+    assert read["d.DOC"] == (None, "ValueError: no office file")
+    with pytest.raises(P.RecognitionUnavailable):
+        D.read(D.scan(spark, str(tmp_path)), tools=P.PageTools(extract, render, None, to_pdf)).collect()
+    assert P.png_base64(b"x") == "data:image/png;base64,eA=="
+
+
+def test_json_and_npy_sources_and_reports(spark, tmp_path):
+    import json
+
+    import numpy as np
+
+    (tmp_path / "q.json").write_text(json.dumps([{"query": "um", "relevant_files": ["a"], "relevant_text": None}, {"query": "dois", "relevant_files": [], "relevant_text": "x"}]))
+    assert [tuple(r) for r in D.labelled_queries(spark, str(tmp_path / "q.json")).orderBy("query_id").collect()] == [(0, "um", ["a"], None), (1, "dois", [], "x")]
+    matrix = np.arange(20, dtype=np.float32).reshape(5, 4)
+    np.save(tmp_path / "v.npy", matrix)
+    rows = D.npy_vectors(spark, str(tmp_path / "v.npy"), 2).orderBy("row").collect()
+    assert [r.row for r in rows] == list(range(5)) and rows[3].embedding == matrix[3].tolist()
+    D.write_report(spark.createDataFrame([("chunks", 0.9)], "strategy string, recall double"), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).select("strategy", "recall").first() == ("chunks", 0.9)
+
+
+def test_measurements(spark):
+    from docketlake.plans import measure
+
+    index = DocumentIndex(spark, LetterCounts(), reranker=rerank.OverlapReranker())
+    index.build_from("t", documents_of(spark, ("a", "contrato de aluguel"), ("b", "laudo do perito")))
+    labelled = spark.createDataFrame([(1, "laudo", ["b"], None)], "query_id int, query string, relevant_files array<string>, relevant_text string")
+    assert {r.mode: r.recall_at_k for r in measure.dense_and_hybrid(index, labelled, "t", ["chunks"], 2).collect()} == {"dense": 1.0, "hybrid": 1.0}
+    rows = measure.with_and_without_rerank(index, labelled, "t", ["chunks"], 1).collect()
+    assert {r.rerank for r in rows} == {True, False} and all(r.seconds_per_query > 0 for r in rows)
+    assert measure.rerank_sweep(index, labelled, "t", ["chunks"], (1, 2), (1,), 1).count() == 2
+    crossed = measure.cross_evaluated({"x": index, "y": index}, {"p": labelled, "q": labelled.limit(0)}, "t", ["chunks"], 2)
+    assert crossed.count() == 4 and set(measure.cross_table(crossed).columns) == {"index", "strategy", "p", "q"}
+    assert measure.seconds_per_query(lambda q: index.dense(q, "t", "chunks", 1), labelled.select("query_id", "query")) > 0
+
+
 def test_failed_calibration_is_not_cached(spark, caplog):
     class Broken:
         def complete_structured(self, prompt, json_schema):

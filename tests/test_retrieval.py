@@ -158,3 +158,39 @@ def test_components(spark):
     found = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert found == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 12: 10, 13: 10, 14: 10}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_new_vectors_lie_between_neighbours_and_do_not_depend_on_partitions(spark):
+    from docketlake.operators import synthesis
+
+    random = np.random.default_rng(5)
+    x = random.normal(size=(40, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    seeds = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    made = {r.number: r.embedding for r in synthesis.synthesize(seeds, 100, noise=0.0).collect()}
+    again = {r.number: r.embedding for r in synthesis.synthesize(seeds.repartition(7), 100, noise=0.0).collect()}
+    assert len(made) == 100 and all(made[k] == pytest.approx(again[k]) for k in made)
+    assert all(np.linalg.norm(v) == pytest.approx(1) for v in made.values())
+    near = synthesis.neighbours(seeds, 3).where("vec_id = 4").orderBy("place").collect()
+    d = np.linalg.norm(x - x[4], axis=1)
+    assert [r.partner for r in near] == sorted((i for i in range(40) if i != 4), key=lambda i: d[i])[:3]
+    assert synthesis.synthesize(seeds, 7).count() == 7
+
+
+def test_an_index_by_codes_keeps_fewer_bytes(spark):
+    random = np.random.default_rng(6)
+    entries = spark.createDataFrame([(i, random.normal(size=16).tolist()) for i in range(1200)], "doc long, embedding array<float>")
+    centres = dense.train_clusters(entries, "embedding", 4)
+    size = lambda cells: cells.blocks.agg(F.sum(F.length("payload"))).first()[0]
+    flat, sq8, pq = (dense.build_cells(entries, centres, kind, 4) for kind in ("ivf_flat", "ivf_sq8", "ivf_pq"))
+    assert (size(flat), size(sq8), size(pq)) == (1200 * 64, 1200 * 16, 1200 * 4)
+    assert dense.bytes_per_vector("ivf_sq8", 1024) == 1032 and dense.bytes_per_vector("ivf_pq", 1024, 64) == 72
+
+
+def test_clusters_without_neighbours_and_other_dimensions(spark):
+    entries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0]), (4, None), (None, [1.0, 1.0])], "doc long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, query_vector array<double>")
+    assert [(r.doc, r.distance, r.similarity) for r in dense.exact(entries, asked, 5).orderBy("rank").collect()] == [(1, 0.0, 1.0), (2, 2.0, 0.0)]
+    assert dense.exact(entries, asked.limit(0), 5).count() == 0 and dense.exact(entries.limit(0), asked, 5).count() == 0
+    index = lexical.build(spark.createDataFrame([], "doc long, text string"), "doc", "text")
+    assert lexical.top(index, spark.createDataFrame([(1, "laudo"), (2, None)], "query_id long, query string"), 3).count() == 0
