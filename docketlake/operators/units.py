@@ -83,12 +83,12 @@ def copied_from(asked: DataFrame, texts: DataFrame, run: int = 12) -> DataFrame:
 
     wanted = asked.where("file is not null and relevant_text is not null")
     passages = wanted.select("query_id", runs("relevant_text")).select("query_id", "inner", F.col("first").alias("begins"), F.col("last").alias("ends"))
-    bits, kept = _filter_of(passages, "inner")
+    bits, kept = bit_filter(passages, "inner")
     met = texts.where("chunk_text is not null").select(runs("chunk_text")).join(F.broadcast(bits), kept).select("inner", "first", "last").distinct().join(passages, "inner")
     return met.where(F.endswith("first", "begins") & F.startswith("last", "ends")).select("query_id").distinct()
 
 
-def _filter_of(rows: DataFrame, key: str) -> tuple[DataFrame, Column]:
+def bit_filter(rows: DataFrame, key: str) -> tuple[DataFrame, Column]:
     """One row with ``bits``, a bit filter of the longs ``key``, of at most MOST_BITS; and the condition, which holds for all of them and few others."""
     size = min(MOST_BITS, 1 << (8 * rows.count() + 64).bit_length())
     place = F.pmod(F.col(key), F.lit(size))
