@@ -381,6 +381,11 @@ def repaired(items: DataFrame, key: str, text: str, **options) -> DataFrame:
     return affected_texts.mapInArrow(restore, "id long, n_tokens int, n_restored int, restored_text string")
 
 
+def _pairs(token: str, order: str) -> str:
+    """The text whose bytes were read in pairs."""
+    return _read(token.encode(order, "surrogatepass"), "cp1252")
+
+
 def _restored_text(content: str, originals: dict, all_chains: list, usual: int, counts: list[int]) -> tuple[int, int, str]:
     def replace(match: re.Match) -> str:
         whole = match.group()
@@ -388,12 +393,15 @@ def _restored_text(content: str, originals: dict, all_chains: list, usual: int,
         if token.isascii() or PLAIN.fullmatch(token):
             return whole
         counts[0] += 1
-        if _is_wide(token) and any(token[k : k + WINDOW] in originals for k in range(len(token) - WINDOW + 1)):
-            for order in ("utf-16-le", "utf-16-be"):
-                text = _read(token.encode(order, "surrogatepass"), "cp1252")
-                if sum(c.isalpha() or c.isspace() for c in text) > 0.8 * len(text):
-                    counts[1] += 1
-                    return whole.replace(token, text)
+        if _is_wide(token):
+            windows = [token[k : k + WINDOW] for k in range(len(token) - WINDOW + 1)]
+            known = [(window, originals[window][0]) for window in windows if window in originals]
+            # the order of bytes in which most known windows are the pieces of words that they stand for
+            agree = {order: sum(_pairs(window, order).strip() == piece for window, piece in known) for order in ("utf-16-le", "utf-16-be")}
+            order = max(agree, key=agree.get)
+            if agree[order]:
+                counts[1] += 1
+                return whole.replace(token, _pairs(token, order))
             return whole
         original = originals[token][0] if token in originals else None
         if original is None and usual >= 0:

@@ -16,7 +16,7 @@ whose score comes within ``margin`` standard errors of the k-th best similarity
 of one of the two is reranked by the exact product. The standard error is that of
 a random direction of the stored residual norm, so ``margin`` sets the loss.
 
-A block meets itself first; the k-th best similarity that a vector has there
+A block meets itself first, with the k best among some of its vectors to start from; the k-th best similarity that a vector has there
 is what it brings along when its block meets others, which then only report
 what is better. What the blocks' meetings found is merged for each block.
 
@@ -31,7 +31,8 @@ evenly, as normalised text embeddings often are within a subject, offer no cells
 Null vectors, all-zero vectors, vectors with a null, infinite or NaN element
 or another dimension than ``dim``, and rows with a null id or key neither ask
 nor are found. Equal similarities go to the smaller id. Groups of at most k
-vectors give all their pairs. Ids must be unique.
+vectors give all their pairs. Of rows repeated with their id in a group one counts, the first
+by its bytes; an id should be in one group only.
 """
 
 from __future__ import annotations
@@ -147,15 +148,31 @@ class _Side:
 SCALE = 8192  # of the 16-bit tables; sums of them stay below 2^15
 
 
-def _raise_floor(side: _Side, some: int, lines: int = 1024) -> None:
-    """Takes the k-th best of the exact similarities to ``some`` vectors of the block as a floor."""
-    sample = side.vectors[:: max(1, len(side.ids) // some)]
-    if len(sample) <= side.k:
-        return
-    for top in range(0, len(side.ids), lines):
-        near = side.vectors[top : top + lines] @ sample.T
-        # one place more, as a vector may meet itself
-        side.floor[top : top + lines] = np.partition(near, len(sample) - side.k - 1, axis=1)[:, len(sample) - side.k - 1] - 1e-5
+def _sample_best(side: _Side, some: int = 1024, lines: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each vector among some of its block, and their places, by exact similarity; the k-th becomes its floor."""
+    step = max(1, len(side.ids) // some)
+    sample = side.vectors[::step]
+    best, places = np.full(side.best.shape, -np.inf, np.float32), np.zeros(side.best.shape, np.int64)
+    if len(sample) > side.k:
+        for top in range(0, len(side.ids), lines):
+            near = side.vectors[top : top + lines] @ sample.T
+            rows = np.arange(top, top + len(near))
+            # a vector is no neighbour of its own
+            own = rows % step == 0
+            near[own, rows[own] // step] = -np.inf
+            places[rows] = np.argpartition(-near, side.k - 1, axis=1)[:, : side.k]
+            best[rows] = np.take_along_axis(near, places[rows], 1)
+        side.floor[:] = best.min(1) - 1e-5
+    return best, places * step
+
+
+def _fill(side: _Side, best: np.ndarray, places: np.ndarray) -> None:
+    """Gives vectors that found fewer than k the ones of ``_sample_best``, so that what the codes missed costs a place at most."""
+    for row in np.flatnonzero(np.isinf(side.best[:, -1]) & np.isfinite(best).all(1)):
+        found = dict(zip(side.ids[places[row]].tolist(), best[row].tolist()))
+        found |= {who: value for who, value in zip(side.who[row].tolist(), side.best[row].tolist()) if value > -np.inf}
+        kept = sorted(found.items(), key=lambda x: (-x[1], x[0]))[: side.k]
+        side.who[row], side.best[row] = [who for who, _ in kept], [value for _, value in kept]
 
 
 def meet(one: _Side, other: _Side, books: np.ndarray, margin: float, lines: int = 256, wide: int = 1024) -> None:
@@ -268,13 +285,15 @@ def nearest(
         while held:
             (group, blocks, own), rows = held.popitem()
             rows.sort()
+            rows = [row for at, row in enumerate(rows) if not at or row[0] != rows[at - 1][0]]
             ids = np.array([i for i, _ in rows], np.int64)
             units = np.frombuffer(b"".join(u for _, u in rows), np.float32).reshape(-1, dim)
             codes, left = encode(units, books.value, beam)
             order = np.argsort(left, kind="stable")
             side = _Side(ids[order], units[order], codes[order], left[order], k)
-            _raise_floor(side, 1024)
+            some = _sample_best(side)
             meet(side, side, books.value, margin)
+            _fill(side, *some)
             parts = [side.ids, side.vectors, codes[order], side.left, side.best, side.who]
             place = [pa.array([group]), pa.array([blocks], pa.int32()), pa.array([own], pa.int32())]
             if blocks == 1:

@@ -24,8 +24,8 @@ def test_neighbours_against_brute_force(spark):
     rows += [(-1, "a", None), (-2, "a", [0.0] * 16), (-3, "a", [1.0]), (-4, None, [1.0] * 16), (None, "a", [1.0] * 16), (-5, "a", [float("nan")] * 16)]
     rows += [(n + i, "small", rng.normal(size=16).tolist()) for i in range(4)] + [(n + 9, "alone", [1.0] * 16)]
     table = spark.createDataFrame(rows, "id long, kind string, v array<float>").repartition(6)
-    # several blocks and strips in a group
-    found = neighbours.nearest(table, "id", "v", ("kind",), dim=16, stages=8, block=500, strip=1, sample=1500).collect()
+    # several blocks in a group
+    found = neighbours.nearest(table, "id", "v", ("kind",), dim=16, stages=8, block=500, sample=1500).collect()
     got = {(r.id, r.neighbour) for r in found if r.id < n}
     want = brute(x, groups, list(range(n)), 10)
     assert len(got) == len(want) and len(got & want) / len(want) > 0.97
@@ -33,6 +33,18 @@ def test_neighbours_against_brute_force(spark):
     assert {r["rank"] for r in found if r.id == n} == {1, 2, 3}
 
 
+def test_blocks_of_any_number_find_the_same(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1200, 16))
+    rows = [(i, x[i].tolist()) for i in range(1200)] + [(5, x[5].tolist()), (6, x[7].tolist())]
+    table = spark.createDataFrame(rows, "id long, v array<float>")
+    found = [
+        {(r.id, r["rank"]): r.neighbour for r in neighbours.nearest(table, "id", "v", dim=16, stages=8, margin=9, block=block, largest=block).collect()} for block in (10_000, 700, 130)
+    ]
+    assert len(found[0]) == 12_000 and found[0] == found[1] == found[2]
+    assert all(id_ != other for (id_, _), other in found[0].items())
+
+
 def test_equal_similarities_go_to_the_smaller_id(spark):
     table = spark.createDataFrame([(i, [1.0, 0.0] if i else [1.0, 0.1]) for i in range(30)], "id long, v array<float>")
     found = [r.neighbour for r in neighbours.nearest(table, "id", "v", dim=2, stages=2).where("id = 0").orderBy("rank").collect()]
@@ -81,6 +93,20 @@ def test_similar_pairs_equal_brute_force(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_a_text_with_many_candidates_is_met_with_all_of_them(spark):
+    base = [f"w{i}" for i in range(80)]
+    rows = [(0, " ".join(base))] + [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(1, 70)]
+    table = spark.createDataFrame(rows, "id long, t string").repartition(4)
+    want = {(i, j) for i in range(70) for j in range(i + 1, 70) if jaccard(rows[i][1], rows[j][1], 3) >= 0.8}
+    near = spark.createDataFrame([(i, j) for i in range(70) for j in range(i + 1, 70)], "class_a long, class_b long")
+    texts = table.selectExpr("id", "t as content")
+    for block in (256, 7):
+        got = {(r.class_a, r.class_b) for r in neardup._verified(near, texts, 0.8, 3, 20, block).collect()}
+        assert got == want and len(want) > 1000
+    crowd = spark.createDataFrame([(i, " ".join(base)) for i in range(1500)], "id long, t string")
+    assert neardup.similar_pairs(crowd, "id", "t").count() == 1500 * 1499 // 2
+
+
 def test_groups_have_one_row_for_each_text(spark):
     texts = near_texts()
     table = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
