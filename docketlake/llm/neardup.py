@@ -24,8 +24,8 @@ A key shared by more than ``most`` representatives is handed on in blocks,
 whose pairs other tasks compare, so no task expands a large bucket alone.
 
 Nulls: a null id or text is left out, as are texts with fewer than
-``min_words`` words. Ids should be unique; a row repeated with its id in one
-batch counts once.
+``min_words`` words. A row repeated with its id counts once; an id should not
+have several texts.
 """
 
 from __future__ import annotations
@@ -194,7 +194,7 @@ def _met(texts: DataFrame, width: int, min_words: int, bands: int, rows: int, mo
     """(a, b, same, left, right): copies (same), candidates, and pairs of blocks of ids that share a key."""
     spark = texts.sparkSession
     buckets = max(64, texts.count() * bands // 250_000)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 64)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 2)
     blobs = _band_blobs(texts, width, min_words, bands, rows, buckets, seed)
 
     def meet(batches):
@@ -265,7 +265,7 @@ def similar_classes(items: DataFrame, key: str, text: str, threshold: float = 0.
     """
     texts = _usable(items, key, text)
     met = checkpointed(_met(texts, width, min_words, bands, rows, most, seed))
-    copies = met.where("same").select(F.col("b").alias("id"), F.col("a").alias("class_id"))
+    copies = met.where("same and a <> b").select(F.col("b").alias("id"), F.col("a").alias("class_id")).distinct()
     blocks = met.where("left is not null").select("left", "right").repartition("left", "right").mapInArrow(_expand, "a long, b long")
     near = met.where("not same and left is null").select("a", "b").unionAll(blocks)
     near = (
