@@ -41,6 +41,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from docketlake.operators.units import bit_filter
 from docketlake.session import checkpointed
 
 #: What is read, and what was printed.
@@ -338,7 +339,11 @@ def corrections(words: DataFrame, ratio: int = 15, least: int = 5, others: DataF
     present = rare.withColumn("present", F.filter(pairs, lambda p: F.contains("word", p["read"])))
     double = F.flatten(F.transform("present", lambda a, i: F.transform(F.slice("present", i + 1, F.size("present")), lambda b: move(a, b))))
     moved = present.select("word", "n", "hash", F.explode(F.concat(F.transform("present", lambda a: move(a, nothing)), double)).alias("m")).select("word", "n", "hash", "m.*")
-    met = moved.select("word", "n", "read_a", "meant_a", "read_b", "meant_b", F.pmod(F.col("hash") + F.col("move"), F.lit(MODULUS)).alias("key")).join(frequent, "key")
+    met = moved.select("word", "n", "read_a", "meant_a", "read_b", "meant_b", F.pmod(F.col("hash") + F.col("move"), F.lit(MODULUS)).alias("key"))
+    # few moved words have the hash of a frequent one: a filter of bounded size keeps the others from the shuffle
+    frequent = checkpointed(frequent)
+    bits, kept = bit_filter(frequent, "key")
+    met = met.join(F.broadcast(bits), kept).drop("bits").join(frequent, "key")
     certain = F.col("read_a").rlike("^[0-9@(]$") & F.col("read_b").rlike("^[0-9@(]?$") & F.col("word").rlike(r"(\p{L}.*){3}")
     met = met.where((F.col("often") >= F.when(certain, certain_ratio).otherwise(ratio) * F.col("n")) & (F.col("word") != F.col("meant")))
     once = F.expr("exists(sequence(1, length(word)), i -> substr(word, i, length(read_a)) = read_a and concat(left(word, i - 1), meant_a, substr(word, i + length(read_a))) = meant)")
