@@ -30,7 +30,7 @@ evenly, as normalised text embeddings often are within a subject, offer no cells
 
 Null vectors, all-zero vectors, vectors with a null, infinite or NaN element
 or another dimension than ``dim``, and rows with a null id or key neither ask
-nor are found. Equal similarities go to the smaller id. Groups of at most k
+nor are found. Similarities are rounded to six decimals; equal ones go to the smaller id. Groups of at most k
 vectors give all their pairs. Of rows repeated with their id in a group one counts, the first
 by its bytes; an id should be in one group only.
 """
@@ -148,8 +148,11 @@ class _Side:
 SCALE = 8192  # of the 16-bit tables; sums of them stay below 2^15
 
 
-def _sample_best(side: _Side, some: int = 1024, lines: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each vector among some of its block, and their places, by exact similarity; the k-th becomes its floor."""
+def _sample_best(side: _Side, some: int = 1024, lines: int = 1024) -> tuple[np.ndarray, np.ndarray] | None:
+    """The k best of each vector among some of its block, and their places, by exact similarity; the k-th becomes its floor.
+
+    Of a block of fewer than twice as many, all are compared and kept, and nothing is left to look for.
+    """
     step = max(1, len(side.ids) // some)
     sample = side.vectors[::step]
     best, places = np.full(side.best.shape, -np.inf, np.float32), np.zeros(side.best.shape, np.int64)
@@ -160,8 +163,16 @@ def _sample_best(side: _Side, some: int = 1024, lines: int = 1024) -> tuple[np.n
             # a vector is no neighbour of its own
             own = rows % step == 0
             near[own, rows[own] // step] = -np.inf
+            if step == 1:
+                # the sample is the block: these are the neighbours
+                least = np.partition(near, len(sample) - side.k, axis=1)[:, len(sample) - side.k] - 2e-6
+                found, columns = np.nonzero(near >= least[:, None])
+                side.keep(found + top, np.round(near[found, columns], 6), side.ids[columns])
+                continue
             places[rows] = np.argpartition(-near, side.k - 1, axis=1)[:, : side.k]
-            best[rows] = np.take_along_axis(near, places[rows], 1)
+            best[rows] = np.round(np.take_along_axis(near, places[rows], 1), 6)
+        if step == 1:
+            return None
         side.floor[:] = best.min(1) - 1e-5
     return best, places * step
 
@@ -198,19 +209,25 @@ def meet(one: _Side, other: _Side, books: np.ndarray, margin: float, lines: int
                 np.add(score[:n], added[:n], out=score[:n])
             norm, slack = other.norms[part].mean() * SCALE, margin * other.left[part].mean()
             ask, answer = (np.floor(np.maximum((x - slack) * norm, -32000)).astype(np.int16) for x in (one.least(mine), other.least(part)))
-            hits = _true_places((score[:n] >= ask[None, :]) | (score[:n] >= answer[:, None]))
-            if not len(hits):
+            mask = (score[:n] >= ask[None, :]) | (score[:n] >= answer[:, None])
+            count = np.count_nonzero(mask)
+            if not count:
                 continue
+            near = None
+            if 100 * count > mask.size:
+                # so many that one product of the tile costs less than gathering each pair
+                near = other.vectors[part] @ asked.T
+                mask &= (near >= one.least(mine)[None, :] - 1e-6) | (near >= other.least(part)[:, None] - 1e-6)
+            hits = _true_places(mask)
             columns, rows = np.divmod(hits, len(asked))
             if same:
                 # every pair once
                 once = columns + low > rows + top
                 columns, rows, hits = columns[once], rows[once], hits[once]
-            if 100 * len(hits) > score[:n].size:
-                # so many that one product of the tile costs less than gathering each pair
-                similarities = (other.vectors[part] @ asked.T).ravel()[hits]
-            else:
-                similarities = np.einsum("ij,ij->i", asked[rows], other.vectors[part][columns])
+            if not len(hits):
+                continue
+            similarities = np.einsum("ij,ij->i", asked[rows], other.vectors[part][columns]) if near is None else near.ravel()[hits]
+            similarities = np.round(similarities, 6)
             rows, columns = rows + top, columns + low
             one.keep(rows, similarities, other.ids[columns])
             other.keep(columns, similarities, one.ids[rows])
@@ -251,7 +268,7 @@ def nearest(
     dim: int = 64,
     stages: int = 12,
     beam: int = 2,
-    margin: float = 2.5,
+    margin: float = 3.25,
     block: int = 16384,
     largest: int = 131072,
     sample: int = 16384,
@@ -292,8 +309,9 @@ def nearest(
             order = np.argsort(left, kind="stable")
             side = _Side(ids[order], units[order], codes[order], left[order], k)
             some = _sample_best(side)
-            meet(side, side, books.value, margin)
-            _fill(side, *some)
+            if some:
+                meet(side, side, books.value, margin)
+                _fill(side, *some)
             parts = [side.ids, side.vectors, codes[order], side.left, side.best, side.who]
             place = [pa.array([group]), pa.array([blocks], pa.int32()), pa.array([own], pa.int32())]
             if blocks == 1:
