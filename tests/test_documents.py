@@ -73,6 +73,25 @@ def test_dimension():
         providers.resolve_dimension("x")
 
 
+def test_vectors_come_in_the_order_of_the_texts(spark):
+    class Shuffled:
+        dimension = 1
+
+        def embed(self, texts):
+            return [(place, [float(len(text))]) for place, text in reversed(list(enumerate(texts)))]
+
+    class Short:
+        dimension = 1
+
+        def embed(self, texts):
+            return []
+
+    rows = spark.createDataFrame([("a",), ("bbb",), (None,), ("cc",)], "t string").coalesce(1)
+    assert [r.v for r in rows.select(providers.embedder(Shuffled(), 2)("t").alias("v")).collect()] == [[1.0], [3.0], None, [2.0]]
+    with pytest.raises(Exception, match="another number"):
+        rows.select(providers.embedder(Short())("t")).collect()
+
+
 class Chat:
     def __init__(self):
         self.calls = 0
