@@ -241,7 +241,7 @@ def distinctive(form: str, chain: tuple[str, ...]) -> bool:
 MOST_BITS = 1 << 27
 
 
-def _filter_of(tokens: DataFrame) -> bytes:
+def filter_of(tokens: DataFrame) -> bytes:
     """A bit for each remainder of a token's (token) checksum; at most MOST_BITS."""
     size = min(MOST_BITS, 1 << (16 * tokens.count() + 64).bit_length())
     place = F.crc32(F.col("token").cast("binary")).cast("long") % size
@@ -252,7 +252,7 @@ def _filter_of(tokens: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def _may_hold(bits: bytes, token: str) -> bool:
+def may_hold(bits: bytes, token: str) -> bool:
     place = zlib.crc32(token.encode("utf-8", "surrogatepass")) & 8 * len(bits) - 1
     return bool(bits[place >> 3] >> (place & 7) & 1)
 
@@ -264,7 +264,7 @@ def forms(words: DataFrame, tokens: DataFrame) -> DataFrame:
     Of words in ASCII letters only the windows of pairs of bytes are forms.
     """
     all_chains = chains()
-    shared = words.sparkSession.sparkContext.broadcast(_filter_of(tokens))
+    shared = words.sparkSession.sparkContext.broadcast(filter_of(tokens))
 
     def garble(batches):
         garblers, bits = _garblers(), shared.value
@@ -296,12 +296,12 @@ def _forms_batch(batch: pa.RecordBatch, garblers: list, all_chains: list[tuple[s
         for form, numbers in made.items():
             stripped = form.strip(EDGES)
             token = stripped if len(stripped) > 1 else form
-            if _may_hold(bits, token) and not PLAIN.fullmatch(form) and not _ALIKE.fullmatch(form):
+            if may_hold(bits, token) and not PLAIN.fullmatch(form) and not _ALIKE.fullmatch(form):
                 kept.setdefault(token, []).extend(numbers)
         for form, numbers in kept.items():
             first = all_chains[min(numbers)]
             rows.append((form, word, n, min(numbers), len(first) // 2, distinctive(form, first), sorted(numbers)))
-        windows.update((window, piece) for window, piece in wide_windows(word).items() if _may_hold(bits, window))
+        windows.update((window, piece) for window, piece in wide_windows(word).items() if may_hold(bits, window))
     rows += [(window, piece, 1, -1, 1, True, [-1]) for window, piece in windows.items()]
     columns = list(zip(*rows)) or [()] * 7
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32())]

@@ -81,9 +81,9 @@ def test_letters_garbled_alone_give_what_the_whole_word_gives():
 
 def test_the_filter_lets_every_token_pass(spark):
     words = [f"pala{i}ção" for i in range(500)]
-    bits = encodings._filter_of(spark.createDataFrame([(w,) for w in words], "token string"))
-    assert all(encodings._may_hold(bits, w) for w in words)
-    assert sum(encodings._may_hold(bits, f"outra{i}ção") for i in range(2000)) < 400
+    bits = encodings.filter_of(spark.createDataFrame([(w,) for w in words], "token string"))
+    assert all(encodings.may_hold(bits, w) for w in words)
+    assert sum(encodings.may_hold(bits, f"outra{i}ção") for i in range(2000)) < 400
 
 
 def test_chains_are_undone():
@@ -185,7 +185,9 @@ def test_subjects(spark):
     labels = spark.createDataFrame([(i, " Sport", "a") for i in range(6)] + [(0, "sport", "a")], "doc_id long, subject string, labeled_by string")
     assert {r.id for r in subjects.assigned(table, labels).where("subject = 'sport'").collect()} == set(range(6))
     held_out = spark.createDataFrame([(1, sport)], "item_id long, text string")
-    assert not [r for r in subjects.assigned(table, none, held_out).collect() if r.subject == "sport"]
+    for most in (2_000_000, 1):
+        kept = {(r.id, r.subject) for r in subjects.assigned(table, none, held_out, most_phrases=most).collect()}
+        assert kept == {(10 + i, "health") for i in range(6)}
 
 
 def test_subjects_of_a_table_and_short_stems(spark):
