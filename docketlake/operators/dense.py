@@ -113,8 +113,8 @@ def exact(entries: DataFrame, queries: DataFrame, k: int, doc: str = "doc", vect
     A task keeps the k best entries of each query of a block over all the
     entries it sees, so that only those are shuffled. Distances are squared
     and rounded to ``digits``; equal ones are ordered by the smaller document.
-    Entries and queries without vectors, or of another dimension than most
-    queries' largest, are left out.
+    Entries and queries without vectors, or of another dimension than the
+    longest query's, are left out.
     """
     asked = queries.where("query_id is not null and query_vector is not null").select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
     dim, count = asked.agg(F.max(F.size("query_vector")), F.count("*")).first()

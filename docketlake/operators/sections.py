@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -56,10 +57,14 @@ def matched_section(line: Column | str, schema: list[Section]) -> Column:
 
 
 def _opener(lines: Column, schema: list[Section]) -> Column:
-    """(at, name) of the lines, counted from 1, that open a section; one pattern of all sections lets most lines pass at once."""
-    every = pattern([p for section in schema for p in section.patterns])
-    opens = F.transform(lines, lambda line, i: F.when(T.strip(F.lower(line)).rlike(every), F.struct((i + 1).alias("at"), matched_section(line, schema).alias("name"))))
-    return F.filter(opens, lambda x: x["name"].isNotNull())
+    """(at, name) of the lines, counted from 1, that open a section; only those that hold a pattern's letters are looked at more closely."""
+    literals = sorted({p for section in schema for p in section.patterns})
+
+    def opens(line: Column, i: Column) -> Column:
+        holds = T.let(F.lower(line), lambda lowered: functools.reduce(Column.__or__, (F.contains(lowered, F.lit(p)) for p in literals), F.lit(False)))
+        return F.when(holds, F.struct((i + 1).alias("at"), matched_section(line, schema).alias("name")))
+
+    return F.filter(F.transform(lines, opens), lambda x: x["name"].isNotNull())
 
 
 def _parts(lines: Column, openers: Column) -> Column:

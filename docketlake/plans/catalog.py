@@ -284,7 +284,7 @@ def pq_search(spark, sf_dir):
 
 
 def _window_query(name: str, size: int) -> None:
-    sql = f"SELECT doc, i - 1 AS window_no, w[i] AS passage FROM (SELECT doc, {_windows('text', size)} AS w FROM ({CHUNKS_SQL})), range(1, 5000) r(i) WHERE i <= len(w)"
+    sql = f"SELECT doc, unnest(range(0, len(w))) AS window_no, unnest(w) AS passage FROM (SELECT doc, {_windows('text', size)} AS w FROM ({CHUNKS_SQL}))"
 
     @query(name, sql)
     def windows(spark, sf_dir):
@@ -460,10 +460,10 @@ def append_documents(spark, sf_dir):
 
 
 SECTIONS_SQL = f"""
-    WITH lines AS (SELECT doc_id, document_type, i, l[i] AS line FROM (SELECT doc_id, document_type, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), range(1, 20000) r(i) WHERE i <= len(l)),
+    WITH lines AS (SELECT doc_id, document_type, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, document_type, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
     pats AS (SELECT document_type, position, section_name, unnest(patterns) AS p FROM section_schema),
     m AS (SELECT doc_id, i, arg_min(section_name, position) AS opens FROM lines JOIN pats USING (document_type)
-          WHERE regexp_matches({_strip("lower(line)")}, CASE WHEN regexp_matches(p, '^[\\p{{L}}\\p{{N}}_]') THEN '(^|[^\\p{{L}}\\p{{N}}_])' ELSE '' END || regexp_escape(p) || CASE WHEN regexp_matches(p, '[\\p{{L}}\\p{{N}}_]$') THEN '([^\\p{{L}}\\p{{N}}_]|$)' ELSE '' END)
+          WHERE contains(lower(line), p) AND regexp_matches({_strip("lower(line)")}, CASE WHEN regexp_matches(p, '^[\\p{{L}}\\p{{N}}_]') THEN '(^|[^\\p{{L}}\\p{{N}}_])' ELSE '' END || regexp_escape(p) || CASE WHEN regexp_matches(p, '[\\p{{L}}\\p{{N}}_]$') THEN '([^\\p{{L}}\\p{{N}}_]|$)' ELSE '' END)
           GROUP BY doc_id, i),
     named AS (SELECT doc_id, i, line, coalesce(last_value(opens IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), 'cabecalho') AS section_name FROM lines LEFT JOIN m USING (doc_id, i)),
     sect AS (SELECT doc_id, section_name, {_strip("string_agg(line, chr(10) ORDER BY i)")} AS section_text FROM named GROUP BY doc_id, section_name)"""
@@ -613,7 +613,7 @@ def _candidates(spark, sf_dir) -> DataFrame:
 
 PASSAGES_SQL = f"""{HYBRID_SQL},
     cand AS (SELECT query_id, query, doc, text, rank FROM hyb JOIN ({CHUNKS_SQL}) USING (doc) JOIN ({ASKED_SQL}) USING (query_id)),
-    ps AS (SELECT query_id, query, doc, rank, i - 1 AS passage_no, w[i] AS passage, len(w) AS n FROM (SELECT *, CASE WHEN len({_words('text')}) = 0 THEN [text] ELSE {_windows('text', 150)} END AS w FROM cand), range(1, 2000) r(i) WHERE i <= len(w))"""
+    ps AS (SELECT query_id, query, doc, rank, unnest(range(0, len(w))) AS passage_no, unnest(w) AS passage, len(w) AS n FROM (SELECT *, CASE WHEN len({_words('text')}) = 0 THEN [text] ELSE {_windows('text', 150)} END AS w FROM cand))"""
 
 
 @query("passage_counts", f"{PASSAGES_SQL} SELECT query_id, doc, least(max(n), 4) AS n_passages FROM ps GROUP BY query_id, doc")
