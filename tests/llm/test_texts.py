@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from docketlake.llm import encodings, leaks, lookalikes, scans, subjects
 
 
@@ -190,6 +192,17 @@ def test_subjects(spark):
         assert kept == {(10 + i, "health") for i in range(6)}
 
 
+def test_every_label_counts_for_the_threshold_of_subjects(spark):
+    # the last 500 in the order of hashes, of whose first 3000 the threshold came before, are about sport too weakly
+    order = [r.id for r in spark.range(3500).orderBy(F.xxhash64("id"), "id").collect()]
+    weak = set(order[3000:])
+    words = "O goleiro reserva abandonou a concentração antes do jogo"
+    rows = [(i, f"{words}{' 1 2 3 4 5 6 7' if i in weak else ''}. " * 3 + "Intime-se. " * 30) for i in order]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "health" if i in weak else "sport", "a") for i in order], "doc_id long, subject string, labeled_by string")
+    assert {(r.id, r.subject) for r in subjects.assigned(table, labels).collect()} == {(i, "sport") for i in order[:3000]}
+
+
 def test_subjects_of_a_table_and_short_stems(spark):
     farming = "O trator colheu o milharal inteiro antes da geada. "
     tax = "They will tax it. The tax is due. A tax was paid. "
