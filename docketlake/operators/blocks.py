@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from docketlake.session import checkpointed
 
 Kernel = Callable[[pa.Table, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -42,6 +44,32 @@ def _none(schema: str) -> pa.Table:
     return to_arrow_schema(_parse_datatype_string(schema)).empty_table()
 
 
+def distinct(queries: DataFrame, content: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(query_id, *content) of the distinct contents under numbers of their own, and (query_id, _number) of all queries (query_id, *content)."""
+    queries = checkpointed(queries)
+    once = checkpointed(queries.select(*content).distinct().withColumn("_number", F.monotonically_increasing_id()))
+    return once.select(F.col("_number").alias("query_id"), *content), queries.join(once, content).select("query_id", "_number")
+
+
+def lists(numbers: pa.Array, counts: list[int], columns: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    """(query_id, found) of rows that lie query by query, ``counts`` of each: one row and one list of structs for a query."""
+    offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+    return pa.RecordBatch.from_arrays([numbers, pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, names))], ["query_id", "found"])
+
+
+def merged(found: DataFrame, asked: DataFrame, k: int, unique: bool = True) -> DataFrame:
+    """(query_id, x, rank): the ``k`` least structs of what tasks found of the numbered contents, for all the queries that ask them.
+
+    A query_id that stands in several rows of ``asked`` is ranked over all of them; ``unique`` says that none does.
+    """
+    whole = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+    each = asked.join(whole.withColumnRenamed("query_id", "_number"), "_number").select("query_id", F.posexplode("found").alias("rank", "x")).withColumn("rank", F.col("rank") + 1)
+    if unique:
+        return each
+    order = Window.partitionBy("query_id").orderBy("x")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 class Best:
     """For each of ``n`` queries its ``k`` rows of the smallest value; of equal ones those with the smaller name."""
 
@@ -61,6 +89,12 @@ class Best:
         if self._pending > max(100_000, 2 * self._kept):
             self._compact()
 
+    def settle(self) -> np.ndarray:
+        """``limit`` after all rows so far."""
+        if self._held:
+            self._compact()
+        return self.limit
+
     def _compact(self) -> None:
         columns = [np.concatenate(c) for c in zip(*self._held)]
         order = np.lexsort((columns[2], columns[1], columns[0]))

@@ -21,6 +21,8 @@ FLAT_UP_TO, IVF_FLAT_UP_TO = 100_000, 250_000
 POINTS_PER_LIST, SQ8_LEAST = 30, 1000
 #: Query vectors that one task holds, pairs that it multiplies at a time, and vectors of a block of a cluster, in elements.
 QUERY_BLOCK, TILE, BLOCK_ELEMENTS = 4_000_000, 4_000_000, 524_288
+#: Of an exact search, elements of entries that a task holds at a time, entries that lie together, and queries that look at them together, in few dimensions and in more than FEW.
+HELD, LEAF, TOGETHER, FEW = 8_000_000, 128, (128, 1024), 16
 #: The share of the true neighbours that a search by clusters or codes has to find, and the vectors it is measured with.
 LEAST_RECALL, MEASURED_WITH = 0.9, 500
 
@@ -94,6 +96,57 @@ def _look(best: blocks.Best, q: np.ndarray, x: np.ndarray, names: np.ndarray, di
             best.add(top + r[good], value[good], names[c[good]], d[good], s[good])
 
 
+def _leaves(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the vectors in which near ones lie together, and where its leaves of at most ``size`` begin and end: halved by the widest dimension."""
+    done, todo = [], [np.arange(len(x))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= size:
+            done.append(part)
+            continue
+        some = x[part]
+        widest = int(np.argmax(some.max(0) - some.min(0)))
+        half = len(part) // 2
+        part = part[np.argpartition(some[:, widest], half)]
+        todo += [part[half:], part[:half]]
+    return np.concatenate(done), np.cumsum([0, *map(len, done)])
+
+
+def _nearest(x: np.ndarray, names: np.ndarray, q: np.ndarray, k: int, digits: int):
+    """(lines of ``q``, Best) by groups of near queries, over all entries ``x``.
+
+    A group first looks at the nearest boxes of entries that hold enough, then
+    at those that are no farther than the k-th best found there: the others
+    cannot have an entry as near.
+    """
+    order, cuts = _leaves(x, LEAF)
+    x, names = x[order], names[order]
+    low, high = np.minimum.reduceat(x, cuts[:-1]).astype(np.float64), np.maximum.reduceat(x, cuts[:-1]).astype(np.float64)
+    sizes = np.diff(cuts)
+    lines, parts = _leaves(q, TOGETHER[x.shape[1] > FEW])
+    for a, b in zip(parts[:-1], parts[1:]):
+        mine = lines[a:b]
+        asked, best = q[mine], blocks.Best(b - a, k)
+        gap = (np.maximum(0.0, np.maximum(low - asked.max(0), asked.min(0) - high)) ** 2).sum(1)
+        near = np.argsort(gap, kind="stable")
+        first = int(np.searchsorted(np.cumsum(sizes[near]), max(2 * k, 8 * LEAF))) + 1
+        _offer(best, asked, x, names, np.sort(near[:first]), cuts, digits)
+        # rounding moves a distance by half a unit of the last digit at most
+        reach = best.settle().max() * (1 + 1e-9) + 10.0**-digits
+        rest = near[first:]
+        _offer(best, asked, x, names, np.sort(rest[gap[rest] <= reach]), cuts, digits)
+        yield mine, best
+
+
+def _offer(best: blocks.Best, asked: np.ndarray, x: np.ndarray, names: np.ndarray, leaves: np.ndarray, cuts: np.ndarray, digits: int) -> None:
+    """``_look`` at the entries of some leaves, a bounded number at a time."""
+    step = max(1, TILE // (16 * LEAF))
+    for start in range(0, len(leaves), step):
+        some = leaves[start : start + step]
+        rows = np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in some])
+        _look(best, asked, x[rows], names[rows], digits)
+
+
 def _found(best: blocks.Best, ids: pa.Array, doc_type: pa.DataType):
     """The best rows as a batch (query_id, doc, distance, similarity)."""
     found = best.result()
@@ -117,25 +170,47 @@ def exact(entries: DataFrame, queries: DataFrame, k: int, doc: str = "doc", vect
     longest query's, are left out.
     """
     asked = queries.where("query_id is not null and query_vector is not null").select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
-    dim, count = asked.agg(F.max(F.size("query_vector")), F.count("*")).first()
+    asked = checkpointed(asked)
+    dim, rows, ids = asked.agg(F.max(F.size("query_vector")), F.count("*"), F.count_distinct("query_id")).first()
     dim = dim or 1
-    asked = asked.where(F.size("query_vector") == dim)
+    once, asked = blocks.distinct(asked.where(F.size("query_vector") == dim), ["query_vector"])
+    count = once.count()
     usable = entries.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), F.col(vector).cast("array<float>").alias("v"))
-    id_kind, doc_kind = asked.schema["query_id"].dataType, usable.schema["doc"].dataType
+    doc_kind = usable.schema["doc"].dataType
     doc_type = to_arrow_type(doc_kind)
 
+    def look(table: pa.Table, q: np.ndarray, x: list, names: list):
+        numbers = _column(table, "query_id")
+        for mine, best in _nearest(np.concatenate(x), np.concatenate(names), q, k, digits):
+            found = best.result()
+            if found:
+                lines, counts = np.unique(found[0], return_counts=True)
+                columns = [pa.array(found[3]), pa.array(found[2].tolist(), doc_type), pa.array(found[4])]
+                yield blocks.lists(numbers.take(pa.array(mine[lines])), counts, columns, ["distance", "doc", "similarity"])
+
     def near(table: pa.Table, batches):
-        q, best = _matrix(table.column("query_vector"), dim), blocks.Best(len(table), k)
+        q, x, names, held = _matrix(table.column("query_vector"), dim), [], [], 0
+        if not len(q):
+            return
         for batch in batches:
             # here, as a filter of the plan would compute the vectors twice
             batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), dim), False))
-            if len(q) and batch.num_rows:
-                _look(best, q, _matrix(batch.column(1), dim, np.float32), _names(batch.column(0)), digits)
-        yield from _found(best, _column(table, "query_id"), doc_type)
-
-    schema = f"query_id {id_kind.simpleString()}, doc {doc_kind.simpleString()}, distance double, similarity double"
-    parts = max(-(-count * dim // QUERY_BLOCK), -(-count * k // QUERY_BLOCK))
-    return _ranked(blocks.meet(usable, asked, parts, near, schema, "doc", max(1024, QUERY_BLOCK // dim)), k, digits)
+            if batch.num_rows:
+                x.append(_matrix(batch.column(1), dim, np.float32).copy())
+                names.append(_names(batch.column(0)).copy())
+                held += batch.num_rows * dim
+            if held >= HELD:
+                yield from look(table, q, x, names)
+                x, names, held = [], [], 0
+        if x:
+            yield from look(table, q, x, names)
+
+    schema = f"query_id long, found array<struct<distance:double,doc:{doc_kind.simpleString()},similarity:double>>"
+    parts = max(-(-count * dim // QUERY_BLOCK), -(-count * k // (4 * QUERY_BLOCK)))
+    found = blocks.meet(usable, once, parts, near, schema, "doc", max(1024, QUERY_BLOCK // dim))
+    rounded = F.transform("found", lambda x: F.struct(F.round(x["distance"], digits).alias("distance"), x["doc"].alias("doc"), x["similarity"].alias("similarity")))
+    best = blocks.merged(found.withColumn("found", rounded), asked, k, ids == rows)
+    return best.select("query_id", "x.doc", "x.distance", F.round("x.similarity", digits).alias("similarity"), "rank")
 
 
 def distance_stats(hits: DataFrame) -> DataFrame:

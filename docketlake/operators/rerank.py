@@ -2,16 +2,63 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections import Counter
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from docketlake.functions import text as T
 from docketlake.operators import lexical
-from docketlake.session import checkpointed
 
 PASSAGES = 4
 
 
+def _best_windows(windows: list[list[str]], asked: list[str], most: int) -> list[int]:
+    """The places of the ``most`` windows (tokens of each) that BM25 among them ranks best for the query's tokens, ascending."""
+    counts = [Counter(w) for w in windows]
+    df = Counter(t for c in counts for t in c)
+    n, average = len(windows), sum(map(len, windows)) / max(1, len(windows))
+    raw = {t: math.log(n - k + 0.5) - math.log(k + 0.5) for t, k in df.items()}
+    low = lexical.EPSILON * math.fsum(raw.values()) / max(1, len(raw))
+    # windows without a term of the query score 0, which a negative one does not reach
+    scores = [0.0] * n
+    times = sorted((t, x) for t, x in Counter(asked).items() if t in df)
+    for i, c in enumerate(counts):
+        for t, x in times:
+            if t in c:
+                scores[i] += x * (low if raw[t] < 0 else raw[t]) * c[t] * (lexical.K1 + 1) / (c[t] + lexical.K1 * (1 - lexical.B + lexical.B * len(windows[i]) / average))
+    return sorted(sorted(range(n), key=lambda i: (-round(scores[i], 6), i))[:most])
+
+
+def _windows(candidates: DataFrame, size: int) -> DataFrame:
+    """``candidates`` with ``_shown``, the windows of the text; a text without words is its own passage."""
+    windows = T.word_windows("text", size)
+    return candidates.withColumn("_shown", windows).withColumn("_shown", F.when(F.size("_shown") > 0, F.col("_shown")).otherwise(F.array(F.coalesce("text", F.lit("")))))
+
+
+def _picked(candidates: DataFrame, size: int, most: int) -> DataFrame:
+    """``candidates`` with ``picked`` (passage_no, passage) instead of the text; a row's windows are ranked where they are, without a shuffle."""
+
+    many = F.size("_shown") > most
+    # tokens only where there is a choice
+    ranked = _windows(candidates, size).drop("text").withColumn("_tokens", F.when(many, F.transform("_shown", lambda w: T.search_tokens(w)))).withColumn("_asked", F.when(many, T.search_tokens("query")))
+    kept = [c for c in ranked.columns if c not in ("_tokens", "_asked")]
+
+    def placed(batches):
+        for batch in batches:
+            shown = pc.list_value_length(batch.column("_shown")).to_pylist()
+            each = zip(shown, batch.column("_tokens").to_pylist(), batch.column("_asked").to_pylist())
+            places = [list(range(n)) if tokens is None else _best_windows(tokens, asked or [], most) for n, tokens, asked in each]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(places, pa.list_(pa.int32()))], [*kept, "_places"])
+
+    ranked = ranked.mapInArrow(placed, StructType([*(ranked.schema[c] for c in kept), StructField("_places", ArrayType(IntegerType()))]))
+    picked = F.transform("_places", lambda i: F.struct(i.alias("passage_no"), F.get("_shown", i).alias("passage")))
+    return ranked.withColumn("picked", picked).drop("_shown", "_places")
+
+
 def passages(candidates: DataFrame, size: int = T.PASSAGE_WORDS, most: int = PASSAGES) -> DataFrame:
     """(query_id, doc, passage_no, passage) of candidates (query_id, query, doc, text), in reading order.
 
@@ -19,30 +66,14 @@ def passages(candidates: DataFrame, size: int = T.PASSAGE_WORDS, most: int = PAS
     candidate's own windows, ranks best for the query. Where nothing can be
     ranked, the first ones. A text without words is its own passage.
     """
-    pair = ["query_id", "doc"]
-    # read several times below; as many rows as the retrieval returned
-    candidates = checkpointed(candidates)
-    windows = T.word_windows("text", size)
-    shown = F.when(F.size(windows) > 0, windows).otherwise(F.array(F.coalesce("text", F.lit(""))))
-    each = candidates.select(*pair, "query", F.size(shown).alias("n"), F.posexplode(shown).alias("passage_no", "passage"))
-    few = each.where(F.col("n") <= most).select(*pair, "passage_no", "passage")
-    many = each.where(F.col("n") > most).withColumn("tokens", T.search_tokens("passage"))
-    of_pair = Window.partitionBy(*pair)
-    many = many.withColumn("avg_len", F.avg(F.size("tokens")).over(of_pair)).withColumn("any", F.max(F.size("tokens") > 0).over(of_pair))
-    terms = many.select(*pair, "passage_no", "n", "avg_len", F.explode("tokens").alias("term"), F.size("tokens").alias("len"))
-    counted = terms.groupBy(*pair, "passage_no", "term").agg(F.first("n").alias("n"), F.first("avg_len").alias("avg_len"), F.first("len").alias("len"), F.count("*").alias("tf"))
-    of_term = Window.partitionBy(*pair, "term")
-    counted = counted.withColumn("df", F.count("*").over(of_term)).withColumn("first_of_term", F.row_number().over(of_term.orderBy("passage_no")) == 1)
-    raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    counted = counted.withColumn("raw", raw).withColumn("mean_raw", F.avg(F.when(F.col("first_of_term"), F.col("raw"))).over(of_pair))
-    counted = counted.withColumn("idf", F.when(F.col("raw") < 0, lexical.EPSILON * F.col("mean_raw")).otherwise(F.col("raw")))
-    asked = candidates.select("query_id", "query").distinct().select("query_id", F.explode(T.search_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (lexical.K1 + 1) / (F.col("tf") + lexical.K1 * (1 - lexical.B + lexical.B * F.col("len") / F.col("avg_len")))
-    scored = counted.join(asked, ["query_id", "term"]).groupBy(*pair, "passage_no").agg(F.round(F.sum(part), 6).alias("score"))
-    # windows without a term of the query score 0, which a negative one does not reach
-    best = Window.partitionBy(*pair).orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "passage_no")
-    ranked = many.join(scored, [*pair, "passage_no"], "left").withColumn("place", F.row_number().over(best))
-    return few.unionByName(ranked.where(F.col("place") <= most).select(*pair, "passage_no", "passage"))
+    picked = _picked(candidates.select("query_id", "query", "doc", "text"), size, most)
+    return picked.select("query_id", "doc", F.explode("picked").alias("x")).select("query_id", "doc", "x.passage_no", "x.passage")
+
+
+def passage_counts(candidates: DataFrame, size: int = T.PASSAGE_WORDS, most: int = PASSAGES) -> DataFrame:
+    """(query_id, doc, n_passages): how many passages of each candidate ``passages`` gives, which needs no ranking."""
+    counted = _windows(candidates.select("query_id", "doc", "text"), size).select("query_id", "doc", F.least(F.size("_shown"), F.lit(most)).cast("long").alias("n"))
+    return counted.groupBy("query_id", "doc").agg(F.max("n").alias("n_passages"))
 
 
 def rerank(candidates: DataFrame, provider, k: int | None = None, size: int = T.PASSAGE_WORDS, most: int = PASSAGES) -> DataFrame:
@@ -52,21 +83,29 @@ def rerank(candidates: DataFrame, provider, k: int | None = None, size: int = T.
     the passages of all its candidates. The best passage's score counts; equal
     ones keep their order.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     if provider is None:
         raise ValueError("reranking needs a provider")
-    candidates = checkpointed(candidates)
-    shown = passages(candidates, size, most).join(candidates.select("query_id", "doc", "query", "rank"), ["query_id", "doc"])
-    doc_kind, id_kind = (candidates.schema[c].dataType.simpleString() for c in ("doc", "query_id"))
+    shown = _picked(candidates.select("query_id", "query", "doc", "text", F.col("rank").cast("int").alias("rank")), size, most)
+    # a query's candidates are bounded by the retrieval that found them
+    whole = shown.groupBy("query_id").agg(F.first("query").alias("query"), F.array_sort(F.collect_list(F.struct("rank", "doc", "picked"))).alias("x"))
+    whole = whole.select("query_id", "query", F.col("x.rank").alias("ranks"), F.col("x.doc").alias("docs"), F.transform("x", lambda c: F.transform(c["picked"], lambda p: p["passage"])).alias("passages"))
+    kinds = [candidates.schema[c].dataType for c in ("query_id", "doc")]
+    id_type, doc_type = map(to_arrow_type, kinds)
 
-    def score(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["rank", "passage_no"])
-        rows["score"] = [float(x) for x in provider.rerank(rows["query"].iloc[0], rows["passage"].tolist())]
-        best = rows.groupby(["doc", "rank"], as_index=False)["score"].max()
-        best.insert(0, "query_id", rows["query_id"].iloc[0])
-        return best[["query_id", "doc", "rank", "score"]]
+    def score(batches):
+        for batch in batches:
+            ids, docs, ranks, best = [], [], [], []
+            for query_id, query, of, found, each in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4))):
+                given = iter([float(x) for x in provider.rerank(query, [p for some in each for p in some])])
+                ids += [query_id] * len(found)
+                docs += found
+                ranks += of
+                best += [max(next(given) for _ in some) for some in each]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(docs, doc_type), pa.array(ranks, pa.int32()), pa.array(best, pa.float64())], ["query_id", "doc", "rank", "score"])
 
-    # a query's candidates are bounded by the retrieval that found them
-    best = shown.groupBy("query_id").applyInPandas(score, f"query_id {id_kind}, doc {doc_kind}, rank int, score double")
+    best = whole.mapInArrow(score, f"query_id {kinds[0].simpleString()}, doc {kinds[1].simpleString()}, rank int, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "input_rank")
     ranked = best.select("query_id", "doc", F.col("score").alias("rerank_score"), F.col("rank").alias("input_rank")).withColumn("rank", F.row_number().over(order))
     return ranked if k is None else ranked.where(F.col("rank") <= k)

@@ -194,3 +194,36 @@ def test_clusters_without_neighbours_and_other_dimensions(spark):
     assert dense.exact(entries, asked.limit(0), 5).count() == 0 and dense.exact(entries.limit(0), asked, 5).count() == 0
     index = lexical.build(spark.createDataFrame([], "doc long, text string"), "doc", "text")
     assert lexical.top(index, spark.createDataFrame([(1, "laudo"), (2, None)], "query_id long, query string"), 3).count() == 0
+
+
+def test_equal_queries_are_searched_once(spark, monkeypatch):
+    from docketlake.operators import blocks
+
+    met, meet = [], blocks.meet
+    monkeypatch.setattr(blocks, "meet", lambda entries, queries, *rest: met.append(queries.count()) or meet(entries, queries, *rest))
+    random = np.random.default_rng(5)
+    x = random.integers(0, 4, (3000, 3)).astype(float)
+    entries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, x[i % 90].tolist()) for i in range(180)], "query_id long, query_vector array<float>")
+    found = {(r.query_id, r["rank"]): (r.doc, r.distance) for r in dense.exact(entries, asked, 20).collect()}
+    for i in range(180):
+        d = ((x - x[i % 90]) ** 2).sum(1)
+        assert [found[i, rank] for rank in range(1, 21)] == [(j, d[j]) for j in sorted(range(len(x)), key=lambda j: (d[j], j))[:20]]
+
+    texts = spark.createDataFrame([(i, " ".join(f"w{j}" for j in random.zipf(1.3, 8) % 50)) for i in range(500)], "doc long, text string")
+    queries = spark.createDataFrame([(i, f"w1 w{i % 7} w{i % 7 + 20}") for i in range(70)], "query_id long, query string")
+    index = lexical.build(texts, "doc", "text")
+    few, all_ = lexical.top(index, queries, 5).collect(), lexical.top(index, queries, 500).collect()
+    assert met[0] == len(np.unique(x[:90], axis=0)) and met[1] == 7
+    # what the bounds left out is not among the best
+    assert {(r.query_id, r.doc, r.score, r["rank"]) for r in few} == {(r.query_id, r.doc, r.score, r["rank"]) for r in all_ if r["rank"] <= 5} and len(few) == 350
+
+
+def test_passages_are_chosen_where_the_candidate_is(spark):
+    text = " ".join(["outro"] * 700 + ["prazo"] + ["fim"] * 100)
+    rows = spark.createDataFrame([(1, "prazo", 10, text, 1), (1, "prazo", 11, "um texto curto", 2)], "query_id long, query string, doc long, text string, rank int")
+    for size, most, shown in ((150, 4, [0, 1, 8, 9]), (150, 3, [0, 8, 9])):
+        chosen = rerank.passages(rows, size, most)
+        assert [r.passage_no for r in chosen.orderBy("passage_no").collect() if r.doc == 10] == shown
+        assert "Exchange" not in chosen._jdf.queryExecution().toString()
+        assert {r.doc: r.n_passages for r in rerank.passage_counts(rows, size, most).collect()} == {10: most, 11: 1}
