@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from docketlake.session import checkpointed
@@ -57,16 +58,42 @@ def lists(numbers: pa.Array, counts: list[int], columns: list[pa.Array], names:
     return pa.RecordBatch.from_arrays([numbers, pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, names))], ["query_id", "found"])
 
 
-def merged(found: DataFrame, asked: DataFrame, k: int, unique: bool = True) -> DataFrame:
+def _least(k: int, digits: int | None):
+    """Of the lists that tasks gave for a query the ``k`` least structs, by the first field, rounded, and the second."""
+
+    def cut(batches):
+        for batch in batches:
+            outer = batch.column("found")
+            inner = outer.flatten()
+            rows = np.repeat(np.repeat(np.arange(len(outer)), pc.list_value_length(outer).to_numpy(zero_copy_only=False)), pc.list_value_length(inner).to_numpy(zero_copy_only=False))
+            each = inner.flatten()
+            value, name = each.flatten()[:2]
+            value = value.to_numpy(zero_copy_only=False)
+            if digits is not None:
+                value = np.floor(value * 10.0**digits + 0.5)
+            name = name.to_numpy(zero_copy_only=False) if pa.types.is_integer(name.type) else np.array(name.to_pylist())
+            order = np.lexsort((name, value, rows))
+            rows = rows[order]
+            starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
+            good = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)])) < k
+            offsets = pa.array(np.r_[0, np.cumsum(np.bincount(rows[good], minlength=len(outer)))].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.ListArray.from_arrays(offsets, each.take(pa.array(order[good])))], ["query_id", "found"])
+
+    return cut
+
+
+def merged(found: DataFrame, asked: DataFrame, k: int, unique: bool = True, digits: int | None = None) -> DataFrame:
     """(query_id, x, rank): the ``k`` least structs of what tasks found of the numbered contents, for all the queries that ask them.
 
-    A query_id that stands in several rows of ``asked`` is ranked over all of them; ``unique`` says that none does.
+    The first field, rounded to ``digits``, and the second order them. A query_id that stands in
+    several rows of ``asked`` is ranked over all of them; ``unique`` says that none does.
     """
-    whole = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+    whole = found.groupBy("query_id").agg(F.collect_list("found").alias("found")).mapInArrow(_least(k, digits), found.schema)
     each = asked.join(whole.withColumnRenamed("query_id", "_number"), "_number").select("query_id", F.posexplode("found").alias("rank", "x")).withColumn("rank", F.col("rank") + 1)
     if unique:
         return each
-    order = Window.partitionBy("query_id").orderBy("x")
+    first, second = (F.col(f"x.{c}") for c in found.schema["found"].dataType.elementType.names[:2])
+    order = Window.partitionBy("query_id").orderBy(first if digits is None else F.round(first, digits), second)
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

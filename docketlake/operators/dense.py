@@ -208,9 +208,8 @@ def exact(entries: DataFrame, queries: DataFrame, k: int, doc: str = "doc", vect
     schema = f"query_id long, found array<struct<distance:double,doc:{doc_kind.simpleString()},similarity:double>>"
     parts = max(-(-count * dim // QUERY_BLOCK), -(-count * k // (4 * QUERY_BLOCK)))
     found = blocks.meet(usable, once, parts, near, schema, "doc", max(1024, QUERY_BLOCK // dim))
-    rounded = F.transform("found", lambda x: F.struct(F.round(x["distance"], digits).alias("distance"), x["doc"].alias("doc"), x["similarity"].alias("similarity")))
-    best = blocks.merged(found.withColumn("found", rounded), asked, k, ids == rows)
-    return best.select("query_id", "x.doc", "x.distance", F.round("x.similarity", digits).alias("similarity"), "rank")
+    best = blocks.merged(found, asked, k, ids == rows, digits)
+    return best.select("query_id", "x.doc", F.round("x.distance", digits).alias("distance"), F.round("x.similarity", digits).alias("similarity"), "rank")
 
 
 def distance_stats(hits: DataFrame) -> DataFrame:

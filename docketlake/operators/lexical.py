@@ -43,7 +43,8 @@ def build(entries: DataFrame, doc: str, text: str, tokens=T.search_tokens) -> Bm
     """The index of the texts (doc, text). A null or empty text is a document without terms."""
     # kept, as the statistics and every search read it
     # each as one string with the separator before every token, a third of an array's size
-    stored = checkpointed(entries.select(F.col(doc).alias("doc"), F.coalesce(F.array_join(F.transform(tokens(text), lambda t: F.concat(F.lit(BETWEEN), t)), ""), F.lit("")).alias("x")))
+    joined = T.joined_search_tokens(text, BETWEEN) if tokens is T.search_tokens else F.array_join(F.transform(tokens(text), lambda t: F.concat(F.lit(BETWEEN), t)), "")
+    stored = checkpointed(entries.select(F.col(doc).alias("doc"), F.coalesce(joined, F.lit("")).alias("x")))
     texts = stored.select("doc", F.slice(F.split("x", BETWEEN), 2, 2**31 - 1).alias("tokens"))
     corpus = texts.agg(F.count("*").alias("n_docs"), (F.coalesce(F.sum(F.size("tokens")), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avg_len"))
     raw = frequencies(texts).join(F.broadcast(corpus)).select("term", "df", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
