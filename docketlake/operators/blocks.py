@@ -62,7 +62,7 @@ def _least(k: int, digits: int | None):
     """Of the lists that tasks gave for a query the ``k`` least structs, by the first field, rounded, and the second."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in (whole.slice(start, 500) for whole in batches for start in range(0, whole.num_rows, 500)):
             outer = batch.column("found")
             inner = outer.flatten()
             rows = np.repeat(np.repeat(np.arange(len(outer)), pc.list_value_length(outer).to_numpy(zero_copy_only=False)), pc.list_value_length(inner).to_numpy(zero_copy_only=False))
